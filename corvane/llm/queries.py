@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup
+from . import chat_format, exact_dedup, substring_dedup, token_binary
 from .common import table
 
 
@@ -42,9 +42,23 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder, manifest, by_rank = token_binary.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_binary.read_tokens(spark, folder, manifest, by_rank)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_token_binary": op10_token_binary,
 }
 
 ORACLES = {
