@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, substring_dedup, token_binary
+from . import chat_format, decontam, exact_dedup, line_dedup, ngram_join, substring_dedup, token_binary
 from .common import table
 
 
@@ -32,6 +32,44 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items")
+
+
+OP3_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0
+), item_windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM iw, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)
+), sizes AS (SELECT DISTINCT n FROM iw),
+doc_windows AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM dw, sizes, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)
+), found AS (SELECT doc_id, i, d.n, item_id FROM doc_windows d JOIN item_windows b ON d.win = b.win AND d.n = b.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+which AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN which USING (doc_id)
+"""
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = """
+WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+windows AS (SELECT doc_id, l, i, list_slice(l, i, i + 2) AS win FROM lines, LATERAL (SELECT unnest(range(1, len(l) - 1)) AS i)),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM windows),
+gone AS (SELECT doc_id, list_distinct(flatten(list([i, i + 1, i + 2]))) AS gone FROM firsts WHERE k > 1 GROUP BY doc_id)
+SELECT doc_id, len(l)::BIGINT AS n_lines, len(coalesce(gone, []))::BIGINT AS n_removed,
+       sha256(array_to_string([l[i] for i in range(1, len(l) + 1) if NOT list_contains(coalesce(gone, []), i)], chr(10))) AS kept_sha256
+FROM lines LEFT JOIN gone USING (doc_id)
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -42,6 +80,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -56,12 +98,17 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op3_decontam": op3_decontam,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_binary": op10_token_binary,
 }
 
 ORACLES = {
     "op1_chat_format": OP1_SQL,
+    "op3_decontam": OP3_SQL,
+    "op4_line_dedup": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
