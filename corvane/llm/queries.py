@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, exact_dedup, line_dedup, ngram_join, substring_dedup, token_binary
+from . import chat_format, decontam, exact_dedup, line_dedup, ngram_join, pii, substring_dedup, token_binary, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items")
 
@@ -80,12 +84,16 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +106,11 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_toxicity": op2_toxicity,
     "op3_decontam": op3_decontam,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_pii": op7_pii,
     "op8_ngram_join": op8_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_binary": op10_token_binary,
