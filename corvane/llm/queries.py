@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, exact_dedup, line_dedup, ngram_join, pii, substring_dedup, token_binary, toxicity
+from . import chat_format, decontam, exact_dedup, line_dedup, ngram_join, pii, sp_sample, substring_dedup, token_binary, toxicity
 from .common import table
 
 
@@ -84,6 +84,13 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op6_sp_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sp_sample.segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, with_ids=False)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -110,6 +117,7 @@ QUERIES = {
     "op3_decontam": op3_decontam,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_sp_sample": op6_sp_sample,
     "op7_pii": op7_pii,
     "op8_ngram_join": op8_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
