@@ -7,8 +7,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words whose hashes a task remembers.
-WORDS_KEPT = 1 << 20
+#: Distinct words whose hashes a task remembers; other words are hashed again.
+WORDS_KEPT = 1 << 17
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a bitmap: 16 MB, whatever the corpus. When it fills up it filters less; results stay the same.
 BITMAP_BITS = 27
@@ -16,9 +16,9 @@ BITMAP_BITS = 27
 
 class _Cache(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < WORDS_KEPT:
+            self[word] = h
         return h
 
 
@@ -53,22 +53,38 @@ def ngrams(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any runs of one document's words, by prefix sums of word hash times a power."""
+    """Hashes of any runs of words in an array, by prefix sums of word hash times a power."""
 
-    def __init__(self, h: np.ndarray, base: int = 0xD6E8FEB86659FD93, twist: int = 0):
+    BASE = 0xD6E8FEB86659FD93
+    powers = back = np.ones(1, dtype=np.uint64)
+
+    def __init__(self, h: np.ndarray, twist: int = 0):
         n = len(h)
-        b = np.uint64(base)
-        powers = np.ones(n + 1, dtype=np.uint64)
-        powers[1:] = b
-        self.powers = np.multiply.accumulate(powers)
-        self.back = np.ones(n + 1, dtype=np.uint64)
-        self.back[1:] = np.uint64(pow(base, -1, 1 << 64))
-        self.back = np.multiply.accumulate(self.back)
+        if len(Rolling.powers) <= n:
+            for name, base in (("powers", Rolling.BASE), ("back", pow(Rolling.BASE, -1, 1 << 64))):
+                steps = np.full(2 * n + 2, np.uint64(base))
+                steps[0] = 1
+                setattr(Rolling, name, np.multiply.accumulate(steps))
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mix(h + np.uint64(twist)) * self.powers[:n], out=self.sums[1:])
+        np.cumsum(mix(h + np.uint64(twist)) * Rolling.powers[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * self.back[start] + np.asarray(length).astype(np.uint64) * ODD)
+        return mix((self.sums[start + length] - self.sums[start]) * Rolling.back[start] + np.atleast_1d(length).astype(np.uint64) * ODD)
+
+    def all(self, length: int) -> np.ndarray:
+        """Of the runs of ``length`` words at every place."""
+        n = max(0, len(self.sums) - length)
+        return mix((self.sums[length:] - self.sums[:n]) * Rolling.back[:n] + np.uint64((length * int(ODD)) & (2**64 - 1)))
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours, by doubling."""
+    have, out = 1, x
+    while 2 * have <= width:
+        out = np.minimum(out[:-have], out[have:])
+        have *= 2
+    rest = width - have
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
 def bit_of(h: np.ndarray) -> np.ndarray:

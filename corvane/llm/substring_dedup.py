@@ -20,70 +20,68 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, written
-from .hashing import Rolling, Words, bitmap, has_bit, mix
+from .hashing import Rolling, Words, bitmap, has_bit, sliding_min
 
 WINDOW, SEED = 50, 12
 PATH = "row_key long, doc_id long, start int, windows int, anchor long, content long"
-EDGE = "row_key long, doc_id long, start int, edge long, check long"
+EDGE = "row_key long, doc_id long, start int, edge long"
 
 
 class Paths:
-    """The paths of one document."""
-
-    def __init__(self, words: np.ndarray, window: int, seed: int):
-        self.words, self.window = words, window
-        grams = Rolling(words, twist=1)(np.arange(len(words) - seed + 1), seed)
-        within = window - seed + 1
-        n = len(words) - window + 1
-        at = np.empty(n, dtype=np.int64)
-        view = np.lib.stride_tricks.sliding_window_view(grams, within)
-        for i in range(0, n, 8192):
-            at[i : i + 8192] = view[i : i + 8192].argmin(axis=1) + np.arange(i, min(n, i + 8192))
-        self.start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        self.count = np.diff(np.r_[self.start, n])
-        self.anchor = grams[at[self.start]]
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    """The paths of a few documents, whose word hashes stand one after another.
 
+    A path is a run of windows whose least run of ``seed`` words is the same.
+    """
 
-def _by_document(docs: DataFrame, make: Callable, schema: str, window: int, seed: int) -> DataFrame:
-    """``make`` sees (doc_id, row_key, word hashes, Paths) of each document that has a window."""
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, doc_id: np.ndarray, row_key: np.ndarray, window: int, seed: int):
+        self.words, self.window = words, window
+        least = sliding_min(Rolling(words, twist=1).all(seed), window - seed + 1)
+        begin = np.cumsum(sizes) - sizes
+        windows = np.maximum(sizes - window + 1, 0)
+        doc = np.repeat(np.arange(len(sizes)), windows)
+        at = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+        value = least[at]
+        first = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]) if len(at) else np.zeros(0, dtype=np.int64)
+        self.begin = at[first]
+        self.count = np.diff(np.r_[first, len(at)])
+        self.anchor = value[first]
+        doc = doc[first]
+        self.doc_id, self.row_key, self.start = doc_id[doc], row_key[doc], self.begin - begin[doc]
+
+    def only(self, use: np.ndarray) -> Paths:
+        for name in ("begin", "count", "anchor", "doc_id", "row_key", "start"):
+            setattr(self, name, getattr(self, name)[use])
+        return self
+
+
+def _by_paths(docs: DataFrame, make: Callable[[Paths], dict[str, np.ndarray]], schema: str, window: int, seed: int) -> DataFrame:
+    """The columns that ``make`` gives for the paths of a few documents at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), []
-                for doc_id, body in zip(part.column("doc_id").to_pylist(), part.column("body").to_pylist()):
-                    raw = body.encode("utf-8", "replace")
-                    words = raw.split()
-                    if len(words) >= window:
-                        out += make(doc_id, xxhash.xxh3_64_intdigest(raw), Paths(hashes(words), window, seed))
-                if out:
-                    yield from _joined(out)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                words = [body.encode("utf-8", "replace").split() for body in part.column("body").to_pylist()]
+                sizes = np.array([len(w) for w in words], dtype=np.int64)
+                if sizes.max() < window:
+                    continue
+                flat = np.concatenate([hashes(w) for w in words])
+                columns = make(Paths(flat, sizes, part.column("doc_id").to_numpy(), part.column("row_key").to_numpy(), window, seed))
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in columns.values()], names=list(columns))
 
     return _rows(docs).filter("doc_id IS NOT NULL").mapInArrow(run, schema)
 
 
-def _joined(out: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    columns = {k: np.concatenate([x[k] for x in out]) for k in out[0]}
-    yield pa.RecordBatch.from_arrays([_signed(v) if v.dtype == np.uint64 else pa.array(v) for v in columns.values()], names=list(columns))
-
-
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("body"))
-
-
-def _repeat(key: int, n: int, kind: type) -> np.ndarray:
-    return np.full(n, key, dtype=kind)
+    body = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(body).alias("row_key"), body.alias("body"))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -93,25 +91,19 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     """
     spark = docs.sparkSession
 
-    def anchors(doc_id: int, key: int, p: Paths) -> list[dict]:
-        a = np.unique(p.anchor)
-        return [{"anchor": a, "doc_id": _repeat(doc_id, len(a), np.int64)}]
+    def anchors(p: Paths) -> dict:
+        return {"anchor": p.anchor, "doc_id": p.doc_id}
 
-    seen = _by_document(docs, anchors, "anchor long, doc_id long", window, seed)
+    seen = _by_paths(docs, anchors, "anchor long, doc_id long", window, seed)
     shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     shared_bits = spark.sparkContext.broadcast(bitmap(shared, F.col("anchor")))
 
-    def paths(doc_id: int, key: int, p: Paths) -> list[dict]:
-        use = has_bit(shared_bits.value, p.anchor)
-        start, count = p.start[use], p.count[use]
-        if not len(start):
-            return []
-        return [{
-            "row_key": _repeat(key, len(start), np.uint64), "doc_id": _repeat(doc_id, len(start), np.int64), "start": start.astype(np.int32),
-            "windows": count.astype(np.int32), "anchor": p.anchor[use], "content": Rolling(p.words, twist=2)(start, count + window - 1),
-        }]
-
-    all_paths = written(_by_document(docs, paths, PATH, window, seed), "paths")
+    def paths(p: Paths) -> dict:
+        p.only(has_bit(shared_bits.value, p.anchor))
+        content = Rolling(p.words, twist=2)(p.begin, p.count + window - 1)
+        return {"row_key": p.row_key, "doc_id": p.doc_id, "start": p.start.astype(np.int32), "windows": p.count.astype(np.int32), "anchor": p.anchor, "content": content}
+
+    all_paths = written(_by_paths(docs, paths, PATH, window, seed), "paths")
     by_anchor = all_paths.groupBy("anchor").agg(
         F.min(F.struct("doc_id", "start", "row_key")).alias("source"), F.max("doc_id").alias("hi"), F.min("content").alias("a"), F.max("content").alias("b")
     )
@@ -124,19 +116,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     )
     branching_bits = spark.sparkContext.broadcast(bitmap(by_anchor.filter("a <> b"), F.col("anchor")))
 
-    def edges(doc_id: int, key: int, p: Paths) -> list[dict]:
-        use = has_bit(branching_bits.value, p.anchor)
-        start, count = p.start[use], p.count[use]
-        if not len(start):
-            return []
-        ends = np.cumsum(count)
-        at = np.repeat(start - (ends - count), count) + np.arange(ends[-1])
-        return [{
-            "row_key": _repeat(key, len(at), np.uint64), "doc_id": _repeat(doc_id, len(at), np.int64), "start": at.astype(np.int32),
-            "edge": Rolling(p.words, twist=2)(at, window),
-        }]
-
-    opened = _by_document(docs, edges, "row_key long, doc_id long, start int, edge long", window, seed)
+    def edges(p: Paths) -> dict:
+        p.only(has_bit(branching_bits.value, p.anchor))
+        within = np.arange(p.count.sum()) - np.repeat(np.cumsum(p.count) - p.count, p.count)
+        edge = Rolling(p.words, twist=2)(np.repeat(p.begin, p.count) + within, window)
+        return {"row_key": np.repeat(p.row_key, p.count), "doc_id": np.repeat(p.doc_id, p.count), "start": (np.repeat(p.start, p.count) + within).astype(np.int32), "edge": edge}
+
+    opened = _by_paths(docs, edges, EDGE, window, seed)
     first = opened.groupBy("edge").agg(F.min(F.struct("doc_id", "start", "row_key")).alias("source"), F.max("doc_id").alias("hi")).filter("source.doc_id < hi")
     single = (
         opened.join(first.select("edge", "source"), "edge")
@@ -163,25 +149,18 @@ def _compacted(runs: DataFrame, window: int) -> DataFrame:
     )
 
 
-def _document_hash(doc_id: str, row_key: str) -> F.Column:
-    return F.xxhash64(doc_id, row_key)
-
-
 def _with_texts(docs: DataFrame, per_doc: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with their row of ``per_doc`` (by doc_id, row_key), and the documents that surely have none.
 
     A bitmap of fixed size keeps texts of documents without a row out of the shuffle.
     """
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bitmap(per_doc.select("doc_id"), F.xxhash64("doc_id")))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(per_doc.select("row_key"), F.col("row_key")))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) for t in batch.column("body").to_pylist()], dtype=np.uint64)
-            maybe = has_bit(bits.value, batch.column("h").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array(keys.view(np.int64)), pa.array(maybe)], names=["doc_id", "body", "row_key", "maybe"])
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(bits.value, h.to_numpy().view(np.uint64)))
 
-    rows = _rows(docs).withColumn("h", F.xxhash64("doc_id")).mapInArrow(keyed, "doc_id long, body string, row_key long, maybe boolean")
+    rows = _rows(docs).withColumn("maybe", maybe("row_key"))
     return rows.filter("maybe").join(per_doc, ["doc_id", "row_key"], "left"), rows.filter("NOT maybe")
 
 
@@ -215,8 +194,8 @@ def _verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, kept_text (words joined by one space), n_words, n_removed, kept_sha256.
+def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts: bool = True) -> DataFrame:
+    """One row per document: doc_id, kept_text (words joined by one space; not without ``texts``), n_words, n_removed, kept_sha256.
 
     A word goes if a window over it also starts in a document with a smaller doc_id.
 
@@ -227,13 +206,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     """
     spans = repeated_windows(docs, window, seed)
     per_doc = written(spans.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "length")).alias("gone")), "gone")
-    texts, rest = _with_texts(docs, per_doc)
+    some, rest = _with_texts(docs, per_doc)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, bodies = batch.column("doc_id"), batch.column("body").to_pylist()
+            bodies = batch.column("body").to_pylist()
             gone = batch.column("gone").to_pylist() if "gone" in batch.schema.names else [None] * len(bodies)
-            kept, n, removed = [], [], []
+            kept, n, removed, digests = [], [], [], []
             for body, spans_of in zip(bodies, gone):
                 words = body.encode("utf-8", "replace").split()
                 n.append(len(words))
@@ -242,10 +221,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
                     for s in spans_of:
                         stay[s["start"] : s["start"] + s["length"]] = False
                     words = [words[i] for i in np.flatnonzero(stay)]
-                kept.append(b" ".join(words).decode("utf-8"))
+                text = b" ".join(words)
+                digests.append(hashlib.sha256(text).hexdigest())
                 removed.append(n[-1] - len(words))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "kept_text", "n_words", "n_removed"])
-
-    schema = "doc_id long, kept_text string, n_words long, n_removed long"
-    out = texts.select("doc_id", "body", "gone").mapInArrow(cut, schema).unionByName(rest.select("doc_id", "body").mapInArrow(cut, schema))
-    return out.withColumn("kept_sha256", F.sha2("kept_text", 256))
+                if texts:
+                    kept.append(text.decode("utf-8"))
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * texts, names=names + ["kept_text"] * texts)
+
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
+    return some.select("doc_id", "body", "gone").mapInArrow(cut, schema).unionByName(rest.select("doc_id", "body").mapInArrow(cut, schema))
