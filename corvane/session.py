@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_sent_to: set[str] = set()
+
 
 def session(name: str = "corvane", cores: int | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the operators count on.
@@ -27,3 +34,15 @@ def session(name: str = "corvane", cores: int | None = None, shuffle_partitions:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application, so that tasks find it wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _sent_to:
+        return
+    folder = tempfile.mkdtemp(prefix="corvane-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    home = Path(__file__).resolve().parent
+    context.addPyFile(shutil.make_archive(f"{folder}/corvane", "zip", home.parent, home.name))
+    _sent_to.add(context.applicationId)
