@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a fit uses at most, taken by the hash of doc_id; scoring covers all rows.
 FIT_ROWS = 40_000
-#: Share of the counts that the Dirichlet prior adds, and the least z-value of a feature.
-PRIOR, LEAST_Z = 0.01, 3.0
+#: Share of the counts that the Dirichlet prior adds, and the least z-value and log-odds of a feature.
+PRIOR, LEAST_Z, LEAST_ODDS = 0.05, 3.0, 3.5
 PENALTY = 1.0
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„‘’…–—¿¡"
 RAW_KEPT = 1 << 17
@@ -90,8 +90,10 @@ class Model:
     def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         words = text.lower().split()
         gains = np.fromiter(map(self.gain, words), dtype=np.float64, count=len(words))
-        at = np.flatnonzero(gains > 0)
-        return len(words), segments(at.tolist(), gains[at].tolist()) if len(at) else []
+        # A word counts where it stands first: saying one word over and over is no more evidence.
+        first = {words[i]: i for i in np.flatnonzero(gains > 0)[::-1].tolist()}
+        at = sorted(first.values())
+        return len(words), segments(at, gains[at].tolist()) if at else []
 
     def expectation(self, n: int, score: float) -> float:
         return self.k * max(1, n) * math.exp(-self.lam * score)
@@ -144,7 +146,7 @@ def _gains(training: DataFrame, penalty: float) -> dict[str, float]:
     t, c = F.col("t") + prior, F.col("c") + prior
     odds = F.log(t / (F.lit(all_t + p0) - t)) - F.log(c / (F.lit(all_c + p0) - c))
     z = odds / F.sqrt(1 / t + 1 / c)
-    return {r["feature"]: r["odds"] - penalty for r in counts.select("feature", odds.alias("odds"), z.alias("z")).filter(F.col("z") >= LEAST_Z).filter(F.col("odds") > penalty).collect()}
+    return {r["feature"]: r["odds"] - penalty for r in counts.select("feature", odds.alias("odds"), z.alias("z")).filter(F.col("z") >= LEAST_Z).filter(F.col("odds") >= max(penalty, LEAST_ODDS)).collect()}
 
 
 def _lambda(scores: dict[float, float], penalty: float) -> float:
