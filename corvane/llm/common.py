@@ -37,11 +37,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as a table in the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path, partitionBy=partition_by)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -75,10 +75,11 @@ def _run(x: Column, item_words: Column, reach: int, step: int) -> Column:
     return F.when(stop == 0, reach).otherwise(stop - 1).cast("int")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, hits_only: bool = False) -> DataFrame:
     """One row per document: doc_id, row_key, n_words, hits (merged spans of hit words), item_ids (exact), near_item_ids (proximity only).
 
     An item of fewer words than a window is one window; an item without words matches nothing.
+    ``hits_only`` gives found_id and found_key of the documents with exact hits, once each, and counts no words.
     """
     text_key = lambda: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     docs_words = docs.select(F.col("doc_id").cast("long"), text_key().alias("row_key"), words(F.col("text")).alias("words"))
@@ -127,6 +128,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
         ).otherwise(F.concat(acc, F.array(x))),
     )
     found = per_doc.select(F.col("doc_id").alias("found_id"), F.col("row_key").alias("found_key"), merged.alias("hits"), "item_ids", "near_item_ids")
+    if hits_only:
+        return found.filter(F.size("hits") > 0).select("found_id", "found_key").distinct()
     empty = F.array().cast("array<string>")
     return (
         docs_words.select("doc_id", "row_key", F.size("words").cast("long").alias("n_words"))
@@ -157,3 +160,10 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: in
         (F.size("hits") > 0).alias("contaminated"),
         F.size("near_item_ids").cast("long").alias("n_near_items"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, with their own columns."""
+    hit = matches(docs, benchmark, window, hits_only=True).select(F.col("found_id").alias("_hit_id"), F.col("found_key").alias("_hit_key"))
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (key == F.col("_hit_key")), "left_anti")

@@ -293,3 +293,14 @@ def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> DataFr
     return labelled.join(least, "comp", "left").select(
         "doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def first_of_class(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their class's smallest, with their own columns; rows that repeat an id and a text all stay or go.
+
+    Rows without shingles and rows with a null doc_id stay: they are nobody's copy by name.
+    """
+    found = classes(docs, k)
+    stay = found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = docs.join(stay, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
