@@ -35,7 +35,8 @@ from .hashing import mix
 
 #: Segmentations of each text, and the power of piece weights: 1 samples by Zipf weight, more favours common pieces.
 K, SHARPNESS = 2, 1.0
-WORDS_KEPT = 1 << 16
+#: Distinct words whose lattices a task remembers, and bits of a table of beginnings.
+WORDS_KEPT, SLOT_BITS = 1 << 17, 20
 #: The mark of a space; the noncharacter that stands for such a mark in a text itself; where a longer word is cut.
 SPACE, STANDS_FOR_MARK, LONGEST_WORD = "▁", "\uffff", 256
 
@@ -65,16 +66,36 @@ class Vocabulary:
         for i, r in ranks.items():
             self.log_weight[i] = -sharpness * math.log((r + 2.7) * harmonic)
         self.byte_weight = -sharpness * math.log((max(ranks.values(), default=1.0) + 3.7) * harmonic)
-        # By length: sorted hashes of the pieces' beginnings, and the piece that is one, or -1.
-        self.prefixes: list[tuple[np.ndarray, np.ndarray]] = []
-        for size in range(1, max(map(len, pieces), default=1) + 1):
-            known = {p[:size]: pieces.get(p[:size], -1) for p in pieces if len(p) >= size}
-            codes = np.array([[ord(c) for c in p] for p in known], dtype=np.uint64).reshape(-1, size)
-            h = np.zeros(len(codes), dtype=np.uint64)
-            for k in range(size):
-                h = _longer(h, codes[:, k])
-            order = np.argsort(h)
-            self.prefixes.append((h[order], np.array(list(known.values()), dtype=np.int64)[order]))
+        # Hashes of the pieces' beginnings, sorted; the piece that each one is, or -1; where each hash's first bits begin.
+        self.longest = max(map(len, pieces), default=1)
+        known = {p[:size]: pieces.get(p[:size], -1) for p in pieces for size in range(1, len(p) + 1)}
+        hashes = np.zeros(len(known), dtype=np.uint64)
+        size = np.array([len(p) for p in known])
+        code = np.zeros((len(known), self.longest), dtype=np.uint64)
+        for row, p in zip(code, known):
+            row[: len(p)] = [ord(c) for c in p]
+        for k in range(self.longest):
+            hashes = np.where(size > k, _longer(hashes, code[:, k]), hashes)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], np.array(list(known.values()), dtype=np.int64)[order]
+        self.slots = np.searchsorted(self.hashes >> np.uint64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1).astype(np.uint64)).astype(np.int32)
+        self.depth = int(np.diff(self.slots).max())
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place in ``hashes`` of each hash, or -1."""
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        out = np.full(len(h), -1, dtype=np.int64)
+        at, end = self.slots[slot].astype(np.int64), self.slots[slot + 1]
+        open_ = np.flatnonzero(at < end)
+        for _ in range(self.depth):
+            if not len(open_):
+                break
+            place = at[open_]
+            hit = self.hashes[place] == h[open_]
+            out[open_[hit]] = place[hit]
+            at[open_] += 1
+            open_ = open_[~hit & (at[open_] < end[open_])]
+        return out
 
 
 def _longer(h: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -94,9 +115,9 @@ class Lattices:
     def clear(self) -> None:
         self.root: dict[str, int] = {}
         self.n_nodes, self.n_edges = 1, 0
-        self.nodes = np.zeros((2, 1 << 12), dtype=np.int64)
-        self.edges = np.zeros((2, 1 << 12), dtype=np.int64)
-        self.weights = np.zeros((2, 1 << 12))
+        self.nodes = np.zeros((2, 1 << 12), dtype=np.int32)
+        self.edges = np.zeros((2, 1 << 12), dtype=np.int32)
+        self.weights = np.zeros((2, 1 << 12), dtype=np.float32)
 
     @staticmethod
     def _room(x: np.ndarray, n: int) -> np.ndarray:
@@ -118,34 +139,36 @@ class Lattices:
         left = np.repeat(end, size) - np.arange(n)
         at, h = np.arange(n), np.zeros(n, dtype=np.uint64)
         found = []
-        for k, (hashes, pieces) in enumerate(v.prefixes):
+        for k in range(v.longest):
             live = left[at] > k
             at, h = at[live], h[live]
             if not len(at):
                 break
             h = _longer(h, code[at + k])
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            live = hashes[place] == h
-            at, h, place = at[live], h[live], place[live]
-            piece = pieces[place]
+            place = v.find(h)
+            live = place >= 0
+            at, h = at[live], h[live]
+            piece = v.ids[place[live]]
             found.append(np.stack([at, np.full(len(at), k + 1), piece])[:, piece >= 0])
         src, length, piece = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
-        bare = np.setdiff1d(np.arange(n), src)
-        n_bytes = 1 + (code[bare] > 0x7F).astype(np.int64) + (code[bare] > 0x7FF) + (code[bare] > 0xFFFF)
+        bare = np.flatnonzero(np.bincount(src, minlength=n) == 0)
+        low = code[bare].astype(np.int64)
+        n_bytes = 1 + (low > 0x7F) + (low > 0x7FF) + (low > 0xFFFF)
         weight = np.r_[v.log_weight[piece], n_bytes * v.byte_weight]
-        src, length, piece = np.r_[src, bare], np.r_[length, np.ones(len(bare), dtype=np.int64)], np.r_[piece, -1 - code[bare].astype(np.int64)]
-        # Backward sums: all nodes with one character left, then two, and so on.
-        order = np.lexsort((length, src, left[src]))
+        src, length = np.r_[src, bare], np.r_[length, np.ones(len(bare), dtype=np.int64)]
+        piece = np.r_[piece, np.where(low > 0x7F, -1 - low, v.of_byte[low & 0x7F])]
+        order = np.argsort(src * (v.longest + 1) + length)
         src, length, piece, weight = src[order], length[order], piece[order], weight[order]
-        total = np.zeros(n + 1)
         to = np.where(left[src] == length, n, src + length)
-        steps = np.searchsorted(left[src], np.arange(1, int(size.max()) + 2))
+        # Backward sums: all nodes with one character left, then two, and so on.
+        remaining = left[src].astype(np.uint16)
+        back = np.argsort(remaining, kind="stable")
+        b_src, b_to, b_weight = src[back], to[back], weight[back]
+        steps = np.searchsorted(remaining[back], np.arange(1, int(size.max()) + 2))
+        total = np.zeros(n + 1)
         for a, b in zip(steps[:-1], steps[1:]):
-            w = weight[a:b] + total[to[a:b]]
-            first = np.flatnonzero(np.r_[True, src[a + 1 : b] != src[a : b - 1]])
-            total[src[a:b][first]] = np.logaddexp.reduceat(w, first)
-        order = np.lexsort((length, src))
-        src, to, piece, weight = src[order], to[order], piece[order], weight[order]
+            first = np.flatnonzero(np.r_[True, b_src[a + 1 : b] != b_src[a : b - 1]])
+            total[b_src[a:b][first]] = np.logaddexp.reduceat(b_weight[a:b] + total[b_to[a:b]], first)
         log_p = np.minimum(weight + total[to] - total[src], 0.0)
         count = np.bincount(src, minlength=n)
         first = np.cumsum(count) - count
@@ -155,13 +178,13 @@ class Lattices:
         self.nodes, self.edges, self.weights = self._room(self.nodes, base + n), self._room(self.edges, self.n_edges + m), self._room(self.weights, self.n_edges + m)
         self.nodes[:, base : base + n] = first + self.n_edges, count
         self.edges[:, self.n_edges : self.n_edges + m] = piece, np.where(to == n, 0, to + base)
-        self.weights[:, self.n_edges : self.n_edges + m] = log_p, np.minimum(above, 1.0) + src + base
+        self.weights[:, self.n_edges : self.n_edges + m] = log_p, above
         self.n_nodes += n
         self.n_edges += m
         self.root.update(zip(words, (end - size + base).tolist()))
 
     def arrays(self) -> tuple:
-        """first and count of nodes; piece, next node, log-probability, and cumulative probability plus node of edges."""
+        """first and count of nodes; piece, next node, log-probability and cumulative probability of edges."""
         nodes, edges, weights = self.nodes[:, : self.n_nodes], self.edges[:, : self.n_edges], self.weights[:, : self.n_edges]
         return nodes[0], nodes[1], edges[0], edges[1], weights[0], weights[1]
 
@@ -198,11 +221,10 @@ class Path:
 def split_words(text: str) -> list[str]:
     """A text as SentencePiece sees it: a space goes in front, and a word is its spaces' marks and what follows up to the next space."""
     marked = (" " + text).replace(SPACE, STANDS_FOR_MARK).replace(" ", SPACE)
-    out: list[str] = []
-    for w in marked.split(SPACE)[1:]:
-        w = SPACE + w
-        out += [w[i : i + LONGEST_WORD] for i in range(0, len(w), LONGEST_WORD)]
-    return out
+    words = [SPACE + w for w in marked.split(SPACE)[1:]]
+    if max(map(len, words)) <= LONGEST_WORD:
+        return words
+    return [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
 
 
 class Sampler:
@@ -220,8 +242,11 @@ class Sampler:
         out_who, out_edge, out_step = [], [], []
         while len(who):
             u = uniform(key[who], draw[who], place[who], step)
-            edge = np.searchsorted(above, node + u, "left")
-            edge = np.minimum(edge, first[node] + count[node] - 1)
+            edge, last = first[node].astype(np.int64), first[node] + count[node] - 1
+            low = np.flatnonzero((above[edge] < u) & (edge < last))
+            while len(low):
+                edge[low] += 1
+                low = low[(above[edge[low]] < u[low]) & (edge[low] < last[low])]
             out_who.append(who)
             out_edge.append(edge)
             out_step.append(np.full(len(who), step))
@@ -271,7 +296,7 @@ class Sampler:
         """``fixed``: the edges before it are shared with another path. ``left``: logarithm of the share of siblings that a region at ``fixed`` still has."""
         p = Path()
         p.edge, p.word, p.value = edge, word, value
-        log_p = tables[4][edge]
+        log_p = tables[4][edge].astype(np.float64)
         ahead = np.cumsum(log_p) - log_p
         p.log_p = float(log_p.sum())
         mass = ahead + _log1mexp(log_p)
@@ -303,11 +328,11 @@ class Sampler:
             own = np.arange(first[start], first[start] + count[start])
             gone = path.regions.get(t, []) + [at]
             rest = own[~np.isin(own, gone)]
-            p = np.exp(log_p[rest])
+            p = np.exp(log_p[rest].astype(np.float64))
             u = float(uniform(np.array([keys[i]]), (1 << 42) + draw, t)[0]) * p.sum()
             chosen = int(rest[min(int(np.searchsorted(np.cumsum(p), u)), len(rest) - 1)])
             remaining = rest[rest != chosen]
-            left = float(np.log(np.exp(log_p[remaining]).sum())) if len(remaining) else -np.inf
+            left = float(np.log(np.exp(log_p[remaining].astype(np.float64)).sum())) if len(remaining) else -np.inf
             heads.append((chosen, gone, left))
             word = int(path.word[t])
             tail = np.array([to[chosen], *words[i][word + 1 :]], dtype=np.int64)

@@ -51,7 +51,7 @@ def test_lattice_probabilities_match_brute_force(vocabulary):
         got = s.sample(np.array([5]), [word])[0]
         assert len(got) == min(400, len(want)) and len({tuple(x["ids"]) for x in got}) == len(got)
         for x in got:
-            assert math.isclose(x["log_p"], want[tuple(x["ids"].tolist())], abs_tol=1e-9)
+            assert math.isclose(x["log_p"], want[tuple(x["ids"].tolist())], abs_tol=1e-4)
         values = [x["value"] for x in got]
         assert values == sorted(values, reverse=True)
         if len(want) <= 400:
