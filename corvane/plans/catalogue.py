@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import calc, formats, sqltemplate, valuetypes
+from corvane.functions import calc, formats, sqltemplate, texts, valuetypes
 from corvane.functions.predicates import Condition, conjunction
-from corvane.operators import aggregate, facts, metadata, objects
+from corvane.operators import aggregate, candidates, facts, metadata, objects, ontology
 from corvane.plans import flow, rules
-from corvane.sources import materials, properties
+from corvane.sources import catalog, materials, properties
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -735,3 +735,133 @@ def md_facts(spark, sf):
 @query()
 def material_facts(spark, sf):
     return _facts(spark, ["leaf", "node", "ragged", "failure", "column"])
+
+
+# Catalogs, ontology graphs, candidates and texts
+
+
+@query("""
+SELECT table_name AS "table", column_name AS field, ordinal_position AS place, CASE WHEN column_name IN ('n_nationkey', 'r_regionkey', 'p_partkey') THEN 'pri' ELSE '' END AS key
+FROM information_schema.columns WHERE table_name IN ('nation', 'region', 'part') AND table_schema = 'main'
+""")
+def catalog_scan(spark, sf):
+    tables = {n: t(spark, sf, n) for n in ("nation", "region", "part")}
+    return catalog.catalog(spark, tables, {"nation": "n_nationkey", "region": "r_regionkey", "part": "p_partkey"}).drop("type")
+
+
+def _nodes(spark, sf):
+    key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    n, r = t(spark, sf, "nation"), t(spark, sf, "region")
+    blank = F.lit(None).cast("string")
+    return (
+        r.select(F.lit("objectTypes").alias("group"), key("R", "r_regionkey").alias("id"), F.col("r_name").alias("name"), blank.alias("domain"), blank.alias("range"))
+        .unionByName(n.select(F.lit("linkTypes").alias("group"), key("L", "n_nationkey").alias("id"), F.col("n_name").alias("name"), key("R", "n_regionkey").alias("domain"), F.lit("R0").alias("range")))
+        .unionByName(n.select(F.lit("properties").alias("group"), key("P", "n_nationkey").alias("id"), F.col("n_name").alias("name"), key("R", "n_regionkey").alias("domain"), F.lit("string").alias("range")))
+    )
+
+
+@query("""
+SELECT 'objectTypes' AS "group", 'R' || r_regionkey AS id, r_name AS name, NULL::VARCHAR AS domain, NULL::VARCHAR AS range FROM region
+UNION ALL SELECT 'linkTypes', 'L' || n_nationkey, n_name, 'R' || n_regionkey, 'R0' FROM nation UNION ALL SELECT 'properties', 'P' || n_nationkey, n_name, 'R' || n_regionkey, 'string' FROM nation
+""")
+def jsonld_round_trip(spark, sf):
+    return ontology.decoded(ontology.encoded(_nodes(spark, sf).withColumn("model", F.lit(1)), "model"))
+
+
+@query("SELECT 'link' AS kind, 'R' || n_regionkey AS source FROM nation UNION ALL SELECT 'property', 'P' || n_nationkey FROM nation WHERE n_regionkey = 0")
+def deletion_dependencies(spark, sf):
+    return ontology.users(ontology.edges(_nodes(spark, sf)), "R0")
+
+
+@query("SELECT 'source' AS side, l_partkey::VARCHAR AS value, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 2 HAVING count(DISTINCT l_suppkey) > 1")
+def link_cardinality(spark, sf):
+    return ontology.cardinality_faults(t(spark, sf, "lineitem"), "l_partkey", "l_suppkey", "many-to-one")
+
+
+@query("""
+WITH c AS (SELECT o_custkey, list(DISTINCT l_partkey) AS e FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1), x AS (SELECT o_custkey, unnest(e) AS id FROM c),
+f AS (SELECT p_partkey AS id, CASE WHEN p_size < 40 THEN 'low' ELSE 'high' END AS quality FROM part WHERE p_partkey % 3 <> 0)
+SELECT o_custkey, count(quality) AS known, count(*) FILTER (quality IS NULL) AS unknown, CASE WHEN count(*) FILTER (quality = 'high') > 0 THEN 'supported' WHEN count(quality) > 0 THEN 'weak' ELSE 'missing' END AS status
+FROM x LEFT JOIN f USING (id) GROUP BY 1
+""")
+def evidence_status(spark, sf):
+    lines = t(spark, sf, "lineitem").join(t(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    cand = lines.groupBy("o_custkey").agg(F.collect_set("l_partkey").alias("e"))
+    known = t(spark, sf, "part").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") < 40, "low").otherwise("high").alias("quality"))
+    return candidates.evidence_status(cand, known, "o_custkey", "e")
+
+
+@query("""
+SELECT CASE WHEN p_partkey % 4 = 0 THEN 'b:' ELSE '' END || p_partkey AS key, CASE WHEN (p_partkey // 10) % 4 = 0 THEN 'b:' ELSE '' END || (p_partkey // 10) AS owner_key FROM part
+""")
+def namespace_batch(spark, sf):
+    p = t(spark, sf, "part")
+    new = p.select(F.col("p_partkey").cast("string").alias("key"), F.expr("p_partkey div 10").cast("string").alias("owner_key"))
+    return candidates.namespaced(new, p.filter("p_partkey % 4 = 0").select(F.col("p_partkey").cast("string").alias("key")), "b:")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type <> 'view') WHERE k <= 8")
+def context_picker(spark, sf):
+    return candidates.context(t(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "view").select("user_id", "event_id")
+
+
+@query("""
+WITH live AS (SELECT * FROM events e WHERE event_type <> 'click' AND NOT EXISTS (SELECT 1 FROM events u WHERE u.event_type = 'click' AND u.event_id - 1 = e.event_id))
+SELECT user_id, arg_max(event_type, event_id) AS operation FROM live GROUP BY 1
+""")
+def review_replay(spark, sf):
+    e = t(spark, sf, "events")
+    log = e.select("user_id", "event_id", F.col("event_type").alias("operation"), F.when(F.col("event_type") == "click", F.col("event_id") - 1).alias("undoes"))
+    return candidates.decided(log, "user_id", "event_id")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size > 10 AND (p_partkey % 5 = 0 OR (p_retailprice <= 1500 AND p_size > 30))")
+def delivery_gate(spark, sf):
+    p = t(spark, sf, "part").select(
+        "p_partkey", F.when(F.col("p_size") > 10, "include").otherwise("exclude").alias("decision"), (F.col("p_partkey") % 5 == 0).alias("reviewed"),
+        (F.col("p_retailprice") > 1500).alias("conflict"), F.when(F.col("p_size") > 30, "supported").otherwise("weak").alias("status"),
+    )
+    return candidates.deliverable(p).select("p_partkey")
+
+
+@query("""
+SELECT p_name AS reference, CASE WHEN p_partkey % 2 = 0 THEN 'k' || p_partkey WHEN p_partkey % 3 = 0 THEN 'i' || p_partkey WHEN p_partkey % 5 = 0 THEN 'a' || p_partkey END AS target FROM part
+WHERE p_name IN (SELECT p_name FROM part GROUP BY 1 HAVING count(*) = 1)
+""")
+def reference_resolution(spark, sf):
+    p = t(spark, sf, "part")
+    p = p.join(p.groupBy("p_name").count().filter("count = 1"), "p_name", "left_semi")
+    side = lambda rule, mark: p.filter(rule).select(F.col("p_name").alias("name"), F.concat(F.lit(mark), F.col("p_partkey").cast("string")).alias("target"))
+    return candidates.resolved(p.select(F.col("p_name").alias("reference")), side("p_partkey % 2 = 0", "k"), side("p_partkey % 3 = 0", "i"), side("p_partkey % 5 = 0", "a"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'hard' WHEN page_id % 4 = 1 THEN 'soft' WHEN page_id % 4 = 2 THEN 'allowed' ELSE 'taken' END AS verdict FROM pages")
+def upload_filter(spark, sf):
+    name = F.element_at(F.array(F.lit(".git/config.md"), F.lit("/x.LOG"), F.lit("/y.bak"), F.lit("/z.md")), (F.col("page_id") % 4 + 1).cast("int"))
+    return t(spark, sf, "pages").select("page_id", texts.upload_verdict(F.concat(F.lit("a/"), name), allow=("bak",)).alias("verdict"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(text, '(?i)((?:password|passwd|secret|token|api_?key)\s*[=:]\s*)\S+', '\1***', 'g') AS shown FROM documents WHERE regexp_matches(text, 'token')""")
+def redaction(spark, sf):
+    return t(spark, sf, "documents").filter(F.col("text").contains("token")).select("doc_id", texts.redacted(F.col("text")).alias("shown"))
+
+
+@query("SELECT doc_id, strlen(text) + 64 AS tokens_in, greatest(1024, 256 * (doc_id % 9) + ceil(0.25 * (strlen(text) + 64)))::BIGINT AS tokens_out FROM documents")
+def token_budget(spark, sf):
+    d = t(spark, sf, "documents").withColumn("tokens_in", texts.token_estimate(F.col("text"), 2))
+    return d.select("doc_id", "tokens_in", texts.output_budget(F.col("doc_id") % 9, F.col("tokens_in")).alias("tokens_out"))
+
+
+@query("SELECT n_nationkey, 'http://x.test/q?n=' || replace(n_name, ' ', '%20') || '&r=' || n_regionkey AS url FROM nation")
+def url_template(spark, sf):
+    return t(spark, sf, "nation").select("n_nationkey", texts.url("http://x.test/q?n={n}&r={r}", n=F.col("n_name"), r=F.col("n_regionkey")).alias("url"))
+
+
+@query("SELECT user_id, list_sort(list(value))[greatest(ceil(count(*) * 0.95), 1)::INT] AS p95 FROM events GROUP BY 1")
+def nearest_rank_percentile(spark, sf):
+    return t(spark, sf, "events").groupBy("user_id").agg(texts.nearest_rank(F.collect_list("value"), 0.95).alias("p95"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal / 50 BETWEEN -90 AND 90 THEN c_acctbal / 50 END AS lat FROM customer")
+def coordinates(spark, sf):
+    return t(spark, sf, "customer").select("c_custkey", texts.coordinate((F.col("c_acctbal") / 50).cast("string"), -90, 90).alias("lat"))

@@ -215,3 +215,23 @@ def test_stream_of_files(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.k: r.ts.hour for r in spark.sql("SELECT * FROM latest").collect()} == {0: 4, 1: 4}
+
+
+def test_types_fit_by_structure():
+    from corvane import types
+
+    wide = {"object": {"a": "number", "b": {"list": {"object": {"c": "text"}}}, "d": "text"}}
+    asked = {"object": {"a": "number", "b": {"list": {"object": {"c": "text"}}}}}
+    assert types.fits(wide, asked) and not types.fits(asked, wide) and not types.fits("text", "number")
+    assert types.nested(wide) == 2
+    assert types.json_value({"d": dt.datetime(2024, 1, 2, 3), "b": b"\xff", "n": None}) == {"d": "2024-01-02 03:00:00", "b": "�", "n": None}
+
+
+def test_texts(spark):
+    from corvane.functions import texts
+
+    row = spark.range(1).select(
+        texts.redacted(F.lit("password = abc token: x1 Bearer a.b-c")).alias("r"), texts.terms(F.lit("Ab_1 电池电压 x")).alias("t"),
+        texts.conflicting(F.array(F.lit("A"), F.lit("b")), F.array(F.lit("a"), F.lit("c"))).alias("c"), texts.coordinate(F.lit("91"), -90, 90).alias("l"),
+    ).first()
+    assert row.r == "password = *** token: *** Bearer ***" and row.t == ["ab_1", "x", "电池", "池电", "电压"] and row.c == ["a"] and row.l is None
