@@ -11,7 +11,7 @@ from corvane.functions import calc, formats, sqltemplate, texts, valuetypes
 from corvane.functions.predicates import Condition, conjunction
 from corvane.operators import aggregate, candidates, facts, metadata, objects, ontology
 from corvane.plans import flow, rules
-from corvane.sources import catalog, materials, properties
+from corvane.sources import catalog, materials, properties, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -865,3 +865,34 @@ def nearest_rank_percentile(spark, sf):
 @query("SELECT c_custkey, CASE WHEN c_acctbal / 50 BETWEEN -90 AND 90 THEN c_acctbal / 50 END AS lat FROM customer")
 def coordinates(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", texts.coordinate((F.col("c_acctbal") / 50).cast("string"), -90, 90).alias("lat"))
+
+
+# Writes, as the tables they leave
+
+
+@query("""
+WITH c AS (SELECT 'k' || (event_id % 50) AS key, event_type AS value, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'DEL' ELSE 'SET' END AS op FROM events),
+a AS (SELECT 'k' || n_nationkey AS key, n_name AS value, -1 AS seq, 'SET' AS op FROM nation UNION ALL SELECT * FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM a)
+SELECT key, value FROM r WHERE n = 1 AND op <> 'DEL'
+""")
+def kv_upsert(spark, sf):
+    store = t(spark, sf, "nation").select(F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("value"))
+    changes = t(spark, sf, "events").select(F.concat(F.lit("k"), (F.col("event_id") % 50).cast("string")).alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 == 0, "DEL").otherwise("SET").alias("op"))
+    return sinks.upserted(store, changes)
+
+
+@query("""
+WITH q AS (SELECT c_custkey AS key, c_mktsegment AS digest FROM customer), d AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 4 = 0 THEN 'other' ELSE c_mktsegment END AS digest, c_name AS response FROM customer WHERE c_custkey % 2 = 0)
+SELECT q.key, q.digest, CASE WHEN d.key IS NULL THEN 'new' WHEN d.digest = q.digest THEN 'replay' ELSE 'conflict' END AS outcome, CASE WHEN d.digest = q.digest THEN response END AS response FROM q LEFT JOIN d ON q.key = d.key
+""")
+def idempotent_requests(spark, sf):
+    c = t(spark, sf, "customer")
+    done = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 4 == 0, "other").otherwise(F.col("c_mktsegment")).alias("digest"), F.col("c_name").alias("response"))
+    return sinks.answered(c.select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("digest")), done)
+
+
+@query("SELECT s_suppkey + CASE WHEN s_suppkey % 3 = 0 THEN 1000000 ELSE 0 END AS s_suppkey, s_nationkey FROM supplier")
+def import_id_remap(spark, sf):
+    s = t(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    ids = s.filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("old"), (F.col("s_suppkey") + 1_000_000).alias("new"))
+    return sinks.renamed_ids(s, ids, ["s_suppkey"]).select("s_suppkey", "s_nationkey")

@@ -12,8 +12,10 @@ import io
 import json
 import re
 import tomllib
+import zipfile
 from collections.abc import Callable, Iterator
 from typing import Any
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -140,6 +142,40 @@ def text_facts(text: str) -> Iterator[Fact]:
             yield "line", "", n, line.strip()[:400], "low"
 
 
+def docx_facts(content: bytes) -> Iterator[Fact]:
+    """Headings and paragraphs of a Word file."""
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+    for n, p in enumerate(body.iter(f"{w}p"), 1):
+        text = "".join(x.text or "" for x in p.iter(f"{w}t"))
+        style = p.find(f"{w}pPr/{w}pStyle")
+        if text.strip():
+            heading = style is not None and style.get(f"{w}val", "").lower().startswith("heading")
+            yield ("heading" if heading else "paragraph"), text[:200] if heading else "", n, "" if heading else text[:400], "high"
+
+
+def xlsx_facts(content: bytes) -> Iterator[Fact]:
+    """Cells of each sheet as stored; formulas are not computed."""
+    s = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in x.iter(f"{s}t")) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{s}si")]
+        sheets = [x.get("name") for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{s}sheet")]
+        files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        for sheet, file in zip(sheets, files):
+            for cell in ElementTree.fromstring(z.read(file)).iter(f"{s}c"):
+                v = cell.find(f"{s}v")
+                text = "".join(t.text or "" for t in cell.iter(f"{s}t")) if cell.get("t") == "inlineStr" else (v.text if v is not None else None)
+                if text is not None:
+                    value = shared[int(text)] if cell.get("t") == "s" else text
+                    bad = cell.get("t") == "e"
+                    yield ("error_cell" if bad else "cell"), f"{sheet}!{cell.get('r')}", int(re.sub(r"\D", "", cell.get("r") or "0") or 0), value, "low" if bad else "high"
+
+
+BINARY: dict[str, Callable[[bytes], Iterator[Fact]]] = {"docx": docx_facts, "xlsx": xlsx_facts}
 PARSERS: dict[str, Callable[[str], Iterator[Fact]]] = {
     "json": json_facts, "jsonld": json_facts, "jsonl": jsonl_facts, "ndjson": jsonl_facts, "csv": csv_facts, "tsv": csv_facts, "ini": ini_facts, "cfg": ini_facts,
     "properties": properties_facts, "toml": toml_facts, "yaml": yaml_facts, "yml": yaml_facts, "md": markdown_facts, "sql": ddl_facts, "txt": text_facts,
@@ -148,13 +184,15 @@ PARSERS: dict[str, Callable[[str], Iterator[Fact]]] = {
 
 def parse(path: str, content: bytes) -> list[tuple]:
     """Facts of one file by its suffix; unknown suffixes are read as lines, and a file that fails says so in one fact."""
+    suffix = path.rpartition(".")[2].lower()
     try:
         text = content.decode("utf-8-sig")
     except UnicodeDecodeError:
         text = content.decode("latin-1")
     out = []
     try:
-        for kind, name, line, data, quality in PARSERS.get(path.rpartition(".")[2].lower(), text_facts)(text):
+        found = BINARY[suffix](content) if suffix in BINARY else PARSERS.get(suffix, text_facts)(text)
+        for kind, name, line, data, quality in found:
             out.append((path, kind, name, line, json.dumps(data, ensure_ascii=False, sort_keys=True), quality))
             if len(out) > MOST_FACTS:
                 return [(path, "failure", "facts", 0, json.dumps(f"more than {MOST_FACTS} facts"), "low")]

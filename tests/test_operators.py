@@ -235,3 +235,43 @@ def test_texts(spark):
         texts.conflicting(F.array(F.lit("A"), F.lit("b")), F.array(F.lit("a"), F.lit("c"))).alias("c"), texts.coordinate(F.lit("91"), -90, 90).alias("l"),
     ).first()
     assert row.r == "password = *** token: *** Bearer ***" and row.t == ["ab_1", "x", "电池", "池电", "电压"] and row.c == ["a"] and row.l is None
+
+
+def test_sinks(spark, tmp_path):
+    from corvane.sources import sinks
+
+    path = str(tmp_path / "facts")
+    rows = lambda *r: spark.createDataFrame(list(r), "material string, n int")
+    sinks.replace_partitions(rows(("a", 1), ("a", 2), ("b", 3)), path, ["material"])
+    for _ in range(2):
+        sinks.replace_partitions(rows(("a", 9)), path, ["material"])
+    assert sorted((r.material, r.n) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 3)]
+    store = spark.createDataFrame([("x", "1"), ("y", "5")], "key string, value string")
+    added = sinks.counted(store, spark.createDataFrame([("x", 2), ("x", -1), ("z", 4)], "key string, by int"))
+    assert {r.key: r.value for r in added.collect()} == {"x": 2, "y": 5, "z": 4}
+    absent = sinks.set_if_absent(store, spark.createDataFrame([("x", "9", 1), ("z", "b", 2), ("z", "a", 1)], "key string, value string, seq int"))
+    assert {r.key: r.value for r in absent.collect()} == {"x": "1", "y": "5", "z": "a"}
+    assert sinks.fetched(spark, ["u"], lambda u: '{"a": {"b": 3}}', "a.b").first().value == "3"
+    entries = spark.createDataFrame([("../x", 1, 1), ("C:/x", 1, 1), ("a/b", 1, 1), ("big", 10**6, 10)], "name string, size long, packed long")
+    assert {r.name: r.why for r in sinks.unsafe_entries(entries).collect()} == {"../x": "unsafe path", "C:/x": "unsafe path", "big": "ratio"}
+
+
+def test_office_files():
+    import io
+    import zipfile
+
+    def archive(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in files.items():
+                z.writestr(name.replace("__", "/") + ".xml", text)
+        return out.getvalue()
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    doc = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>te</w:t><w:t>xt</w:t></w:r></w:p></w:body></w:document>'
+    assert [(f[1], f[2], f[4]) for f in materials.parse("a.docx", archive(word__document=doc))] == [("heading", "Top", '""'), ("paragraph", "", '"text"')]
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = f'<worksheet {s}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1"><f>1+1</f><v>2</v></c><c r="C1" t="e"><v>#REF!</v></c></row></sheetData></worksheet>'
+    book = archive(xl__workbook=f'<workbook {s}><sheets><sheet name="S"/></sheets></workbook>', xl__sharedStrings=f"<sst {s}><si><t>hi</t></si></sst>", xl__worksheets__sheet1=sheet)
+    assert [(f[1], f[2], f[4]) for f in materials.parse("b.xlsx", book)] == [("cell", "S!A1", '"hi"'), ("cell", "S!B1", '"2"'), ("error_cell", "S!C1", '"#REF!"')]
+    assert materials.parse("c.xlsx", b"no zip")[0][1] == "failure"
