@@ -39,6 +39,8 @@ OVER, UNDER = 75, 100
 #: Shingles that a task sums up before it sends counts.
 FLUSH = 1 << 21
 LEAST_T = 64
+#: Pivots of a shingle in the rounds after the first; 0 stands for all pairs that are left.
+PIVOTS = (8, 0)
 
 
 def _need(n: np.ndarray | int) -> np.ndarray | int:
@@ -198,10 +200,10 @@ def _passes(n_a, i_a, n_b, i_b) -> np.ndarray:
     return (UNDER * least >= OVER * most) & (1 + np.minimum(n_a - i_a - 1, n_b - i_b - 1) >= overlap)
 
 
-def _candidates(posted: DataFrame, full: bool, turn: int) -> DataFrame:
+def _candidates(posted: DataFrame, pivots: int, turn: int) -> DataFrame:
     """Pairs (a, b) of nodes in different components that share a prefix shingle and pass the filters.
 
-    Not ``full``: only pairs with one pivot per shingle, another one each ``turn``.
+    Only pairs with the first ``pivots`` nodes of a shingle, in an order that differs each ``turn``; with 0 pivots, all pairs.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -220,9 +222,10 @@ def _candidates(posted: DataFrame, full: bool, turn: int) -> DataFrame:
                 a, b = node[i][good], node[j][good]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
 
-        if not full:
-            pivot = np.repeat(first, size)
-            add(pivot, np.arange(len(shingle)))
+        if pivots:
+            for k in range(min(pivots, int(size.max()))):
+                some = np.flatnonzero(np.repeat(size, size) > k)
+                add(np.repeat(first, size)[some] + k, some)
         else:
             mixed = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
             for f, s in zip(first[mixed], size[mixed]):
@@ -278,12 +281,12 @@ def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> DataFr
     of_group = written(grouped, "groups")
     leaders = of_group.filter("node = leader").select("node", F.col("node").alias("comp"))
     within = of_group.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    first = _candidates(_posted(sets.join(leaders, "node"), bits), False, 0)
+    first = _candidates(_posted(sets.join(leaders, "node"), bits), 1, 0)
     links = written(_linked(first.unionByName(within).distinct(), sets), "links-0")
     labels = components(links)
-    for turn, full in ((1, False), (2, True)):
+    for turn, pivots in enumerate(PIVOTS, 1):
         placed = sets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        more = written(_linked(_candidates(_posted(placed, bits), full, turn), sets), f"links-{turn}")
+        more = written(_linked(_candidates(_posted(placed, bits), pivots, turn), sets), f"links-{turn}")
         links = links.unionByName(more)
         labels = components(links)
     forget(sets)

@@ -14,6 +14,8 @@ little-endian.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -30,7 +32,10 @@ MAGIC = b"TOKV1\n"
 #: Documents in a file, and numbers in a block. A file holds whole documents.
 DOCS_A_FILE, BLOCK = 4096, 1 << 20
 #: Distinct words whose ids a task remembers.
-WORDS_KEPT = 1 << 20
+WORDS_KEPT = 1 << 19
+#: Between words that are encoded together; texts that hold it are encoded whole.
+MARK = b"\x01"
+STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], dtype=np.uint8)
 
 
@@ -57,14 +62,15 @@ def decode_numbers(control: np.ndarray, data: np.ndarray, count: int) -> np.ndar
     return out.astype(np.uint32)
 
 
-def write_blocks(ids: np.ndarray, counts: np.ndarray, numbers: np.ndarray) -> Iterator[bytes]:
+def write_blocks(ids: np.ndarray, counts: np.ndarray, numbers: Iterator[np.ndarray]) -> Iterator[bytes]:
+    """A file's parts, from the numbers of one document after another."""
     yield MAGIC
     ends = np.cumsum(counts, dtype=np.int64)
     first = 0
     while first < len(ids):
         base = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
-        part = numbers[base : ends[last - 1]]
+        part = np.concatenate([next(numbers) for _ in range(first, last)])
         control, data = encode_numbers(part)
         yield np.array([last - first, len(part), len(data)], dtype="<u4").tobytes()
         yield ids[first:last].astype("<i8").tobytes()
@@ -93,43 +99,80 @@ def read_blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that drops white space and never joins words across it.
+    """Ids of whole texts from a tokenizer that lower-cases, drops white space and never joins words across it.
 
     Each distinct word goes through the tokenizer once a task; texts are then put
-    together from the remembered ids. ``tests/llm`` compares with whole-text encoding.
+    together from the remembered ids. Texts that hold the opening of a special
+    token are encoded whole. ``tests/llm`` compares with whole-text encoding.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.openings = tuple({t[:2].encode() for t in special} | {MARK})
+        self.mark_id, *more = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        if more:
+            raise ValueError("the tokenizer has no single id for the mark between words")
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.pieces: list[np.ndarray] = []
+        self.flat = np.zeros(1 << 16, dtype=np.uint32)
+        self.begin = np.zeros(1 << 12, dtype=np.int64)
+        self.size = np.zeros(1 << 12, dtype=np.int64)
+        self.used = self.known = 0
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Remember runs of ids; the number of the first."""
+        first = self.known
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(sizes) > len(self.size):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[first : first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + len(sizes)] = sizes
+        self.used += len(ids)
+        self.known += len(sizes)
+        return first
+
+    def _learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([(b" " + MARK + b" ").join(some).decode("utf-8")], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            cut = np.flatnonzero(ids == self.mark_id)
+            sizes = np.diff(np.r_[-1, cut, len(ids)]) - 1
+            first = self._keep(ids[ids != self.mark_id], sizes)
+            self.index.update(zip(some, range(first, first + len(some))))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has, its end id included."""
         if len(self.index) > WORDS_KEPT:
             self.clear()
-        words = [t.encode("utf-8", "replace").split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.index})
-        for enc, w in zip(self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False), new):
-            self.index[w] = len(self.pieces)
-            self.pieces.append(np.array(enc.ids, dtype=np.uint32))
-        table = self.pieces + [np.array([end_id], dtype=np.uint32)]
-        sizes = np.array([len(p) for p in table], dtype=np.int64)
-        flat = np.concatenate(table)
-        begin = np.cumsum(sizes) - sizes
-        end = len(table) - 1
-        get = self.index.__getitem__
-        at = np.array([k for ws in words for k in (*map(get, ws), end)], dtype=np.int64)
-        per_word = sizes[at]
+        flat: list[bytes] = []
+        ends = []
+        for n, text in enumerate(texts):
+            raw = text.encode("utf-8", "replace")
+            if any(o in raw for o in self.openings):
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+                key = MARK + str(n).encode()
+                self.index[key] = self._keep(ids, np.array([len(ids)]))
+                flat.append(key)
+            else:
+                # A stop or comma between a letter and white space is a piece of its own already.
+                flat += STOP.sub(rb" \1", raw.lower()).split()
+            flat.append(b"")
+            ends.append(len(flat))
+        self.index[b""] = self._keep(np.array([end_id], dtype=np.uint32), np.array([1]))
+        self._learn(list(set(flat).difference(self.index)))
+        at = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
+        per_word = self.size[at]
         total = np.cumsum(per_word)
-        ids = flat[np.repeat(begin[at] - (total - per_word), per_word) + np.arange(total[-1] if len(total) else 0)]
-        doc_end = np.cumsum([len(ws) + 1 for ws in words])
-        tokens_end = total[doc_end - 1] if len(doc_end) else np.zeros(0, dtype=np.int64)
+        ids = self.flat[np.repeat(self.begin[at] - (total - per_word), per_word) + np.arange(total[-1] if len(total) else 0)]
+        tokens_end = total[np.array(ends, dtype=np.int64) - 1] if ends else np.zeros(0, dtype=np.int64)
         return ids, np.diff(tokens_end, prepend=0)
 
 
@@ -196,7 +239,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 2, docs_a_f
     n = ids.count()
     shares = max(1, -(-n // docs_a_file))
     bounds = ids.stat.approxQuantile("doc_id", [k / shares for k in range(1, shares)], 0.2 / shares) if shares > 1 else []
-    tokens = written(_encoded(docs, tokenizer_file, end_id, sorted({int(b) for b in bounds})), "tokens")
+    tokens = written(_encoded(docs, tokenizer_file, end_id, sorted({int(b) for b in bounds})), "tokens", compression="zstd")
     by_rank = np.array([r["id"] for r in sorted(_counts(tokens).collect(), key=lambda r: (-r["n"], r["id"]))], dtype=np.int64)
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, dtype=np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -205,15 +248,27 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 2, docs_a_f
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
     ranks = spark.sparkContext.broadcast(rank_of)
 
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, control, data = [], [], []
+            for ids in batch.column("ids").to_pylist():
+                numbers = ranks.value[np.frombuffer(ids, dtype="<u4")]
+                c, d = encode_numbers(numbers)
+                counts.append(len(numbers)), control.append(c), data.append(d)
+            columns = [batch.column("file_no"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["file_no", "doc_id", "n", "control", "data"])
+
     def put(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "ids"], kind="stable")
-        counts = (rows["ids"].str.len() // 4).to_numpy()
-        numbers = ranks.value[np.frombuffer(b"".join(rows["ids"]), dtype="<u4")]
+        rows = rows.sort_values(["doc_id", "n", "control", "data"], kind="stable")
+        counts = rows["n"].to_numpy()
+        numbers = (decode_numbers(np.frombuffer(c, np.uint8), np.frombuffer(d, np.uint8), n) for c, d, n in zip(rows["control"], rows["data"], counts))
         name = f"{int(key[0]):012d}.tok"
         _put(folder, name, write_blocks(rows["doc_id"].to_numpy(), counts, numbers))
         return pd.DataFrame({"file_no": [int(key[0])], "name": [name], "n_docs": [len(rows)], "n_tokens": [int(counts.sum())]})
 
-    manifest = written(tokens.groupBy("file_no").applyInPandas(put, "file_no long, name string, n_docs long, n_tokens long"), "token-manifest")
+    # Ids are coded before the shuffle: about a third of the bytes move.
+    coded = tokens.mapInArrow(ranked, "file_no long, doc_id long, n long, control binary, data binary")
+    manifest = written(coded.groupBy("file_no").applyInPandas(put, "file_no long, name string, n_docs long, n_tokens long"), "token-manifest")
     forget(tokens)
     return folder, manifest, by_rank
 

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled rows that a fit uses at most, taken by the hash of doc_id; scoring covers all rows.
 FIT_ROWS = 40_000
@@ -252,7 +253,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
     if keep is not None:
         text_at = "text"
         rows = docs.select(*keep)
-        return rows.mapInArrow(run, rows.schema.add("_score", "double"))
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())]))
     text_at = "text"
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, score double, passages array<struct<start:int,end:int,score:double,expectation:double>>")
