@@ -11,8 +11,9 @@ million rows and may go to every task.
 * Nodes with the same prefix and size are one group; only its leader is posted.
 * Under each prefix shingle, groups are paired with one pivot; pairs must pass
   the size and position filters. Groups expand to their members, sets are
-  compared, and linked nodes merge. What is left, pairs of nodes in different
-  components, is paired with other pivots, and then in full.
+  compared, and linked nodes merge. Nodes that are still outside a shingle's
+  largest component then try a few neighbours in an order by hash, twice, and
+  what is left, pairs of nodes in different components, is paired in full.
 
 No pair is skipped but for the filters and for nodes that are already
 connected, so components are exact, and copies are never paired with each other.
@@ -39,8 +40,8 @@ OVER, UNDER = 75, 100
 #: Shingles that a task sums up before it sends counts.
 FLUSH = 1 << 21
 LEAST_T = 64
-#: Pivots of a shingle in the rounds after the first; 0 stands for all pairs that are left.
-PIVOTS = (8, 0)
+#: Neighbours that a node tries under a shingle in the rounds after the first; 0 stands for all pairs that are left.
+TRIES = (8, 16, 0)
 
 
 def _need(n: np.ndarray | int) -> np.ndarray | int:
@@ -200,10 +201,11 @@ def _passes(n_a, i_a, n_b, i_b) -> np.ndarray:
     return (UNDER * least >= OVER * most) & (1 + np.minimum(n_a - i_a - 1, n_b - i_b - 1) >= overlap)
 
 
-def _candidates(posted: DataFrame, pivots: int, turn: int) -> DataFrame:
+def _candidates(posted: DataFrame, turn: int, tries: int = 0) -> DataFrame:
     """Pairs (a, b) of nodes in different components that share a prefix shingle and pass the filters.
 
-    Only pairs with the first ``pivots`` nodes of a shingle, in an order that differs each ``turn``; with 0 pivots, all pairs.
+    In turn 0, pairs with the shingle's first node. Later, nodes outside the shingle's largest component are paired
+    with the next ``tries`` nodes in an order that differs each turn; with 0 tries, with all nodes.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -221,23 +223,22 @@ def _candidates(posted: DataFrame, pivots: int, turn: int) -> DataFrame:
             if good.any():
                 a, b = node[i][good], node[j][good]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+                if len(found) > 64:
+                    found[:] = [np.unique(np.concatenate(found), axis=0)]
 
-        if pivots:
-            for k in range(min(pivots, int(size.max()))):
-                some = np.flatnonzero(np.repeat(size, size) > k)
-                add(np.repeat(first, size)[some] + k, some)
+        if not turn:
+            add(np.repeat(first, size), np.arange(len(shingle)))
         else:
             mixed = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
-            for f, s in zip(first[mixed], size[mixed]):
+            for f, s in zip(first[mixed].tolist(), size[mixed].tolist()):
                 own = comp[f : f + s]
                 values, counts = np.unique(own, return_counts=True)
                 minor = np.flatnonzero(own != values[counts.argmax()])
-                all_of = np.arange(f, f + s)
-                for at in range(0, len(minor), max(1, (1 << 20) // s)):
-                    some = minor[at : at + max(1, (1 << 20) // s)] + f
-                    add(np.repeat(some, s), np.tile(all_of, len(some)))
-                if len(found) > 64:
-                    found[:] = [np.unique(np.concatenate(found), axis=0)]
+                width = min(tries, s - 1) if tries else s - 1
+                step = max(1, (1 << 20) // width)
+                for at in range(0, len(minor), step):
+                    some = np.repeat(minor[at : at + step], width)
+                    add(some + f, (some + np.tile(np.arange(1, width + 1), len(some) // width)) % s + f)
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -263,6 +264,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) after merging what ``links`` (a, b) connect; only components that links touch are worked on."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("comp").alias("of_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("comp").alias("of_b"))
+    between = written(links.join(of_a, "a").join(of_b, "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), "merges")
+    up = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    return written(labels.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "node-labels")
+
+
 def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
@@ -281,14 +291,11 @@ def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> DataFr
     of_group = written(grouped, "groups")
     leaders = of_group.filter("node = leader").select("node", F.col("node").alias("comp"))
     within = of_group.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    first = _candidates(_posted(sets.join(leaders, "node"), bits), 1, 0)
-    links = written(_linked(first.unionByName(within).distinct(), sets), "links-0")
-    labels = components(links)
-    for turn, pivots in enumerate(PIVOTS, 1):
-        placed = sets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        more = written(_linked(_candidates(_posted(placed, bits), pivots, turn), sets), f"links-{turn}")
-        links = links.unionByName(more)
-        labels = components(links)
+    first = _candidates(_posted(sets.join(leaders, "node"), bits), 0)
+    labels = _merged(sets.select("node", F.col("node").alias("comp")), _linked(first.unionByName(within).distinct(), sets))
+    for turn, tries in enumerate(TRIES, 1):
+        placed = sets.join(labels, "node")
+        labels = _merged(labels, _linked(_candidates(_posted(placed, bits), turn, tries), sets))
     forget(sets)
     known = all_nodes.select("doc_id", "n_shingles", "node")
     labelled = known.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
