@@ -14,6 +14,7 @@ and a logistic curve maps the sum to a probability.
 from __future__ import annotations
 
 import math
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 
 #: Labelled rows that a fit uses at most, taken by the hash of doc_id; scoring covers all rows.
 FIT_ROWS = 40_000
-#: Share of the counts that the Dirichlet prior adds, and the least z-value and log-odds of a feature.
-PRIOR, LEAST_Z, LEAST_ODDS = 0.05, 3.0, 3.5
+#: Share of the counts that the Dirichlet prior adds, and the least z-value of a feature.
+PRIOR, LEAST_Z = 0.05, 3.0
 PENALTY = 1.0
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„‘’…–—¿¡"
 RAW_KEPT = 1 << 17
@@ -147,7 +148,7 @@ def _gains(training: DataFrame, penalty: float) -> dict[str, float]:
     t, c = F.col("t") + prior, F.col("c") + prior
     odds = F.log(t / (F.lit(all_t + p0) - t)) - F.log(c / (F.lit(all_c + p0) - c))
     z = odds / F.sqrt(1 / t + 1 / c)
-    return {r["feature"]: r["odds"] - penalty for r in counts.select("feature", odds.alias("odds"), z.alias("z")).filter(F.col("z") >= LEAST_Z).filter(F.col("odds") >= max(penalty, LEAST_ODDS)).collect()}
+    return {r["feature"]: r["odds"] - penalty for r in counts.select("feature", odds.alias("odds"), z.alias("z")).filter(F.col("z") >= LEAST_Z).filter(F.col("odds") > penalty).collect()}
 
 
 def _lambda(scores: dict[float, float], penalty: float) -> float:
@@ -179,11 +180,16 @@ def _curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, penalty: float = PENALTY) -> Model:
-    """A model from labelled rows that aren't held out; without both labels it predicts the clean side for all."""
+    """A model from labelled rows that aren't held out; without both labels it predicts the clean side for all.
+
+    So it does, with a RuntimeWarning, if there are both labels but no feature tells them apart.
+    """
     training = _training(docs, labels, fit_rows).persist()
     try:
         model = Model(_gains(training, penalty))
         if not model.gains:
+            if training.select("toxic").distinct().count() > 1:
+                warnings.warn(f"no feature tells toxic from clean texts (z-value of {LEAST_Z}, log-odds over {penalty}): all texts count as clean", RuntimeWarning, stacklevel=2)
             return model
         held = docs.sparkSession.sparkContext.broadcast(model.gains)
 

@@ -69,6 +69,29 @@ def test_odd_rows_and_missing_labels(spark):
     assert toxicity.report(docs.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("toxic_of_ten", [4, 5, 8])
+def test_many_toxic_labels(spark, toxic_of_ten):
+    """However many of the labels are toxic, words that only toxic texts use are found."""
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(500):
+        toxic = i % 10 < toxic_of_ten
+        words = [f"w{rng.randrange(200)}" for _ in range(rng.randrange(5, 40))]
+        for _ in range(3 * toxic):
+            words.insert(rng.randrange(len(words)), rng.choice(["vile", "foul", "nastyish"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    got = toxicity.report(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).filter("held_out").collect()
+    assert len(got) > 80 and all(r.predicted == labels[r.doc_id][1] for r in got)
+
+
+def test_labels_that_nothing_tells_apart(spark):
+    docs = spark.createDataFrame([(i, f"same words in row {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    with pytest.warns(RuntimeWarning, match="no feature"):
+        assert toxicity.report(docs, labels).filter("predicted = 1").count() == 0
+
+
 def test_table(spark, sf):
     out = queries.op2_toxicity(spark, sf)
     assert out.count() == table(spark, sf, "documents").count() and out.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
