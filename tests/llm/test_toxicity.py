@@ -34,6 +34,22 @@ def test_segments_are_the_maximal_ones(seed):
     assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_scan_finds_repeated_words_wherever_they_stand(seed):
+    rng = random.Random(seed)
+    model = toxicity.Model({"vile": 2.3717, "foul": 1.4143})
+    words = [rng.choice(["vile", "foul", *"abcd"]) for _ in range(60)]
+    n, found = model.scan(" ".join(words))
+    want = all_maximal([model.gains.get(w, -toxicity.PENALTY) for w in words])
+    assert n == 60 and [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in want]
+    assert [s for *_, s in found] == pytest.approx([s for *_, s in want])
+
+
+def test_a_passage_that_repeats_is_found_twice():
+    _, found = toxicity.Model({"vile": 2.5, "foul": 1.5}).scan("vile foul vile " + "fine " * 30 + "vile foul vile")
+    assert found == [(0, 3, 6.5), (33, 36, 6.5)]
+
+
 def made(rng, n):
     clean = [f"w{i}" for i in range(200)]
     bad = ["vile", "foul", "nastyish"]
