@@ -3,9 +3,11 @@
 The lattice of a text has a node before each character and an edge for each
 piece that spells the characters up to a later node. Pieces are weighted by
 Zipf's law over their rank, so a path's probability is the product of its
-pieces' weights over the sum of all paths. No piece of the vocabularies used
-here crosses a word's beginning, so the lattice is a chain of word lattices, and
-each word's backward sums are worked out once a task.
+pieces' weights over the sum of all paths. A word is a run of space marks and
+what follows up to the next mark; pieces of marks only lie in the run, and no
+other piece of the vocabularies used here has a mark but in front. So no piece
+crosses a word's beginning, the lattice is a chain of word lattices, and each
+word's backward sums are worked out once a task.
 
 Perturbed A* search finds the k segmentations of greatest perturbed
 log-probability in order: the space starts as one region whose best path has a
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,10 +38,11 @@ from .hashing import mix
 
 #: Segmentations of each text, and the power of piece weights: 1 samples by Zipf weight, more favours common pieces.
 K, SHARPNESS = 2, 1.0
-#: Distinct words whose lattices a task remembers, and bits of a table of beginnings.
-WORDS_KEPT, SLOT_BITS = 1 << 17, 20
-#: The mark of a space; the noncharacter that stands for such a mark in a text itself; where a longer word is cut.
-SPACE, STANDS_FOR_MARK, LONGEST_WORD = "▁", "\uffff", 256
+#: Distinct words and nodes of lattices that a task remembers, and bits of a table of beginnings.
+WORDS_KEPT, NODES_KEPT, SLOT_BITS = 1 << 17, 1 << 21, 20
+#: The mark of a space; the noncharacter that stands for such a mark in a text itself.
+SPACE, STANDS_FOR_MARK = "▁", "\uffff"
+WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class Vocabulary:
@@ -161,7 +165,7 @@ class Lattices:
         src, length, piece, weight = src[order], length[order], piece[order], weight[order]
         to = np.where(left[src] == length, n, src + length)
         # Backward sums: all nodes with one character left, then two, and so on.
-        remaining = left[src].astype(np.uint16)
+        remaining = left[src].astype(np.uint16 if size.max() < 1 << 16 else np.int64)
         back = np.argsort(remaining, kind="stable")
         b_src, b_to, b_weight = src[back], to[back], weight[back]
         steps = np.searchsorted(remaining[back], np.arange(1, int(size.max()) + 2))
@@ -219,12 +223,9 @@ class Path:
 
 
 def split_words(text: str) -> list[str]:
-    """A text as SentencePiece sees it: a space goes in front, and a word is its spaces' marks and what follows up to the next space."""
+    """A text as SentencePiece sees it: a space goes in front, and a word is a run of spaces' marks and what follows up to the next one."""
     marked = (" " + text).replace(SPACE, STANDS_FOR_MARK).replace(" ", SPACE)
-    words = [SPACE + w for w in marked.split(SPACE)[1:]]
-    if max(map(len, words)) <= LONGEST_WORD:
-        return words
-    return [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
+    return WORD.findall(marked)
 
 
 class Sampler:
@@ -261,7 +262,7 @@ class Sampler:
 
     def sample(self, keys: np.ndarray, texts: list[str]) -> list[list[dict]]:
         """For each text its samples: ids, log_p, value (perturbed log-probability) and inclusion, best value first."""
-        if len(self.lattices.root) > WORDS_KEPT:
+        if len(self.lattices.root) > WORDS_KEPT or self.lattices.n_nodes > NODES_KEPT:
             self.lattices.clear()
         split = [split_words(t) for t in texts]
         self.lattices.learn({w for ws in split for w in ws})

@@ -58,6 +58,37 @@ def test_lattice_probabilities_match_brute_force(vocabulary):
             assert all(x["inclusion"] == 1.0 for x in got)
 
 
+@pytest.mark.parametrize("text", ["a  b", "a   ", "  ab", "a     b c"])
+def test_pieces_of_several_spaces_are_sampled(vocabulary, text):
+    want = all_paths(vocabulary, "▁" + text.replace(" ", "▁"))
+    got = sampler_of(vocabulary, len(want) + 1).sample(np.array([5]), [text])[0]
+    # Where all but 1e-12 of the probability goes one way, the other ways are not told from nothing.
+    assert {tuple(x["ids"].tolist()) for x in got} >= {ids for ids, w in want.items() if w > -25}
+    assert any(vocabulary.bytes[i].count(b" ") > 1 for x in got for i in x["ids"])
+    for x in got:
+        assert math.isclose(x["log_p"], want[tuple(x["ids"].tolist())], abs_tol=1e-4)
+
+
+@pytest.mark.parametrize("size", [300, 70_000])
+def test_a_long_word_is_one_lattice(vocabulary, size):
+    """Against the sum over all segmentations by a forward pass over the whole word."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    known = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    text = ("thequickbrownfoxandtheotherone" * size)[:size]
+    word = "▁" + text
+    forward = [0.0] + [-math.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        ways = [forward[i] + vocabulary.log_weight[known[word[i:j]]] for i in range(max(0, j - vocabulary.longest), j) if word[i:j] in known]
+        forward[j] = max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways))
+    s = sampler_of(vocabulary, 2)
+    got = s.sample(np.array([5]), [text])[0]
+    assert len(got) == 2 and all(s.decode(x["ids"]) == text for x in got)
+    for x in got:
+        assert math.isclose(x["log_p"], sum(vocabulary.log_weight[i] for i in x["ids"]) - forward[-1], rel_tol=1e-5, abs_tol=1e-3)
+
+
 def test_first_and_second_samples_have_the_right_distribution(vocabulary):
     word, n = "ab c", 6000
     s = sampler_of(vocabulary, 2)
