@@ -1,14 +1,15 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay.
-Beyond them every token with a digit or an at sign is a candidate. Labelers vote
+Beyond them every token with a digit or an at sign is a candidate, and so is every
+run of groups of digits and capitals with single spaces between. Labelers vote
 on candidates for, against or not at all: by shape (regular expressions), by
 gazetteers of words around, and by context marks. Expectation-maximisation over
 the counts of vote patterns estimates how reliable each labeler is; at most 3 to
 the power of the labelers rows reach the driver. The posteriors are soft labels
 for a naive Bayes classifier over hashed features of the candidates, and a
 candidate it accepts that touches no base span becomes a span of kind ``secret``,
-``contact`` or ``number``.
+``contact`` or ``number``; parts of an accepted run are no spans of their own.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"[A-Za-z0-9._%+@-]*[0-9@][A-Za-z0-9._%+@-]*"
+#: Groups with a digit, at most one group of capitals only between two of them.
+GROUPED = r"(?<![A-Za-z0-9._%+@-])[A-Z]*+[0-9][A-Z0-9]*+(?![A-Za-z0-9_%@])(?:\x20(?:[A-Z]++\x20)?[A-Z]*+[0-9][A-Z0-9]*+(?![A-Za-z0-9_%@]))++"
 #: Gazetteers: words that stand before personal or secret values, and before harmless numbers.
 TRIGGERS = ("token", "key", "secret", "password", "passwd", "pwd", "apikey", "api_key", "auth", "phone", "tel", "call", "mail", "email", "contact", "ssn", "passport", "iban", "account")
 HARMLESS = ("version", "license", "licence", "by-nc", "by", "page", "chapter", "section", "figure", "table", "year", "no", "v")
@@ -96,7 +99,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, start, end, token, before, after of each candidate."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     worth = docs.select(F.col("doc_id").cast("long"), text.alias("body")).filter(F.col("body").rlike("[0-9@]"))
-    placed = worth.select("doc_id", F.xxhash64("body").alias("row_key"), "body", F.explode(spans(F.col("body"), CANDIDATE, lambda m: F.length(m) >= 7)).alias("s"))
+    placed = worth.select("doc_id", F.xxhash64("body").alias("row_key"), "body", F.explode(F.concat(*(spans(F.col("body"), p, lambda m: F.lit(True)) for p in (CANDIDATE, GROUPED)))).alias("s"))
     token = F.substring(F.col("body"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     return placed.select(
         "doc_id", "row_key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), token.alias("token"),
@@ -106,7 +109,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def _votes() -> dict[str, Column]:
     """1 for personal or secret, -1 against, 0 for no vote."""
-    t, low = F.col("token"), F.lower("before")
+    t, low = F.replace("token", F.lit(" ")), F.lower("before")
     digits = F.length(_digits(t))
     mixed = t.rlike("[0-9]") & t.rlike("[A-Za-z]")
     word = F.regexp_extract(low, r"([a-z_-]+)[^a-z]*$", 1)
@@ -178,14 +181,18 @@ def personal(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     * Without candidates nothing is added; an empty table gives an empty result; other columns are ignored.
     """
     scored = classified(candidates(docs)).filter(F.col("probability") >= threshold)
-    kind = F.when(F.col("token").contains("@"), "contact").when(F.col("token").rlike("^[0-9.+-]+$"), "number").otherwise("secret")
-    added = scored.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("start", kind.alias("kind"), "end"))).alias("added"))
+    kind = F.when(F.col("token").contains("@"), "contact").when(F.col("token").rlike("^[0-9.+ -]+$"), "number").otherwise("secret")
+    added = scored.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("start", kind.alias("kind"), "end", F.col("token").contains(" ").alias("run")))).alias("added"))
     added = added.select(F.col("doc_id").alias("added_id"), F.col("row_key").alias("added_key"), "added")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row_key"), base_spans(text).alias("base"))
     apart = F.filter("added", lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return base.join(added, F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("row_key") == F.col("added_key")), "left").select(
-        "doc_id", "base", F.when(F.col("added").isNull(), F.array().cast("array<struct<start:int,kind:string,end:int>>")).otherwise(apart).alias("added")
+    runs = F.filter("apart", lambda a: a["run"])
+    whole = F.filter("apart", lambda a: a["run"] | ~F.exists("runs", lambda r: (r["start"] <= a["start"]) & (a["end"] <= r["end"])))
+    shown = F.transform(whole, lambda a: F.struct(a["start"].alias("start"), a["kind"].alias("kind"), a["end"].alias("end")))
+    joined = base.join(added, F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("row_key") == F.col("added_key")), "left")
+    return joined.withColumn("apart", apart).withColumn("runs", runs).select(
+        "doc_id", "base", F.when(F.col("added").isNull(), F.array().cast("array<struct<start:int,kind:string,end:int>>")).otherwise(shown).alias("added")
     )
 
 

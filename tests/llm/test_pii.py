@@ -56,6 +56,29 @@ def test_empty_table(spark):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_short_and_grouped_values_are_candidates(spark):
+    texts = [
+        "PIN 4711 is set", "password: ab12c", "code 123456 now", "iban DE89 3704 0044 0532 0130 00 here", "iban GB29 NWBK 6016 1331 9268 19, thanks", "tel 030 1234 567.",
+        "passport C01X 00T47", "a@b", "in 2020 we", "1 " * 3000,
+    ]
+    rows = list(enumerate(texts))
+    found = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    tokens = lambda i: {r.token for r in found if r.doc_id == i}
+    whole = ["4711", "ab12c", "123456", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "030 1234 567", "C01X 00T47", "a@b", "2020", ("1 " * 3000).strip()]
+    assert all(token in tokens(i) for i, token in enumerate(whole))
+    assert all(texts[r.doc_id][r.start : r.end] == r.token for r in found)
+
+
+def test_a_grouped_value_is_one_span(spark):
+    filler = [(i, f"plain words on page {i} of version {i % 7}.{i % 3}") for i in range(200)]
+    texts = ["iban DE89 3704 0044 0532 0130 00 here", "tel: 030 1234 567 or mail"] * 20
+    df = spark.createDataFrame(filler + [(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert {got[1000 + i] for i in range(0, 40, 2)} == {"secret:5:32"}
+    assert {got[1000 + i] for i in range(1, 40, 2)} == {"number:5:17"}
+    assert not any(got[i] for i in range(200))
+
+
 def test_reliable_labelers_win():
     patterns = [((1, 1, 0), 90), ((-1, -1, 0), 200), ((1, 1, -1), 10), ((-1, -1, 1), 10)]
     _, weights = pii.reliabilities(patterns)
