@@ -127,3 +127,11 @@ def test_round_trip_of_odd_texts_and_a_table(spark, sf):
     out = queries.op6_sp_sample(spark, sf).collect()
     assert {r.doc_id for r in out} == set(docs) and all(docs[r.doc_id] == r.decoded_sha256 for r in out)
     assert sp_sample.segmentations(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
+
+
+def test_the_query_returns_the_ids(spark, sf, vocabulary):
+    s = sampler_of(vocabulary, 2)
+    out = queries.op6_sp_sample(spark, sf).collect()
+    assert out
+    for r in out:
+        assert len(r.ids) == r.n_pieces and hashlib.sha256(s.decode(np.array(r.ids)).encode()).hexdigest() == r.decoded_sha256
