@@ -54,5 +54,16 @@ def forget(df: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def salted_join(rows: DataFrame, single: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """``rows`` with the one row of ``single`` of the same ``key`` (inner), dealt by key and salt.
+
+    Many rows of one key go to ``salts`` tasks instead of one; ``single`` is copied as often.
+    """
+    salt = "_salt"
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    copied = single.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, [key, salt]).drop(salt)
+
+
 def text_or_empty(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))

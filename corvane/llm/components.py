@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, salted_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,15 +14,17 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node and its neighbours, then
     the label of that label, so long chains halve. A written table ends each
     round's lineage. Labels and links stay on the executors; the driver sees a count.
+    Joins on a node of many links or on a label of many nodes are salted.
     """
     edges = edges.filter("a <> b")
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both-ways")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        near = salted_join(both, labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         least = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        after = written(least.join(up, "comp", "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "labels")
+        used = labels.select("comp").distinct().unionByName(near.select(F.col("near").alias("comp")).distinct()).distinct()
+        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up")).join(used, "comp")
+        after = written(salted_join(least, up, "comp").select("node", "old", F.least("comp", "up").alias("comp")), "labels")
         changed = after.filter("comp <> old").limit(1).count()
         forget(labels)
         labels = after.select("node", "comp")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -52,6 +54,14 @@ def ngrams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(n)) if n < k else out
 
 
+def ngrams_of(h: np.ndarray, sizes: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """``ngrams`` of each of several sequences that stand one after another in ``h``, hashed in one go."""
+    ends = np.cumsum(sizes)
+    whole = ngrams(h, k) if len(h) >= k else h[:0]
+    for end, n in zip(ends.tolist(), np.asarray(sizes).tolist()):
+        yield whole[end - n : end - k + 1] if n >= k else ngrams(h[end - n : end], k)
+
+
 class Rolling:
     """Hashes of any runs of words in an array, by prefix sums of word hash times a power."""
 

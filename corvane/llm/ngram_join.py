@@ -1,22 +1,24 @@
 """Near-duplicate classes by a grouped prefix join on five-word shingles.
 
-Shingles have one order for all documents: those in at most T documents by
-hash, then the more frequent ones by count and hash. A document's prefix under
-it is so long that two documents of similarity 0.75 share a prefix shingle. T
-grows with the corpus, so that the table of frequent shingles has at most four
-million rows and may go to every task.
-
-* Documents with the same set are one node. A document with fewer than three
-  quarters of its shingles in two documents cannot have a partner and is left out.
-* Nodes with the same prefix and size are one group; only its leader is posted.
-* Under each prefix shingle, groups are paired with one pivot; pairs must pass
-  the size and position filters. Groups expand to their members, sets are
-  compared, and linked nodes merge. Nodes that are still outside a shingle's
-  largest component then try a few neighbours in an order by hash, twice, and
-  what is left, pairs of nodes in different components, is paired in full.
-
-No pair is skipped but for the filters and for nodes that are already
-connected, so components are exact, and copies are never paired with each other.
+Shingles have one order for all documents: by hash, and after them the frequent
+ones by count and hash. A document's prefix under it is so long that two
+documents of similarity 0.75 share a prefix shingle.
+
+* Documents with the same set are one node; nodes with the same prefix and size
+  are one group. Groups are posted once under each shingle of their prefix, and
+  shingles that one group alone posts are dropped.
+* Group pairs under a shingle must pass the size and position filters. They
+  expand to pairs of members, which must pass a filter on sketches: the number
+  of bits in which two parity sketches differ is a lower bound of the symmetric
+  difference. Only then are whole sets compared.
+* First each group is paired with its next neighbours under each shingle, which
+  links most of a family of near copies along a chain. Then only shingles whose
+  groups are still in different components are looked at: there every group
+  outside the largest component meets all others, in blocks that are dealt out
+  by (shingle, block), so that a hot shingle is many small tasks.
+
+No pair is skipped but for the filters and for nodes that are already connected,
+so components are exact, and copies are never paired with each other.
 """
 
 from __future__ import annotations
@@ -24,15 +26,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, salted_join, written
 from .components import components
-from .hashing import BITMAP_BITS, Words, has_bit, mix, ngrams
+from .hashing import Words, mix, ngrams_of
 
 SHINGLE = 5
 #: Similarity, as a fraction.
@@ -40,8 +41,11 @@ OVER, UNDER = 75, 100
 #: Shingles that a task sums up before it sends counts.
 FLUSH = 1 << 21
 LEAST_T = 64
-#: Neighbours that a node tries under a shingle in the rounds after the first; 0 stands for all pairs that are left.
-TRIES = (8, 16, 0)
+#: Neighbours that a group is paired with at first; groups of a block.
+WIDTH, BLOCK = 4, 2048
+#: 64-bit words of a node's parity sketch.
+SKETCH = 16
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
 
 
 def _need(n: np.ndarray | int) -> np.ndarray | int:
@@ -49,231 +53,245 @@ def _need(n: np.ndarray | int) -> np.ndarray | int:
     return (OVER * n + UNDER - 1) // UNDER
 
 
-def _shingle_sets(batch: pa.RecordBatch, hashes: Words, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
-        yield doc_id, np.unique(ngrams(hashes(body.encode("utf-8", "replace").lower().split()), k))
+def _shingle_sets(bodies: list[str], hashes: Words, k: int) -> Iterator[np.ndarray]:
+    for at in range(0, len(bodies), 128):
+        words = [body.encode("utf-8", "replace").lower().split() for body in bodies[at : at + 128]]
+        sizes = np.array([len(w) for w in words])
+        for s in ngrams_of(hashes([w for ws in words for w in ws]), sizes, k):
+            s = np.sort(s)
+            yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("body"))
+def _body() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-class Frequencies:
-    """What the count leaves: a bitmap of shingles in two documents or more, and the frequent ones with counts.
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), _body().alias("body"))
 
-    ``of`` gives 0 for shingles in at most T documents. Shingles are told apart by their first bits + 32 bits here;
-    the order stays the same for all documents, so a clash costs time only.
-    """
 
-    def __init__(self, bits: int, seen: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        self.shift, self.seen, self.keys, self.counts = np.uint64(32 - bits), seen, keys, counts
+class Frequent:
+    """The frequent shingles with their counts; ``of`` gives 0 for all others."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(shingles), dtype=np.int64)
-        key = shingles >> self.shift
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.counts[at], 0)
-
+        at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
+        return np.where(self.keys[at] == shingles, self.counts[at], 0)
 
-def _bucket_rows(bits: int, order_by: np.ndarray, columns: dict[str, np.ndarray | None]) -> Iterator[pa.RecordBatch]:
-    """One row per bucket (the first ``bits`` bits of sorted ``order_by``) with the columns' bytes; none for a missing column."""
-    bucket = (order_by >> np.uint64(64 - bits)).astype(np.int64)
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, dtype=np.int64)
-    ends = np.r_[cuts[1:], len(bucket)] if len(cuts) else cuts
-    rows = [pa.array(bucket[cuts], pa.int64())]
-    rows += [pa.array([b"" if c is None else c[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for c in columns.values()]
-    yield pa.RecordBatch.from_arrays(rows, names=["bucket", *columns])
 
+def frequencies(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> Frequent:
+    """The shingles of more than T distinct sets, T being one for each 8 MB of text and ``least_t`` at least.
 
-def frequencies(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> Frequencies:
-    """Document counts of all shingles, summed in tasks and then per bucket of shingles.
-
-    Four bytes per shingle and task are shuffled. The driver gets a bitmap of fixed size and at most four million frequent shingles.
+    Tasks sum up runs of two million shingles and send those that come twice in a run, so
+    counts are lower bounds; they decide on the order of shingles and on nothing else. T grows
+    with the corpus, so that at most about a million shingles, 16 bytes each, come to the driver.
+    Null and empty texts count nothing; an empty table has no frequent shingle.
     """
     size = _rows(docs).agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     t = max(least_t, -(-size // (1 << 23)))
-    bits = min(24, max(8, int(size >> 24).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = Words(), [], 0
+        hashes, held, n, known = Words(), [], 0, set()
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             shingles, counts = np.unique(np.concatenate(held), return_counts=True)
-            low = ((shingles >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            once = counts == 1
-            yield from _bucket_rows(bits, shingles[once], {"keys": low[once], "counts": None})
-            yield from _bucket_rows(bits, shingles[~once], {"keys": low[~once], "counts": counts[~once].astype("<u4")})
+            often = counts > 1
+            return pa.RecordBatch.from_arrays([pa.array(shingles[often].view(np.int64)), pa.array(counts[often], pa.int64())], names=["key", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for _, s in _shingle_sets(batch.slice(at, 256), hashes, k):
-                    held.append(s)
-                    n += len(s)
+            for s in _shingle_sets(batch.column("body").to_pylist(), hashes, k):
+                own = xxhash.xxh3_64_intdigest(s.tobytes())
+                if own in known:
+                    continue
+                known.add(own)
+                held.append(s)
+                n += len(s)
                 if n >= FLUSH:
-                    yield from flush()
-                    held, n = [], 0
+                    yield flush()
+                    held, n, known = [], 0, set()
         if n:
-            yield from flush()
-
-    def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, dtype="<u4") for x in rows["keys"]])
-        times = np.concatenate([np.frombuffer(c, dtype="<u4") if len(c) else np.ones(len(x) // 4, dtype="<u4") for x, c in zip(rows["keys"], rows["counts"])]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, times = keys[order], times[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, times = keys[first], np.add.reduceat(times, first)
-        place = np.unique(keys[times > 1] >> np.uint32(32 - (BITMAP_BITS - bits)))
-        seen = np.zeros(max(1, 1 << (BITMAP_BITS - bits - 3)), dtype=np.uint8)
-        np.bitwise_or.at(seen, place >> 3, (1 << (place & 7)).astype(np.uint8))
-        many = times > t
-        return pd.DataFrame({"bucket": [key[0]], "seen": [seen.tobytes()], "keys": [keys[many].tobytes()], "counts": [times[many].tobytes()]})
-
-    counted = _rows(docs).select("doc_id", "body").mapInArrow(count, "bucket long, keys binary, counts binary")
-    rows = sorted(counted.groupBy("bucket").applyInPandas(total, "bucket long, seen binary, keys binary, counts binary").collect(), key=lambda r: r["bucket"])
-    seen = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
-    width = 1 << (BITMAP_BITS - bits - 3)
-    for r in rows:
-        seen[r["bucket"] * width : (r["bucket"] + 1) * width] = np.frombuffer(r["seen"], dtype=np.uint8)
-    keys = [np.frombuffer(r["keys"], dtype="<u4").astype(np.uint64) | np.uint64(r["bucket"] << 32) for r in rows]
-    counts = [np.frombuffer(r["counts"], dtype=np.int64) for r in rows]
-    none = np.zeros(0, dtype=np.uint64)
-    return Frequencies(bits, seen, np.concatenate([none, *keys]), np.concatenate([none.astype(np.int64), *counts]))
-
-
-def nodes(docs: DataFrame, freq: Frequencies, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, node, prefix_key, shingles: the last three are null where no partner is possible.
-
-    ``shingles`` holds the set in the common order, so the prefix comes first; a task writes it once per node.
+            yield flush()
+
+    counted = _rows(docs).select("body").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > t).toArrow()
+    return Frequent(counted.column("key").to_numpy().view(np.uint64), counted.column("n").to_numpy())
+
+
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of SKETCH words per set: bit b is the parity of the shingles that fall on b."""
+    bits = 64 * SKETCH
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = (mix(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]) + np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(row * bits + at, minlength=len(sets) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), bits), axis=1, bitorder="little").view(np.int64)
+
+
+def nodes(docs: DataFrame, freq: Frequent, k: int = SHINGLE) -> DataFrame:
+    """doc_id, row_key, n, node, grp, prefix, salts, and the sketch: node to sketch are null for a document without shingles.
+
+    ``prefix`` holds a group's shingles in the common order, ``salts`` into how many blocks each is split;
+    a task gives them once per group.
     """
     held = docs.sparkSession.sparkContext.broadcast(freq)
+    schema = "doc_id long, row_key long, n long, node long, grp long, prefix array<long>, salts array<int>, " + ", ".join(f"{s} long" for s in SKETCHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = Words(), set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, s in _shingle_sets(batch.slice(at, 256), hashes, k):
-                    n, node, prefix_key, body = len(s), None, None, None
-                    need = _need(n)
-                    if n and np.count_nonzero(has_bit(held.value.seen, s)) >= need:
-                        node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                        if node not in known:
-                            if len(known) > 1 << 20:
-                                known.clear()
-                            known.add(node)
-                            ordered = s[np.argsort(held.value.of(s), kind="stable")]
-                            body = ordered.tobytes()
-                            prefix_key = xxhash.xxh3_64_intdigest(ordered[: n - need + 1].tobytes(), seed=n) - (1 << 63)
-                    for column, v in zip(out, (doc_id, n, node, prefix_key, body)):
-                        column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n_shingles", "node", "prefix_key", "shingles"])
-
-    return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, prefix_key long, shingles binary")
-
-
-def _posted(sets: DataFrame, bits: int) -> DataFrame:
-    """Prefix postings by bucket of shingles: shingle, node, size, position and component, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                bodies = [np.frombuffer(b.as_py(), dtype=np.uint64) for b in part.column("shingles")]
-                n = np.array([len(b) for b in bodies], dtype=np.int64)
-                p = n - _need(n) + 1
-                shingle = np.concatenate([b[:q] for b, q in zip(bodies, p)])
-                place = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-                order = np.argsort(shingle, kind="stable")
-                columns = {
-                    "shingle": shingle, "node": np.repeat(part.column("node").to_numpy(), p), "n": np.repeat(n, p).astype("<u4"),
-                    "place": place.astype("<u4"), "comp": np.repeat(part.column("comp").to_numpy(), p),
-                }
-                yield from _bucket_rows(bits, shingle[order], {c: v[order] for c, v in columns.items()})
-
-    return sets.select("node", "comp", "shingles").mapInArrow(run, "bucket long, shingle binary, node binary, n binary, place binary, comp binary")
-
-
-def _passes(n_a, i_a, n_b, i_b) -> np.ndarray:
+        hashes, posted = Words(), set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sets = list(_shingle_sets(batch.column("body").to_pylist(), hashes, k))
+                node: list[int | None] = []
+                grp: list[int | None] = []
+                prefix: list[np.ndarray | None] = []
+                salts: list[np.ndarray | None] = []
+                for s in sets:
+                    n = len(s)
+                    if not n:
+                        for column in (node, grp, prefix, salts):
+                            column.append(None)
+                        continue
+                    count = held.value.of(s)
+                    order = np.argsort(count, kind="stable")[: n - _need(n) + 1]
+                    first = s[order]
+                    node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                    grp.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=n) - (1 << 63))
+                    new = grp[-1] not in posted
+                    if new:
+                        if len(posted) > 1 << 20:
+                            posted.clear()
+                        posted.add(grp[-1])
+                    prefix.append(first.view(np.int64) if new else None)
+                    salts.append((1 + count[order] // BLOCK).astype(np.int32) if new else None)
+                sketch = _sketches(sets)
+                none = np.array([x is None for x in node], dtype=bool)
+                columns = [
+                    batch.column("doc_id"), batch.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()),
+                    pa.array(prefix, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), *(pa.array(sketch[:, i], pa.int64(), mask=none) for i in range(SKETCH)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "n", "node", "grp", "prefix", "salts", *SKETCHES])
+
+    return _rows(docs).select("doc_id", F.xxhash64("body").alias("row_key"), "body").mapInArrow(run, schema)
+
+
+def _members(all_nodes: DataFrame) -> DataFrame:
+    """One row per node: node, grp, n, the sketch, its least doc_id, and a row that has its text (rep_id, rep_key)."""
+    same = [F.min(c).alias(c) for c in ("grp", "n", *SKETCHES)]
+    rep = F.min(F.struct("doc_id", "row_key")).alias("rep")
+    one = all_nodes.filter("node IS NOT NULL").groupBy("node").agg(*same, F.min("doc_id").alias("least_id"), rep)
+    return one.select("node", "grp", "n", *SKETCHES, "least_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_key").alias("rep_key"))
+
+
+def _postings(all_nodes: DataFrame) -> DataFrame:
+    """key, salts, salt, id (the group), n, place: the groups' prefixes, without keys that one group alone has."""
+    spread = all_nodes.filter("prefix IS NOT NULL").select("grp", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("place", "at"))
+    rows = spread.select(F.col("at.prefix").alias("key"), F.col("at.salts").alias("salts"), F.pmod(F.xxhash64("grp"), F.col("at.salts").cast("long")).cast("int").alias("salt"), F.col("grp").alias("id"), "n", "place")
+    once = rows.repartition("key", "salt").distinct()
+    return once.withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))).filter("here > 1 OR salts > 1").drop("here")
+
+
+def _passes(a: str, b: str) -> Column:
     """Size filter, and the position filter for the first shingle that two sets share."""
-    least, most = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-    overlap = -(-OVER * (n_a + n_b) // (OVER + UNDER))
-    return (UNDER * least >= OVER * most) & (1 + np.minimum(n_a - i_a - 1, n_b - i_b - 1) >= overlap)
+    n_a, n_b, at_a, at_b = (F.col(f"{x}.{c}") for c in ("n", "place") for x in (a, b))
+    overlap = F.floor((OVER * (n_a + n_b) + (OVER + UNDER - 1)) / (OVER + UNDER))
+    return (UNDER * F.least(n_a, n_b) >= OVER * F.greatest(n_a, n_b)) & (1 + F.least(n_a - at_a - 1, n_b - at_b - 1) >= overlap)
+
+
+def _pair() -> list[Column]:
+    return [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
 
 
-def _candidates(posted: DataFrame, turn: int, tries: int = 0) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that share a prefix shingle and pass the filters.
+def _neighbours(posted: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) of groups that pass the filters, from the ``width`` next groups under a key and block; the first groups of blocks meet likewise."""
 
-    In turn 0, pairs with the shingle's first node. Later, nodes outside the shingle's largest component are paired
-    with the next ``tries`` nodes in an order that differs each turn; with 0 tries, with all nodes.
+    def chained(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("key", "salt").orderBy("x.n", "x.id")
+        near = F.array(*(F.lag("x", i).over(order) for i in range(1, width + 1)))
+        return rows.select("x", near.alias("near")).select("x", F.explode("near").alias("y")).filter("y IS NOT NULL").filter(_passes("x", "y")).select(*_pair())
+
+    rows = posted.select("key", "salt", "salts", F.struct("n", "id", "place").alias("x"))
+    heads = rows.filter("salts > 1").groupBy("key", "salt").agg(F.min("x").alias("x")).select("key", F.lit(0).alias("salt"), "x")
+    return chained(rows.select("key", "salt", "x")).unionByName(chained(heads)).distinct()
+
+
+def _apart(posted: DataFrame) -> DataFrame:
+    """Pairs (a, b) that pass the filters and lie in different components, of rows (key, id, n, place, comp).
+
+    Rows outside the largest component of their key meet all rows of the key. A key of many rows is cut into
+    blocks, and each pair of blocks is a join key of its own.
     """
+    sizes = posted.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = posted.join(mixed.select("key", blocks.alias("blocks"), F.col("most.comp").alias("largest")), "key")
+    rows = rows.select("key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int").alias("own"), (F.col("comp") != F.col("largest")).alias("minor"), F.struct("id", "n", "place", "comp").alias("x"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.filter("minor").select("key", F.col("own").alias("i"), other.alias("j"), "x")
+    right = rows.select("key", other.alias("i"), F.col("own").alias("j"), F.col("x").alias("y"), F.col("minor").alias("minor_y"))
+    met = left.join(right, ["key", "i", "j"]).filter("x.comp <> y.comp AND (NOT minor_y OR x.id < y.id)")
+    return met.filter(_passes("x", "y")).select(*_pair()).distinct()
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        read = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in rows[c]])
-        shingle, node, comp = read("shingle", np.uint64), read("node", np.int64), read("comp", np.int64)
-        n, place = read("n", "<u4").astype(np.int64), read("place", "<u4").astype(np.int64)
-        order = np.lexsort((mix(node.view(np.uint64) + np.uint64(turn)), shingle))
-        shingle, node, comp, n, place = shingle[order], node[order], comp[order], n[order], place[order]
-        first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-        size = np.diff(np.r_[first, len(shingle)])
-        found: list[np.ndarray] = []
-
-        def add(i: np.ndarray, j: np.ndarray) -> None:
-            good = (comp[i] != comp[j]) & _passes(n[i], place[i], n[j], place[j])
-            if good.any():
-                a, b = node[i][good], node[j][good]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-                if len(found) > 64:
-                    found[:] = [np.unique(np.concatenate(found), axis=0)]
-
-        if not turn:
-            add(np.repeat(first, size), np.arange(len(shingle)))
-        else:
-            mixed = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
-            for f, s in zip(first[mixed].tolist(), size[mixed].tolist()):
-                own = comp[f : f + s]
-                values, counts = np.unique(own, return_counts=True)
-                minor = np.flatnonzero(own != values[counts.argmax()])
-                width = min(tries, s - 1) if tries else s - 1
-                step = max(1, (1 << 20) // width)
-                for at in range(0, len(minor), step):
-                    some = np.repeat(minor[at : at + step], width)
-                    add(some + f, (some + np.tile(np.arange(1, width + 1), len(some) // width)) % s + f)
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return posted.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
-
-
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(pairs: DataFrame) -> Column:
+    """Whether the sketches of a pair leave the similarity possible."""
+    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SKETCHES[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
+    total = F.col("a_n") + F.col("b_n")
+    return (UNDER * F.least("a_n", "b_n") >= OVER * F.greatest("a_n", "b_n")) & (differ <= total - 2 * F.floor((OVER * total + (OVER + UNDER - 1)) / (OVER + UNDER)))
+
+
+def _expanded(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of the group pairs (a, b), in different components, whose sketches allow the similarity."""
+    of = lambda x: members.select(F.col("grp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "n", *SKETCHES)))
+    met = groups.join(of("a"), "a").join(of("b"), "b").filter("a_comp <> b_comp AND a_node <> b_node")
+    return met.filter(_alike(met)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The pairs whose sets reach the similarity; sets are made again from the texts of the nodes in question."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Words()
+        for batch in batches:
+            known = set()
+            keep = [not (x in known or known.add(x)) for x in batch.column("node").to_pylist()]
+            batch = batch.filter(pa.array(keep, pa.bool_()))
+            bodies = [s.tobytes() for s in _shingle_sets(batch.column("body").to_pylist(), hashes, k)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bodies, pa.binary())], names=["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column("of_a"), batch.column("of_b")):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
-                both = np.sort(np.concatenate([x, y]))
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = np.sort(np.concatenate([x, y]), kind="stable")
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 good.append(UNDER * shared >= OVER * (len(x) + len(y) - shared))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    where = members.join(asked, "node").select("node", "rep_id", "rep_key")
+    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(_body()).alias("own_key"), _body().alias("body"))
+    found = texts.join(where, F.col("own_id").eqNullSafe(F.col("rep_id")) & (F.col("own_key") == F.col("rep_key"))).select("node", "body")
+    sets = written(found.mapInArrow(whole, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long"), "links")
+    forget(sets)
+    return links
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, comp) after merging what ``links`` (a, b) connect; only components that links touch are worked on."""
-    of_a = labels.select(F.col("node").alias("a"), F.col("comp").alias("of_a"))
-    of_b = labels.select(F.col("node").alias("b"), F.col("comp").alias("of_b"))
-    between = written(links.join(of_a, "a").join(of_b, "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), "merges")
-    up = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-    return written(labels.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "node-labels")
+def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with comp: the component that ``links`` put a node in, or the node itself."""
+    known = components(links)
+    return members.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> DataFrame:
+def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     * Lower-case is ASCII only; words are runs of anything but ASCII white space. A text of fewer than ``k``
@@ -282,27 +300,32 @@ def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> DataFr
       counted as members, and a class of null ids only has a null id.
     * An empty table gives an empty result; other columns are ignored.
     """
-    freq = frequencies(docs, k, least_t)
-    bits = 32 - int(freq.shift)
-    all_nodes = written(nodes(docs, freq, k), "nodes")
-    sets = written(all_nodes.filter("shingles IS NOT NULL").select("node", "prefix_key", "shingles").dropDuplicates(["node"]), "sets")
-    leader = sets.groupBy("prefix_key").agg(F.min("node").alias("leader"))
-    grouped = sets.select("node", "prefix_key").join(leader, "prefix_key").select("node", "leader")
-    of_group = written(grouped, "groups")
-    leaders = of_group.filter("node = leader").select("node", F.col("node").alias("comp"))
-    within = of_group.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    first = _candidates(_posted(sets.join(leaders, "node"), bits), 0)
-    labels = _merged(sets.select("node", F.col("node").alias("comp")), _linked(first.unionByName(within).distinct(), sets))
-    for turn, tries in enumerate(TRIES, 1):
-        placed = sets.join(labels, "node")
-        labels = _merged(labels, _linked(_candidates(_posted(placed, bits), turn, tries), sets))
-    forget(sets)
-    known = all_nodes.select("doc_id", "n_shingles", "node")
-    labelled = known.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = labelled.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least, "comp", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    all_nodes = written(nodes(docs, frequencies(docs, k, least_t), k), "nodes", compression="zstd")
+    members = written(_members(all_nodes), "members")
+    posted = written(_postings(all_nodes), "postings")
+    alone = members.withColumn("comp", F.col("node"))
+    # Members of a group meet its first member; a pair of groups expands to pairs of members.
+    first = members.groupBy("grp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("grp", "first")
+    within = members.join(first, "grp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = written(_expanded(_neighbours(posted, width), alone).unionByName(within).distinct(), "pairs")
+    links = _linked(docs, pairs, members, k)
+    placed = written(_labels(members, links), "placed")
+    # A group whose members lie in several components is apart from all others; so are its own members.
+    groups = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n"))
+    of_group = groups.select(F.col("grp").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("grp")).alias("comp"))
+    rest = _apart(posted.select("key", "id", "n", "place").join(of_group, "id"))
+    inside = _apart(placed.join(groups.filter("lo <> hi").select("grp"), "grp").select(F.col("grp").alias("key"), F.col("node").alias("id"), "n", F.lit(0).alias("place"), "comp"))
+    more = written(_expanded(rest, placed).unionByName(inside).distinct(), "pairs")
+    late = _linked(docs, more, members, k)
+    final = written(_labels(members.select("node", "least_id"), links.unionByName(late)), "final")
+    least = final.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+    by_node = salted_join(final.select("node", "comp"), least, "comp").select("node", "component_id")
+    known = all_nodes.select("doc_id", F.col("n").alias("n_shingles"), "node")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    result = written(known.join(by_node, "node", "left").select("doc_id", "n_shingles", component), "classes")
+    for done in (all_nodes, members, posted, pairs, links, placed, more, late, final):
+        forget(done)
+    return result
 
 
 def first_of_class(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
