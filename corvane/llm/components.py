@@ -1,33 +1,73 @@
-"""Connected components by Spark joins."""
+"""Connected components by contraction in tasks and Spark joins."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, salted_join, written
+from .common import forget, written
+
+#: Links that a task takes at a time.
+LINKS = 1 << 17
+
+
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some links, and the smallest node that each reaches by them."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(node))
+    while True:
+        low = np.minimum(root[u], root[v])
+        after = root.copy()
+        for x in (root[u], root[v], u, v):
+            np.minimum.at(after, x, low)
+        while (after != after[after]).any():
+            after = after[after]
+        if (after == root).all():
+            return node, node[root]
+        root = after
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, links: int = LINKS) -> DataFrame:
     """node, comp (the smallest node it reaches) for each node of ``edges`` (a, b: long).
 
-    Each round takes the smallest label among a node and its neighbours, then
-    the label of that label, so long chains halve. A written table ends each
-    round's lineage. Labels and links stay on the executors; the driver sees a count.
-    Joins on a node of many links or on a label of many nodes are salted.
+    Each task contracts its share of the links, ``links`` at a time, to the smallest nodes it can reach. A node that
+    shares reach under several such roots links them; these links are contracted likewise until none is left. A node
+    of many links has one row per share, so no join key grows hot, and the driver sees counts.
     """
-    edges = edges.filter("a <> b")
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both-ways")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
-    while True:
-        near = salted_join(both, labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        least = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        used = labels.select("comp").distinct().unionByName(near.select(F.col("near").alias("comp")).distinct()).distinct()
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up")).join(used, "comp")
-        after = written(salted_join(least, up, "comp").select("node", "old", F.least("comp", "up").alias("comp")), "labels")
-        changed = after.filter("comp <> old").limit(1).count()
-        forget(labels)
-        labels = after.select("node", "comp")
-        if not changed:
-            forget(both)
-            return labels
+    nodes = written(edges.filter("a <> b").select("a", "b"), "edges")
+    shares = max(1, -(-nodes.count() // links))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            node, root = contracted(table.column("a").to_numpy(), table.column("b").to_numpy())
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= links:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    stars = written(nodes.coalesce(shares).mapInArrow(run, "node long, root long"), "stars")
+    labels = written(stars.groupBy("node").agg(F.min("root").alias("comp")), "labels")
+    between = stars.join(labels, "node").filter("root <> comp").select(F.col("root").alias("a"), F.col("comp").alias("b")).distinct()
+    if between.limit(1).count():
+        roots = components(between, links).select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        after = written(labels.join(roots, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+        for done in (labels, roots):
+            forget(done)
+        labels = after
+    for done in (nodes, stars):
+        forget(done)
+    return labels

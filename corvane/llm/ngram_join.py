@@ -11,11 +11,13 @@ documents of similarity 0.75 share a prefix shingle.
   expand to pairs of members, which must pass a filter on sketches: the number
   of bits in which two parity sketches differ is a lower bound of the symmetric
   difference. Only then are whole sets compared.
-* First each group is paired with its next neighbours under each shingle, which
-  links most of a family of near copies along a chain. Then only shingles whose
+* First each node is compared with the most similar of its neighbours under each
+  shingle, which links most of a family of near copies. Then only shingles whose
   groups are still in different components are looked at: there every group
   outside the largest component meets all others, in blocks that are dealt out
-  by (shingle, block), so that a hot shingle is many small tasks.
+  by (shingle, block), so that a hot shingle is many small tasks. Of these pairs
+  the most similar for each node and other component are compared first, and
+  what is then still apart after that.
 
 No pair is skipped but for the filters and for nodes that are already connected,
 so components are exact, and copies are never paired with each other.
@@ -43,9 +45,8 @@ FLUSH = 1 << 21
 LEAST_T = 64
 #: Neighbours that a group is paired with at first; groups of a block.
 WIDTH, BLOCK = 4, 2048
-#: 64-bit words of a node's parity sketch.
-SKETCH = 16
-SKETCHES = [f"s{i}" for i in range(SKETCH)]
+#: Bits of a node's parity sketch for each shingle of its set; the next power of two is taken.
+SKETCH_BITS = 2
 
 
 def _need(n: np.ndarray | int) -> np.ndarray | int:
@@ -121,23 +122,36 @@ def frequencies(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> Fr
     return Frequent(counted.column("key").to_numpy().view(np.uint64), counted.column("n").to_numpy())
 
 
-def _sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of SKETCH words per set: bit b is the parity of the shingles that fall on b."""
-    bits = 64 * SKETCH
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    at = (mix(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]) + np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64)
-    odd = (np.bincount(row * bits + at, minlength=len(sets) * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(sets), bits), axis=1, bitorder="little").view(np.int64)
+def _sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """A sketch per set, of a size that follows the set's: bit b is the parity of the shingles that fall on b."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    bits = 1 << np.ceil(np.log2(np.maximum(64, SKETCH_BITS * sizes))).astype(np.int64)
+    base = np.cumsum(bits) - bits
+    row = np.repeat(np.arange(len(sets)), sizes)
+    at = (mix(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]) + np.uint64(7)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(base[row] + at, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[b // 8 : (b + n) // 8] for b, n in zip(base.tolist(), bits.tolist())]
+
+
+def _difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference of the sets behind two sketches; the larger one is folded."""
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def nodes(docs: DataFrame, freq: Frequent, k: int = SHINGLE) -> DataFrame:
-    """doc_id, row_key, n, node, grp, prefix, salts, and the sketch: node to sketch are null for a document without shingles.
+    """doc_id, row_key, n, node, grp, prefix, salts, sketch: node to salts are null for a document without shingles.
 
     ``prefix`` holds a group's shingles in the common order, ``salts`` into how many blocks each is split;
     a task gives them once per group.
     """
     held = docs.sparkSession.sparkContext.broadcast(freq)
-    schema = "doc_id long, row_key long, n long, node long, grp long, prefix array<long>, salts array<int>, " + ", ".join(f"{s} long" for s in SKETCHES)
+    schema = "doc_id long, row_key long, n long, node long, grp long, prefix array<long>, salts array<int>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, posted = Words(), set()
@@ -167,23 +181,21 @@ def nodes(docs: DataFrame, freq: Frequent, k: int = SHINGLE) -> DataFrame:
                         posted.add(grp[-1])
                     prefix.append(first.view(np.int64) if new else None)
                     salts.append((1 + count[order] // BLOCK).astype(np.int32) if new else None)
-                sketch = _sketches(sets)
-                none = np.array([x is None for x in node], dtype=bool)
                 columns = [
                     batch.column("doc_id"), batch.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()),
-                    pa.array(prefix, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), *(pa.array(sketch[:, i], pa.int64(), mask=none) for i in range(SKETCH)),
+                    pa.array(prefix, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), pa.array(_sketches(sets), pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "n", "node", "grp", "prefix", "salts", *SKETCHES])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "n", "node", "grp", "prefix", "salts", "sketch"])
 
     return _rows(docs).select("doc_id", F.xxhash64("body").alias("row_key"), "body").mapInArrow(run, schema)
 
 
 def _members(all_nodes: DataFrame) -> DataFrame:
     """One row per node: node, grp, n, the sketch, its least doc_id, and a row that has its text (rep_id, rep_key)."""
-    same = [F.min(c).alias(c) for c in ("grp", "n", *SKETCHES)]
+    same = [F.min(c).alias(c) for c in ("grp", "n", "sketch")]
     rep = F.min(F.struct("doc_id", "row_key")).alias("rep")
     one = all_nodes.filter("node IS NOT NULL").groupBy("node").agg(*same, F.min("doc_id").alias("least_id"), rep)
-    return one.select("node", "grp", "n", *SKETCHES, "least_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_key").alias("rep_key"))
+    return one.select("node", "grp", "n", "sketch", "least_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_key").alias("rep_key"))
 
 
 def _postings(all_nodes: DataFrame) -> DataFrame:
@@ -201,17 +213,14 @@ def _passes(a: str, b: str) -> Column:
     return (UNDER * F.least(n_a, n_b) >= OVER * F.greatest(n_a, n_b)) & (1 + F.least(n_a - at_a - 1, n_b - at_b - 1) >= overlap)
 
 
-def _pair() -> list[Column]:
-    return [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
-
-
 def _neighbours(posted: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) of groups that pass the filters, from the ``width`` next groups under a key and block; the first groups of blocks meet likewise."""
+    """Pairs (a, b) of groups that pass the filters: b and the ``width`` groups before it under a key and block; the first groups of blocks meet likewise."""
 
     def chained(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy("key", "salt").orderBy("x.n", "x.id")
         near = F.array(*(F.lag("x", i).over(order) for i in range(1, width + 1)))
-        return rows.select("x", near.alias("near")).select("x", F.explode("near").alias("y")).filter("y IS NOT NULL").filter(_passes("x", "y")).select(*_pair())
+        met = rows.select("x", near.alias("near")).select("x", F.explode("near").alias("y")).filter("y IS NOT NULL")
+        return met.filter(_passes("x", "y")).select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
 
     rows = posted.select("key", "salt", "salts", F.struct("n", "id", "place").alias("x"))
     heads = rows.filter("salts > 1").groupBy("key", "salt").agg(F.min("x").alias("x")).select("key", F.lit(0).alias("salt"), "x")
@@ -219,7 +228,7 @@ def _neighbours(posted: DataFrame, width: int) -> DataFrame:
 
 
 def _apart(posted: DataFrame) -> DataFrame:
-    """Pairs (a, b) that pass the filters and lie in different components, of rows (key, id, n, place, comp).
+    """Pairs (a, b, comp_a) that pass the filters and lie in different components, of rows (key, id, n, place, comp); b is outside the largest component.
 
     Rows outside the largest component of their key meet all rows of the key. A key of many rows is cut into
     blocks, and each pair of blocks is a join key of its own.
@@ -233,21 +242,25 @@ def _apart(posted: DataFrame) -> DataFrame:
     left = rows.filter("minor").select("key", F.col("own").alias("i"), other.alias("j"), "x")
     right = rows.select("key", other.alias("i"), F.col("own").alias("j"), F.col("x").alias("y"), F.col("minor").alias("minor_y"))
     met = left.join(right, ["key", "i", "j"]).filter("x.comp <> y.comp AND (NOT minor_y OR x.id < y.id)")
-    return met.filter(_passes("x", "y")).select(*_pair()).distinct()
-
-
-def _alike(pairs: DataFrame) -> Column:
-    """Whether the sketches of a pair leave the similarity possible."""
-    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SKETCHES[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-    total = F.col("a_n") + F.col("b_n")
-    return (UNDER * F.least("a_n", "b_n") >= OVER * F.greatest("a_n", "b_n")) & (differ <= total - 2 * F.floor((OVER * total + (OVER + UNDER - 1)) / (OVER + UNDER)))
+    return met.filter(_passes("x", "y")).select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.comp").alias("comp_a")).distinct()
 
 
 def _expanded(groups: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of the group pairs (a, b), in different components, whose sketches allow the similarity."""
-    of = lambda x: members.select(F.col("grp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "n", *SKETCHES)))
+    """Pairs (a, b, differ, comp_a) of members of the group pairs (a, b), in different components, whose sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
+            differ = np.array([_difference(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("a_sketch"), batch.column("b_sketch"))], dtype=np.int64)
+            most = n_a + n_b - 2 * (-(-OVER * (n_a + n_b) // (OVER + UNDER)))
+            keep = pa.array(differ <= most)
+            columns = [batch.column(c).filter(keep) for c in ("a_node", "b_node", "a_comp")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(differ[differ <= most], pa.int64())], names=["a", "b", "comp_a", "differ"])
+
+    of = lambda x: members.select(F.col("grp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "n", "sketch")))
     met = groups.join(of("a"), "a").join(of("b"), "b").filter("a_comp <> b_comp AND a_node <> b_node")
-    return met.filter(_alike(met)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    met = met.filter(UNDER * F.least("a_n", "b_n") >= OVER * F.greatest("a_n", "b_n"))
+    return met.drop("a", "b").mapInArrow(run, "a long, b long, comp_a long, differ long")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -277,18 +290,35 @@ def _linked(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int) -> Da
     where = members.join(asked, "node").select("node", "rep_id", "rep_key")
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(_body()).alias("own_key"), _body().alias("body"))
     found = texts.join(where, F.col("own_id").eqNullSafe(F.col("rep_id")) & (F.col("own_key") == F.col("rep_key"))).select("node", "body")
-    sets = written(found.mapInArrow(whole, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = found.mapInArrow(whole, "node long, shingles binary").dropDuplicates(["node"])
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long"), "links")
-    forget(sets)
-    return links
+    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long"), "links")
 
 
-def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` with comp: the component that ``links`` put a node in, or the node itself."""
     known = components(links)
-    return members.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = written(members.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    forget(known)
+    return placed
+
+
+def _left(posted: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs (a, b, comp_a, differ) of nodes in different components that the filters leave possible."""
+    groups = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # A group whose members lie in several components is apart from all others, and its members may be linked with each other.
+    of_group = groups.select(F.col("grp").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("grp")).alias("comp"))
+    across = _expanded(_apart(posted.select("key", "id", "n", "place").join(of_group, "id")).select("a", "b").distinct(), placed)
+    split = placed.join(groups.filter("lo <> hi").select("grp"), "grp")
+    inside = _apart(split.select(F.col("grp").alias("key"), F.col("node").alias("id"), "n", F.lit(0).alias("place"), "comp"))
+    return across.unionByName(inside.withColumn("differ", F.lit(0).cast("long")))
+
+
+def _nearest(pairs: DataFrame, *by: str) -> DataFrame:
+    """Of the pairs (a, b) of each ``by`` the one with the most similar sketches, as (smaller, larger) node."""
+    best = pairs.groupBy(*by).agg(F.min(F.struct("differ", "a", "b")).alias("p"))
+    return best.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T, width: int = WIDTH) -> DataFrame:
@@ -303,27 +333,29 @@ def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T, width: in
     all_nodes = written(nodes(docs, frequencies(docs, k, least_t), k), "nodes", compression="zstd")
     members = written(_members(all_nodes), "members")
     posted = written(_postings(all_nodes), "postings")
-    alone = members.withColumn("comp", F.col("node"))
-    # Members of a group meet its first member; a pair of groups expands to pairs of members.
+    # Each node tries the most similar of its neighbours; members of a group try its first member.
     first = members.groupBy("grp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("grp", "first")
-    within = members.join(first, "grp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    pairs = written(_expanded(_neighbours(posted, width), alone).unionByName(within).distinct(), "pairs")
-    links = _linked(docs, pairs, members, k)
-    placed = written(_labels(members, links), "placed")
-    # A group whose members lie in several components is apart from all others; so are its own members.
-    groups = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n"))
-    of_group = groups.select(F.col("grp").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("grp")).alias("comp"))
-    rest = _apart(posted.select("key", "id", "n", "place").join(of_group, "id"))
-    inside = _apart(placed.join(groups.filter("lo <> hi").select("grp"), "grp").select(F.col("grp").alias("key"), F.col("node").alias("id"), "n", F.lit(0).alias("place"), "comp"))
-    more = written(_expanded(rest, placed).unionByName(inside).distinct(), "pairs")
-    late = _linked(docs, more, members, k)
-    final = written(_labels(members.select("node", "least_id"), links.unionByName(late)), "final")
+    within = members.join(first, "grp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("differ"))
+    near = _expanded(_neighbours(posted, width), members.withColumn("comp", F.col("node"))).select("a", "b", "differ")
+    tried = [written(_nearest(near.unionByName(within), "b"), "pairs")]
+    links = [_linked(docs, tried[0], members, k)]
+    # Then the most similar node of each other component that it may be linked with.
+    placed = _placed(members.drop("least_id", "rep_id", "rep_key"), links[0])
+    tried.append(written(_nearest(_left(posted, placed), "b", "comp_a"), "pairs"))
+    links.append(_linked(docs, tried[1], members, k))
+    forget(placed)
+    # Then all pairs of different components that are left.
+    placed = _placed(members.drop("least_id", "rep_id", "rep_key"), links[0].unionByName(links[1]))
+    rest = _left(posted, placed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried.append(written(rest.join(tried[0].unionByName(tried[1]), ["a", "b"], "left_anti"), "pairs"))
+    links.append(_linked(docs, tried[2], members, k))
+    final = _placed(members.select("node", "least_id"), links[0].unionByName(links[1]).unionByName(links[2]))
     least = final.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_node = salted_join(final.select("node", "comp"), least, "comp").select("node", "component_id")
     known = all_nodes.select("doc_id", F.col("n").alias("n_shingles"), "node")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     result = written(known.join(by_node, "node", "left").select("doc_id", "n_shingles", component), "classes")
-    for done in (all_nodes, members, posted, pairs, links, placed, more, late, final):
+    for done in (all_nodes, members, posted, placed, final, *tried, *links):
         forget(done)
     return result
 

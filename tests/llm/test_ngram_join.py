@@ -83,3 +83,11 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     out = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_components_that_many_tasks_share(spark):
+    rng = random.Random(5)
+    edges = [(0, i) for i in range(1, 90)] + [(1000 + i, 1001 + i) for i in range(80)] + [(2000 + rng.randrange(60), 2000 + rng.randrange(60)) for _ in range(50)]
+    want = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()}
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7), links=9).collect()}
+    assert got == want and want[1080] == 1000 and want[89] == 0
