@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 #: Distinct words whose hashes a task remembers; other words are hashed again.
 WORDS_KEPT = 1 << 17
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a bitmap: 16 MB, whatever the corpus. When it fills up it filters less; results stay the same.
-BITMAP_BITS = 27
+#: Bitmaps follow the number of rows up to so many bits, 128 MB. Beyond that they filter less; results stay the same.
+MOST_BITS = 30
 
 
 class _Cache(dict):
@@ -97,25 +98,38 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def bit_of(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(64 - BITMAP_BITS)
-
-
-def bit_column(h: Column) -> Column:
-    """The same of a bigint column that holds the uint64's bits."""
-    return F.shiftrightunsigned(h, 64 - BITMAP_BITS)
+def bitmap_bits(rows: int) -> int:
+    """The logarithm of a bitmap's size for so many hashes: sixteen bits for each, MOST_BITS at most."""
+    return min(MOST_BITS, max(15, (16 * rows).bit_length()))
 
 
 def bitmap(df: DataFrame, h: Column) -> np.ndarray:
-    """The bits that ``h`` sets, as bytes: 4096 rows of 4 KB at most come to the driver, whatever the input."""
-    at = bit_column(h) + 1
-    rows = df.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
-    for r in rows:
-        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    """The bits that ``h``, bigints that hold a uint64's bits, set: rows of 4 KB come to the driver, 2 bytes for each hash and at most 2**MOST_BITS bits in all."""
+    bits = bitmap_bits(df.count())
+    at = F.shiftrightunsigned(h, 64 - bits) + 1
+    rows = df.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for b, part in zip(rows.column("b").to_pylist(), rows.column("bits")):
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(part.as_buffer(), dtype=np.uint8)
     return out
 
 
 def has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = bit_of(h)
+    at = h >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
+def maybe(rows: DataFrame) -> Callable:
+    """Whether a row key may be among those of ``rows``, by a bitmap."""
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(rows.select("row_key"), F.col("row_key")))
+
+    @F.pandas_udf("boolean")
+    def known(h: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(bits.value, h.to_numpy().view(np.uint64)))
+
+    return known
+
+
+def maybe_among(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without those that surely have no row in ``rows``, so that their words are not hashed again."""
+    return docs.filter(maybe(rows)(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, salted_join, written
 from .components import components
-from .hashing import Words, mix, ngrams_of
+from .hashing import Words, maybe_among, mix, ngrams_of
 
 SHINGLE = 5
 #: Similarity, as a fraction.
@@ -44,7 +44,7 @@ OVER, UNDER = 75, 100
 FLUSH = 1 << 21
 LEAST_T = 64
 #: Neighbours that a group is paired with at first; groups of a block.
-WIDTH, BLOCK = 4, 2048
+WIDTH, BLOCK = 3, 2048
 #: Bits of a node's parity sketch for each shingle of its set; the next power of two is taken.
 SKETCH_BITS = 2
 
@@ -201,9 +201,15 @@ def _members(all_nodes: DataFrame) -> DataFrame:
 def _postings(all_nodes: DataFrame) -> DataFrame:
     """key, salts, salt, id (the group), n, place: the groups' prefixes, without keys that one group alone has."""
     spread = all_nodes.filter("prefix IS NOT NULL").select("grp", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("place", "at"))
-    rows = spread.select(F.col("at.prefix").alias("key"), F.col("at.salts").alias("salts"), F.pmod(F.xxhash64("grp"), F.col("at.salts").cast("long")).cast("int").alias("salt"), F.col("grp").alias("id"), "n", "place")
-    once = rows.repartition("key", "salt").distinct()
-    return once.withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))).filter("here > 1 OR salts > 1").drop("here")
+    salts = F.col("at.salts")
+    # Block and number of blocks in one number, size and place in another: less to shuffle.
+    rows = spread.select(
+        F.col("at.prefix").alias("key"), (F.pmod(F.xxhash64("grp"), salts.cast("long")) * (1 << 31) + salts).alias("block"), F.col("grp").alias("id"), (F.shiftleft("n", 31) + F.col("place")).alias("spot")
+    )
+    once = rows.repartition("key", "block").distinct()
+    kept = once.withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("key", "block"))).withColumn("salts", F.col("block") % (1 << 31)).filter("here > 1 OR salts > 1")
+    low = F.lit((1 << 31) - 1)
+    return kept.select("key", "salts", F.shiftright("block", 31).alias("salt"), "id", F.shiftright("spot", 31).alias("n"), F.col("spot").bitwiseAND(low).alias("place"))
 
 
 def _passes(a: str, b: str) -> Column:
@@ -214,7 +220,7 @@ def _passes(a: str, b: str) -> Column:
 
 
 def _neighbours(posted: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) of groups that pass the filters: b and the ``width`` groups before it under a key and block; the first groups of blocks meet likewise."""
+    """For each group b the group a that most often is among the ``width`` groups before it under a key and block; the first groups of blocks meet likewise."""
 
     def chained(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy("key", "salt").orderBy("x.n", "x.id")
@@ -224,7 +230,8 @@ def _neighbours(posted: DataFrame, width: int) -> DataFrame:
 
     rows = posted.select("key", "salt", "salts", F.struct("n", "id", "place").alias("x"))
     heads = rows.filter("salts > 1").groupBy("key", "salt").agg(F.min("x").alias("x")).select("key", F.lit(0).alias("salt"), "x")
-    return chained(rows.select("key", "salt", "x")).unionByName(chained(heads)).distinct()
+    met = chained(rows.select("key", "salt", "x")).unionByName(chained(heads)).groupBy("b", "a").agg(F.count(F.lit(1)).alias("m"))
+    return met.groupBy("b").agg(F.max(F.struct("m", "a")).alias("most")).select("most.a", "b")
 
 
 def _apart(posted: DataFrame) -> DataFrame:
@@ -233,6 +240,8 @@ def _apart(posted: DataFrame) -> DataFrame:
     Rows outside the largest component of their key meet all rows of the key. A key of many rows is cut into
     blocks, and each pair of blocks is a join key of its own.
     """
+    keys = posted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    posted = posted.join(keys, "key")
     sizes = posted.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -287,13 +296,15 @@ def _linked(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    where = members.join(asked, "node").select("node", "rep_id", "rep_key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(_body()).alias("own_key"), _body().alias("body"))
+    where = written(members.join(asked, "node").select("node", "rep_id", "rep_key"), "asked")
+    texts = maybe_among(docs, where.select(F.col("rep_key").alias("row_key"))).select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(_body()).alias("own_key"), _body().alias("body"))
     found = texts.join(where, F.col("own_id").eqNullSafe(F.col("rep_id")) & (F.col("own_key") == F.col("rep_key"))).select("node", "body")
     sets = found.mapInArrow(whole, "node long, shingles binary").dropDuplicates(["node"])
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long"), "links")
+    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long"), "links")
+    forget(where)
+    return links
 
 
 def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -308,8 +319,9 @@ def _left(posted: DataFrame, placed: DataFrame) -> DataFrame:
     """Pairs (a, b, comp_a, differ) of nodes in different components that the filters leave possible."""
     groups = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # A group whose members lie in several components is apart from all others, and its members may be linked with each other.
-    of_group = groups.select(F.col("grp").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("grp")).alias("comp"))
-    across = _expanded(_apart(posted.select("key", "id", "n", "place").join(of_group, "id")).select("a", "b").distinct(), placed)
+    of_group = written(groups.select(F.col("grp").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("grp")).alias("comp")), "group-comps")
+    labelled = written(posted.select("key", "id", "n", "place").join(of_group, "id"), "labelled")
+    across = _expanded(_apart(labelled).select("a", "b").distinct(), placed)
     split = placed.join(groups.filter("lo <> hi").select("grp"), "grp")
     inside = _apart(split.select(F.col("grp").alias("key"), F.col("node").alias("id"), "n", F.lit(0).alias("place"), "comp"))
     return across.unionByName(inside.withColumn("differ", F.lit(0).cast("long")))
@@ -333,6 +345,8 @@ def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T, width: in
     all_nodes = written(nodes(docs, frequencies(docs, k, least_t), k), "nodes", compression="zstd")
     members = written(_members(all_nodes), "members")
     posted = written(_postings(all_nodes), "postings")
+    of_doc = written(all_nodes.select("doc_id", F.col("n").alias("n_shingles"), "node"), "node-of-doc")
+    forget(all_nodes)
     # Each node tries the most similar of its neighbours; members of a group try its first member.
     first = members.groupBy("grp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("grp", "first")
     within = members.join(first, "grp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("differ"))
@@ -352,10 +366,9 @@ def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T, width: in
     final = _placed(members.select("node", "least_id"), links[0].unionByName(links[1]).unionByName(links[2]))
     least = final.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_node = salted_join(final.select("node", "comp"), least, "comp").select("node", "component_id")
-    known = all_nodes.select("doc_id", F.col("n").alias("n_shingles"), "node")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    result = written(known.join(by_node, "node", "left").select("doc_id", "n_shingles", component), "classes")
-    for done in (all_nodes, members, posted, placed, final, *tried, *links):
+    result = written(of_doc.join(by_node, "node", "left").select("doc_id", "n_shingles", component), "classes")
+    for done in (of_doc, members, posted, placed, final, *tried, *links):
         forget(done)
     return result
 

@@ -20,13 +20,12 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, written
-from .hashing import Rolling, Words, bitmap, has_bit, sliding_min
+from .hashing import Rolling, Words, bitmap, has_bit, maybe, maybe_among, sliding_min
 
 WINDOW, SEED = 50, 12
 PATH = "row_key long, doc_id long, start int, windows int, anchor long, content long"
@@ -123,7 +122,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         return {"row_key": np.repeat(p.row_key, p.count), "doc_id": np.repeat(p.doc_id, p.count), "start": (np.repeat(p.start, p.count) + within).astype(np.int32), "edge": edge}
 
     branching = all_paths.join(by_anchor.filter("a <> b").select("anchor"), "anchor", "left_semi")
-    opened = written(_by_paths(_maybe_among(docs, branching), edges, EDGE, window, seed), "edges")
+    opened = written(_by_paths(maybe_among(docs, branching), edges, EDGE, window, seed), "edges")
     first = opened.groupBy("edge").agg(F.min(F.struct("doc_id", "start", "row_key")).alias("source"), F.max("doc_id").alias("hi")).filter("source.doc_id < hi")
     single = (
         opened.join(first.select("edge", "source"), "edge")
@@ -150,28 +149,12 @@ def _compacted(runs: DataFrame, window: int) -> DataFrame:
     )
 
 
-def _maybe(rows: DataFrame) -> Callable:
-    """Whether a row key may be among those of ``rows``, by a bitmap of fixed size."""
-    bits = rows.sparkSession.sparkContext.broadcast(bitmap(rows.select("row_key"), F.col("row_key")))
-
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(has_bit(bits.value, h.to_numpy().view(np.uint64)))
-
-    return maybe
-
-
-def _maybe_among(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs`` without those that surely have no row in ``rows``, so that their words are not hashed again."""
-    return docs.filter(_maybe(rows)(F.xxhash64(F.coalesce("text", F.lit("")))))
-
-
 def _with_texts(docs: DataFrame, per_doc: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with their row of ``per_doc`` (by doc_id, row_key), and the documents that surely have none.
 
     A bitmap of fixed size keeps texts of documents without a row out of the shuffle.
     """
-    rows = _rows(docs).withColumn("maybe", _maybe(per_doc)("row_key"))
+    rows = _rows(docs).withColumn("maybe", maybe(per_doc)("row_key"))
     return rows.filter("maybe").join(per_doc, ["doc_id", "row_key"], "left"), rows.filter("NOT maybe")
 
 
