@@ -25,6 +25,7 @@ so components are exact, and copies are never paired with each other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -237,8 +238,8 @@ def _neighbours(posted: DataFrame, width: int) -> DataFrame:
 def _apart(posted: DataFrame) -> DataFrame:
     """Pairs (a, b, comp_a) that pass the filters and lie in different components, of rows (key, id, n, place, comp); b is outside the largest component.
 
-    Rows outside the largest component of their key meet all rows of the key. A key of many rows is cut into
-    blocks, and each pair of blocks is a join key of its own.
+    Rows outside the largest component of their key meet all rows of the key in their own and the neighbouring bands of
+    sizes. A key of many rows is cut into blocks, and each pair of blocks is a join key of its own.
     """
     keys = posted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     posted = posted.join(keys, "key")
@@ -246,11 +247,11 @@ def _apart(posted: DataFrame) -> DataFrame:
     mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = posted.join(mixed.select("key", blocks.alias("blocks"), F.col("most.comp").alias("largest")), "key")
-    rows = rows.select("key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int").alias("own"), (F.col("comp") != F.col("largest")).alias("minor"), F.struct("id", "n", "place", "comp").alias("x"))
+    rows = rows.select("key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int").alias("own"), (F.col("comp") != F.col("largest")).alias("minor"), F.floor(F.log("n") / math.log(1.001 * UNDER / OVER)).alias("band"), F.struct("id", "n", "place", "comp").alias("x"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.filter("minor").select("key", F.col("own").alias("i"), other.alias("j"), "x")
-    right = rows.select("key", other.alias("i"), F.col("own").alias("j"), F.col("x").alias("y"), F.col("minor").alias("minor_y"))
-    met = left.join(right, ["key", "i", "j"]).filter("x.comp <> y.comp AND (NOT minor_y OR x.id < y.id)")
+    left = rows.filter("minor").select("key", F.col("own").alias("i"), other.alias("j"), "band", "x").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    right = rows.select("key", other.alias("i"), F.col("own").alias("j"), "band", F.col("x").alias("y"), F.col("minor").alias("minor_y"))
+    met = left.join(right, ["key", "band", "i", "j"]).filter("x.comp <> y.comp AND (NOT minor_y OR x.id < y.id)")
     return met.filter(_passes("x", "y")).select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.comp").alias("comp_a")).distinct()
 
 
