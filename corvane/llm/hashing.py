@@ -10,31 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words whose hashes a task remembers; other words are hashed again.
-WORDS_KEPT = 1 << 17
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bitmaps follow the number of rows up to so many bits, 128 MB. Beyond that they filter less; results stay the same.
 MOST_BITS = 30
 
 
-class _Cache(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < WORDS_KEPT:
-            self[word] = h
-        return h
-
-
-class Words:
-    """64-bit hashes of words; a word's hash depends on its bytes only."""
-
-    def __init__(self) -> None:
-        self.cache = _Cache()
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.cache.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of uint64 that spreads all bits."""
     x = x ^ (x >> np.uint64(30))
@@ -70,14 +50,24 @@ class Rolling:
     powers = back = np.ones(1, dtype=np.uint64)
 
     def __init__(self, h: np.ndarray, twist: int = 0):
-        n = len(h)
+        self._sum(mix(h + np.uint64(twist)))
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> Rolling:
+        """Of values that are random numbers already."""
+        own = cls.__new__(cls)
+        own._sum(values)
+        return own
+
+    def _sum(self, values: np.ndarray) -> None:
+        n = len(values)
         if len(Rolling.powers) <= n:
             for name, base in (("powers", Rolling.BASE), ("back", pow(Rolling.BASE, -1, 1 << 64))):
                 steps = np.full(2 * n + 2, np.uint64(base))
                 steps[0] = 1
                 setattr(Rolling, name, np.multiply.accumulate(steps))
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mix(h + np.uint64(twist)) * Rolling.powers[:n], out=self.sums[1:])
+        np.cumsum(values * Rolling.powers[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mix((self.sums[start + length] - self.sums[start]) * Rolling.back[start] + np.atleast_1d(length).astype(np.uint64) * ODD)
@@ -88,6 +78,31 @@ class Rolling:
         return mix((self.sums[length:] - self.sums[:n]) * Rolling.back[:n] + np.uint64((length * int(ODD)) & (2**64 - 1)))
 
 
+#: ASCII white space, and a random number for each byte.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+OF_BYTE = mix(np.arange(1, 257).astype(np.uint64) * ODD)
+#: Bytes of a word beyond which it is hashed by itself: sums modulo 2**64 are weak for long strings.
+LONG_WORD = 64
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of anything but ASCII white space) of all texts in a row, and how many words each text has.
+
+    A word's hash depends on its bytes only: a sum of random numbers of its bytes times powers, from prefix sums.
+    """
+    raw = b" ".join(texts) + b" "
+    at = np.frombuffer(raw, dtype=np.uint8)
+    blank = BLANK[at]
+    edge = np.flatnonzero(np.diff(blank, prepend=True))
+    start, end = edge[::2], edge[1::2]
+    length = end - start
+    out = Rolling.of(OF_BYTE[at])(start, length) if len(start) else np.zeros(0, dtype=np.uint64)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return out, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours, by doubling."""
     have, out = 1, x

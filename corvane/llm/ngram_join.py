@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, salted_join, written
 from .components import components
-from .hashing import Words, maybe_among, mix, ngrams_of
+from .hashing import mix, ngrams_of, word_hashes
 
 SHINGLE = 5
 #: Similarity, as a fraction.
@@ -55,11 +55,9 @@ def _need(n: np.ndarray | int) -> np.ndarray | int:
     return (OVER * n + UNDER - 1) // UNDER
 
 
-def _shingle_sets(bodies: list[str], hashes: Words, k: int) -> Iterator[np.ndarray]:
-    for at in range(0, len(bodies), 128):
-        words = [body.encode("utf-8", "replace").lower().split() for body in bodies[at : at + 128]]
-        sizes = np.array([len(w) for w in words])
-        for s in ngrams_of(hashes([w for ws in words for w in ws]), sizes, k):
+def _shingle_sets(bodies: list[str], k: int) -> Iterator[np.ndarray]:
+    for at in range(0, len(bodies), 64):
+        for s in ngrams_of(*word_hashes([body.encode("utf-8", "replace").lower() for body in bodies[at : at + 64]]), k):
             s = np.sort(s)
             yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
@@ -98,7 +96,7 @@ def frequencies(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> Fr
     t = max(least_t, -(-size // (1 << 23)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n, known = Words(), [], 0, set()
+        held, n, known = [], 0, set()
 
         def flush() -> pa.RecordBatch:
             shingles, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -106,7 +104,7 @@ def frequencies(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> Fr
             return pa.RecordBatch.from_arrays([pa.array(shingles[often].view(np.int64)), pa.array(counts[often], pa.int64())], names=["key", "n"])
 
         for batch in batches:
-            for s in _shingle_sets(batch.column("body").to_pylist(), hashes, k):
+            for s in _shingle_sets(batch.column("body").to_pylist(), k):
                 own = xxhash.xxh3_64_intdigest(s.tobytes())
                 if own in known:
                     continue
@@ -155,11 +153,11 @@ def nodes(docs: DataFrame, freq: Frequent, k: int = SHINGLE) -> DataFrame:
     schema = "doc_id long, row_key long, n long, node long, grp long, prefix array<long>, salts array<int>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, posted = Words(), set()
+        posted = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                sets = list(_shingle_sets(batch.column("body").to_pylist(), hashes, k))
+                sets = list(_shingle_sets(batch.column("body").to_pylist(), k))
                 node: list[int | None] = []
                 grp: list[int | None] = []
                 prefix: list[np.ndarray | None] = []
@@ -277,12 +275,11 @@ def _linked(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int) -> Da
     """The pairs whose sets reach the similarity; sets are made again from the texts of the nodes in question."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Words()
         for batch in batches:
             known = set()
             keep = [not (x in known or known.add(x)) for x in batch.column("node").to_pylist()]
             batch = batch.filter(pa.array(keep, pa.bool_()))
-            bodies = [s.tobytes() for s in _shingle_sets(batch.column("body").to_pylist(), hashes, k)]
+            bodies = [s.tobytes() for s in _shingle_sets(batch.column("body").to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bodies, pa.binary())], names=["node", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +295,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int) -> Da
 
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     where = written(members.join(asked, "node").select("node", "rep_id", "rep_key"), "asked")
-    texts = maybe_among(docs, where.select(F.col("rep_key").alias("row_key"))).select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(_body()).alias("own_key"), _body().alias("body"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(_body()).alias("own_key"), _body().alias("body"))
     found = texts.join(where, F.col("own_id").eqNullSafe(F.col("rep_id")) & (F.col("own_key") == F.col("rep_key"))).select("node", "body")
     sets = found.mapInArrow(whole, "node long, shingles binary").dropDuplicates(["node"])
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
@@ -356,20 +353,23 @@ def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T, width: in
     links = [_linked(docs, tried[0], members, k)]
     # Then the most similar node of each other component that it may be linked with.
     placed = _placed(members.drop("least_id", "rep_id", "rep_key"), links[0])
-    tried.append(written(_nearest(_left(posted, placed), "b", "comp_a"), "pairs"))
-    links.append(_linked(docs, tried[1], members, k))
+    left = written(_left(posted, placed), "left")
     forget(placed)
-    # Then all pairs of different components that are left.
-    placed = _placed(members.drop("least_id", "rep_id", "rep_key"), links[0].unionByName(links[1]))
-    rest = _left(posted, placed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried.append(written(rest.join(tried[0].unionByName(tried[1]), ["a", "b"], "left_anti"), "pairs"))
+    tried.append(written(_nearest(left, "b", "comp_a"), "pairs"))
+    links.append(_linked(docs, tried[1], members, k))
+    # Then all of these pairs that are still apart.
+    comps = components(links[0].unionByName(links[1]))
+    comp = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
+    rest = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried[0].unionByName(tried[1]), ["a", "b"], "left_anti")
+    rest = rest.join(comp("a"), "a", "left").join(comp("b"), "b", "left").filter("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
+    tried.append(written(rest, "pairs"))
     links.append(_linked(docs, tried[2], members, k))
     final = _placed(members.select("node", "least_id"), links[0].unionByName(links[1]).unionByName(links[2]))
     least = final.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_node = salted_join(final.select("node", "comp"), least, "comp").select("node", "component_id")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     result = written(of_doc.join(by_node, "node", "left").select("doc_id", "n_shingles", component), "classes")
-    for done in (of_doc, members, posted, placed, final, *tried, *links):
+    for done in (of_doc, members, posted, left, comps, final, *tried, *links):
         forget(done)
     return result
 

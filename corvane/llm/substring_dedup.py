@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, written
-from .hashing import Rolling, Words, bitmap, has_bit, maybe, maybe_among, sliding_min
+from .hashing import Rolling, bitmap, has_bit, maybe, maybe_among, sliding_min, word_hashes
 
 WINDOW, SEED = 50, 12
 PATH = "row_key long, doc_id long, start int, windows int, anchor long, content long"
@@ -63,15 +63,12 @@ def _by_paths(docs: DataFrame, make: Callable[[Paths], dict[str, np.ndarray]], s
     """The columns that ``make`` gives for the paths of a few documents at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                words = [body.encode("utf-8", "replace").split() for body in part.column("body").to_pylist()]
-                sizes = np.array([len(w) for w in words], dtype=np.int64)
+                flat, sizes = word_hashes([body.encode("utf-8", "replace") for body in part.column("body").to_pylist()])
                 if sizes.max() < window:
                     continue
-                flat = np.concatenate([hashes(w) for w in words])
                 columns = make(Paths(flat, sizes, part.column("doc_id").to_numpy(), part.column("row_key").to_numpy(), window, seed))
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in columns.values()], names=list(columns))
 
