@@ -25,7 +25,6 @@ so components are exact, and copies are never paired with each other.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -233,24 +232,72 @@ def _neighbours(posted: DataFrame, width: int) -> DataFrame:
     return met.groupBy("b").agg(F.max(F.struct("m", "a")).alias("most")).select("most.a", "b")
 
 
-def _apart(posted: DataFrame) -> DataFrame:
-    """Pairs (a, b, comp_a) that pass the filters and lie in different components, of rows (key, id, n, place, comp); b is outside the largest component.
-
-    Rows outside the largest component of their key meet all rows of the key in their own and the neighbouring bands of
-    sizes. A key of many rows is cut into blocks, and each pair of blocks is a join key of its own.
+def _met(key: np.ndarray, row_id: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray, salt: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Pairs (a, b, comp_a) of rows of equal ``key``, by size, that pass the filters and lie in different components; b is outside the key's largest component."""
+    by = np.lexsort((comp, key))
+    fresh = np.r_[True, (key[by][1:] != key[by][:-1]) | (comp[by][1:] != comp[by][:-1])]
+    run = np.flatnonzero(fresh)
+    size = np.diff(np.r_[run, len(by)])
+    largest = np.lexsort((size, key[by][run]))
+    last = largest[np.r_[key[by][run][largest][1:] != key[by][run][largest][:-1], True]]
+    minor = np.ones(len(key), dtype=bool)
+    minor[by[np.isin(np.cumsum(fresh) - 1, last)]] = False
+    found, i, d = [np.zeros((0, 3), dtype=np.int64)], np.arange(len(key)), 0
+    while len(i):
+        d += 1
+        i = i[i + d < len(key)]
+        i = i[(key[i] == key[i + d]) & (UNDER * n[i] >= OVER * n[i + d])]
+        j = i + d
+        overlap = -(-OVER * (n[i] + n[j]) // (OVER + UNDER))
+        good = (comp[i] != comp[j]) & ~(cross[i] & (salt[i] == salt[j])) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= overlap)
+        x, y = i[good], j[good]
+        swap = np.where(minor[x] & minor[y], row_id[x] > row_id[y], minor[x])
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        found.append(np.stack([row_id[x], row_id[y], comp[x]], axis=1))
+        if len(found) > 64:
+            found = [np.unique(np.concatenate(found), axis=0)]
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, comp_a) that pass the filters and lie in different components, of rows (key, salts, salt, id, n, place, comp); b is outside the largest component.
+
+    A key that is cut into ``salts`` blocks is a key of its own for each pair of blocks, so a task
+    holds two blocks at a time.
     """
-    keys = posted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    posted = posted.join(keys, "key")
-    sizes = posted.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = posted.join(mixed.select("key", blocks.alias("blocks"), F.col("most.comp").alias("largest")), "key")
-    rows = rows.select("key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int").alias("own"), (F.col("comp") != F.col("largest")).alias("minor"), F.floor(F.log("n") / math.log(1.001 * UNDER / OVER)).alias("band"), F.struct("id", "n", "place", "comp").alias("x"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.filter("minor").select("key", F.col("own").alias("i"), other.alias("j"), "band", "x").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    right = rows.select("key", other.alias("i"), F.col("own").alias("j"), "band", F.col("x").alias("y"), F.col("minor").alias("minor_y"))
-    met = left.join(right, ["key", "band", "i", "j"]).filter("x.comp <> y.comp AND (NOT minor_y OR x.id < y.id)")
-    return met.filter(_passes("x", "y")).select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.comp").alias("comp_a")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        total = 0
+
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            of = {c: table.column(c).to_numpy() for c in table.column_names}
+            key = np.cumsum(np.r_[0, np.any([of[c][1:] != of[c][:-1] for c in ("key", "lo", "hi")], axis=0)])
+            met = _met(key, of["id"], of["n"], of["place"], of["comp"], of["salt"], of["lo"] != of["hi"])
+            return pa.RecordBatch.from_arrays([pa.array(met[:, c]) for c in range(3)], names=["a", "b", "comp_a"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            total += batch.num_rows
+            if total < 1 << 18:
+                continue
+            # All but the last key, which may go on.
+            table = pa.Table.from_batches(held)
+            last = [table.column(c).to_numpy() == table.column(c)[-1].as_py() for c in ("key", "lo", "hi")]
+            cut = int(np.flatnonzero(~np.all(last, axis=0)).max(initial=-1)) + 1
+            if cut:
+                yield pairs(table.slice(0, cut))
+            held, total = table.slice(cut).to_batches(), table.num_rows - cut
+        if total:
+            yield pairs(pa.Table.from_batches(held))
+
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("other")
+    spread = rows.select("key", "salt", "id", "n", "place", "comp", other)
+    spread = spread.select("key", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "id", "n", "place", "comp")
+    dealt = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "id")
+    return dealt.mapInArrow(run, "a long, b long, comp_a long").distinct()
 
 
 def _expanded(groups: DataFrame, members: DataFrame) -> DataFrame:
@@ -265,7 +312,7 @@ def _expanded(groups: DataFrame, members: DataFrame) -> DataFrame:
             columns = [batch.column(c).filter(keep) for c in ("a_node", "b_node", "a_comp")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(differ[differ <= most], pa.int64())], names=["a", "b", "comp_a", "differ"])
 
-    of = lambda x: members.select(F.col("grp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "n", "sketch")))
+    of = lambda x: members.hint("merge").select(F.col("grp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "n", "sketch")))
     met = groups.join(of("a"), "a").join(of("b"), "b").filter("a_comp <> b_comp AND a_node <> b_node")
     met = met.filter(UNDER * F.least("a_n", "b_n") >= OVER * F.greatest("a_n", "b_n"))
     return met.drop("a", "b").mapInArrow(run, "a long, b long, comp_a long, differ long")
@@ -315,13 +362,14 @@ def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def _left(posted: DataFrame, placed: DataFrame) -> DataFrame:
     """Pairs (a, b, comp_a, differ) of nodes in different components that the filters leave possible."""
-    groups = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    groups = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
     # A group whose members lie in several components is apart from all others, and its members may be linked with each other.
     of_group = written(groups.select(F.col("grp").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("grp")).alias("comp")), "group-comps")
-    labelled = written(posted.select("key", "id", "n", "place").join(of_group, "id"), "labelled")
+    labelled = written(posted.join(of_group, "id"), "labelled")
     across = _expanded(_apart(labelled).select("a", "b").distinct(), placed)
-    split = placed.join(groups.filter("lo <> hi").select("grp"), "grp")
-    inside = _apart(split.select(F.col("grp").alias("key"), F.col("node").alias("id"), "n", F.lit(0).alias("place"), "comp"))
+    split = placed.join(groups.filter("lo <> hi").select("grp", (1 + F.floor(F.col("m") / BLOCK)).alias("salts")), "grp")
+    block = F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt")
+    inside = _apart(split.select(F.col("grp").alias("key"), "salts", block, F.col("node").alias("id"), "n", F.lit(0).cast("long").alias("place"), "comp"))
     return across.unionByName(inside.withColumn("differ", F.lit(0).cast("long")))
 
 
