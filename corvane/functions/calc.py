@@ -9,6 +9,7 @@ per row, so that one bad row doesn't end a job.
 
 from __future__ import annotations
 
+import ast
 import re
 from collections.abc import Mapping
 
@@ -113,36 +114,68 @@ def strict(formula: str, columns: Mapping[str, str], number: bool = True) -> Col
 
 
 def collect(formula: str, columns: Mapping[str, str]) -> Column:
-    """struct<value: double, error: string>: the error of a missing input, a division by zero, ERROR, or a result that isn't finite.
+    """struct<value: double, error: string>: the first error of what is evaluated, and no value with it.
 
-    Errors become marks that travel as values: a quotient by zero is NaN, and ERROR an infinity with a place in the list of messages.
+    Errors are missing inputs, divisions by zero, ERROR, and results that aren't finite. Each part of the formula is a
+    pair of columns, value and error, and passes on the first error of its operands; IF those of its condition and of
+    the branch that it takes.
     """
-    messages = [t[1:-1].replace(t[0] * 2, t[0]) for (_, a), (kind, t) in zip(tokens(formula)[1:], tokens(formula)[2:]) if kind == "text"] if "ERROR" in formula.upper() else []
-    sql = spark_sql(formula, columns)
-    for name in inputs(formula):
-        sql = sql.replace(f"nvl(`{columns[name]}`, raise_error({_quoted('missing input ' + name)}))", f"`{columns[name]}`")
-    message = messages[0] if messages else "error"
-    sql = re.sub(r"raise_error \( '(?:[^'\\]|\\.)*' \)", "double('Infinity')", sql)
-    value = F.expr(f"try_cast({_try_divide(sql)} AS DOUBLE)")
-    missing = [F.when(F.col(f"`{columns[n]}`").isNull(), F.lit(f"missing input {n}")) for n in inputs(formula)]
-    error = F.coalesce(
-        *missing,
-        F.when(F.abs(value) == float("inf"), F.lit(message if messages else "the result is not finite")),
-        F.when(value.isNull() | F.isnan(value), F.lit("division by zero")),
-        F.lit(None).cast("string"),
-    )
+    spark_sql(formula, columns)
+    names = inputs(formula)
+    write = {"input": lambda t: f"_{names.index(t[1:-1])}", "text": lambda t: repr(t[1:-1].replace(t[0] * 2, t[0])), "name": lambda t: t.title() if t.upper() in ("TRUE", "FALSE") else t.upper(), "op": lambda t: "==" if t == "=" else t}
+    try:
+        tree = ast.parse(" ".join(write.get(kind, lambda t: repr(float(t)))(t) for kind, t in tokens(formula)), mode="eval")
+    except SyntaxError as x:
+        raise FormulaError("the formula isn't complete") from x
+    value, error = _pair(tree.body, [(n, F.col(f"`{columns[n]}`")) for n in names])
+    value = value.try_cast("double")
+    error = F.coalesce(error, _unless_finite(value))
     return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 
-def _try_divide(sql: str) -> str:
-    """Quotients as NaN where the divisor is zero: the divisor, a column, number or bracket, is put in nullif."""
-    out, rest = "", sql
-    while " / " in rest:
-        before, _, after = rest.partition(" / ")
-        end, depth = 0, 0
-        while end < len(after) and (depth or after[end] != " " or end == 0):
-            depth += (after[end] == "(") - (after[end] == ")")
-            end += 1
-        out += before + " / nullif(" + after[:end] + ", 0)"
-        rest = after[end:]
-    return out + rest
+NO_ERROR = "CAST(NULL AS STRING)"
+OF_OPERATOR = {ast.Add: "__add__", ast.Sub: "__sub__", ast.Mult: "__mul__", ast.Eq: "__eq__", ast.NotEq: "__ne__", ast.Lt: "__lt__", ast.LtE: "__le__", ast.Gt: "__gt__", ast.GtE: "__ge__"}
+
+
+def _unless_finite(value: Column) -> Column:
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit("the result is not finite"))
+
+
+def _pair(node: ast.expr, named: list[tuple[str, Column]]) -> tuple[Column, Column]:
+    """Value and error of a part of a formula."""
+    if isinstance(node, ast.Constant):
+        return F.lit(node.value), F.expr(NO_ERROR)
+    if isinstance(node, ast.Name):
+        name, column = named[int(node.id[1:])]
+        return column, F.when(column.isNull(), F.lit(f"missing input {name}"))
+    if isinstance(node, ast.UnaryOp):
+        value, error = _pair(node.operand, named)
+        value = value.try_cast("double")
+        return -value if isinstance(node.op, ast.USub) else value, error
+    if isinstance(node, ast.BinOp):
+        (x, x_error), (y, y_error) = (_pair(n, named) for n in (node.left, node.right))
+        x, y = x.try_cast("double"), y.try_cast("double")
+        if isinstance(node.op, ast.Div):
+            value, own = F.when(y != 0, x / F.nullif(y, F.lit(0.0))), F.when(y == 0, F.lit("division by zero"))
+        else:
+            value, own = getattr(x, OF_OPERATOR[type(node.op)])(y), F.expr(NO_ERROR)
+        return value, F.coalesce(x_error, y_error, own, _unless_finite(value))
+    if isinstance(node, ast.Compare):
+        if len(node.ops) > 1:
+            raise FormulaError("comparisons can't be chained")
+        (x, x_error), (y, y_error) = (_pair(n, named) for n in (node.left, node.comparators[0]))
+        return getattr(x, OF_OPERATOR[type(node.ops[0])])(y), F.coalesce(x_error, y_error)
+    if not isinstance(node, ast.Call):
+        raise FormulaError("unexpected part of a formula")
+    name, parts = node.func.id, [_pair(n, named) for n in node.args]
+    if name == "IF":
+        (test, test_error), (yes, yes_error), (no, no_error) = parts
+        return F.when(test, yes).otherwise(no), F.coalesce(test_error, F.when(test, yes_error).otherwise(no_error))
+    errors = F.coalesce(*(e for _, e in parts))
+    if name == "ERROR":
+        return F.lit(None).cast("double"), F.coalesce(errors, parts[0][0].cast("string"))
+    values = [v.try_cast("double") for v, _ in parts]
+    if name == "ROUND":
+        places = int(node.args[1].value) if len(parts) == 2 else 0
+        return F.round(values[0], places), parts[0][1]
+    return {"MIN": F.least, "MAX": F.greatest, "ABS": F.abs}[name](*values), errors

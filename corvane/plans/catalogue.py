@@ -379,6 +379,15 @@ def calc_error_collect(spark, sf):
     return _lines(spark, sf).select("l_orderkey", "l_linenumber", got.alias("r")).select("l_orderkey", "l_linenumber", F.round("r.value", 6).alias("v"), F.col("r.error").alias("error"))
 
 
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 'division by zero' WHEN l_quantity > 45 THEN 'too many' END AS error,
+       CASE WHEN l_discount > 0 AND l_quantity <= 45 THEN round(least(l_tax / abs(l_discount), 1.5), 6) END AS v FROM lineitem
+""")
+def calc_collect_nested(spark, sf):
+    got = calc.collect('MIN({t} / ABS({d}), IF({q} > 45, ERROR("too many"), 1.5))', NAMES)
+    return _lines(spark, sf).select("l_orderkey", "l_linenumber", got.alias("r")).select("l_orderkey", "l_linenumber", F.round("r.value", 6).alias("v"), F.col("r.error").alias("error"))
+
+
 # Constraints
 
 

@@ -96,6 +96,29 @@ def test_formula_values(spark, formula, values, want):
     assert df.select(calc.strict(formula, {"a": "a", "b": "b"})).first()[0] == pytest.approx(want)
 
 
+@pytest.mark.parametrize(
+    "formula,value,error",
+    [
+        ("MIN({a} / {b}, 5)", None, "division by zero"),
+        ("IF({a} / {b} > 1, 1, 2)", None, "division by zero"),
+        ('1 / ERROR("bad")', None, "bad"),
+        ('MIN(ERROR("bad"), 5)', None, "bad"),
+        ("IF({b} > 0, {c}, -1)", -1.0, None),
+        ("{a} / ABS({b})", None, "division by zero"),
+        ("{a} / -{a}", -1.0, None),
+        ("{a} / ROUND({a}, 2)", 1.0, None),
+        ('IF({a} = 1, ERROR("first"), ERROR("second"))', None, "first"),
+        ('IF({a} != 1, ERROR("first"), ERROR("second"))', None, "second"),
+        ("{b} + {c} * 2", None, "missing input c"),
+        ("1e200 * 1e200", None, "the result is not finite"),
+    ],
+)
+def test_formula_errors_pass_through_all_parts(spark, formula, value, error):
+    df = spark.createDataFrame([(1.0, 0.0, None)], "a double, b double, c double")
+    got = df.select(calc.collect(formula, {"a": "a", "b": "b", "c": "c"}).alias("x")).first().x
+    assert (got.value, got.error) == (value, error)
+
+
 def test_formula_errors(spark):
     df = spark.createDataFrame([(40.0, 0.0), (1.0, None), (8.0, 2.0)], "a double, b double")
     names = {"a": "a", "b": "b"}
