@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Fixed patterns.
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-RID = r"^ri\.[a-z][a-z0-9-]*\.[a-z0-9-]*\.[a-z][a-z0-9-]*\.[A-Za-z0-9._-]+$"
+RID = r"^ri\.[a-z][a-z0-9-]*\.([a-z0-9][a-z0-9-]*)?\.[a-z][a-z0-9-]*\.[A-Za-z0-9._-]+$"
 DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 MOST_ERRORS, MOST_PATTERN, MOST_TEXT = 20, 2048, 20_000
 

@@ -96,6 +96,11 @@ def test_formula_values(spark, formula, values, want):
     assert df.select(calc.strict(formula, {"a": "a", "b": "b"})).first()[0] == pytest.approx(want)
 
 
+def test_rid_grammar(spark):
+    df = spark.createDataFrame([("ri.a.x-1.b.c",), ("ri.a..b.c",), ("ri.a.-x.b.c",), ("ri.a.b",)], "x string")
+    assert [bool(r.e) for r in df.select(valuetypes.rid(F.col("x")).alias("e")).collect()] == [False, False, True, True]
+
+
 @pytest.mark.parametrize(
     "formula,value,error",
     [
