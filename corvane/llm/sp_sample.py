@@ -7,7 +7,7 @@ pieces' weights over the sum of all paths. A word is a run of space marks and
 what follows up to the next mark; pieces of marks only lie in the run, and no
 other piece of the vocabularies used here has a mark but in front. So no piece
 crosses a word's beginning, the lattice is a chain of word lattices, and each
-word's backward sums are worked out once a task.
+word's backward sums are worked out once a worker.
 
 Perturbed A* search finds the k segmentations of greatest perturbed
 log-probability in order: the space starts as one region whose best path has a
@@ -23,6 +23,7 @@ draw, so a row's samples depend on nothing but its own key and text.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -38,7 +39,9 @@ from .hashing import mix
 
 #: Segmentations of each text, and the power of piece weights: 1 samples by Zipf weight, more favours common pieces.
 K, SHARPNESS = 2, 1.0
-#: Distinct words and nodes of lattices that a task remembers, and bits of a table of beginnings.
+#: Texts that are sampled together.
+ROWS_AT_ONCE = 128
+#: Distinct words and nodes of lattices that a worker process remembers, and bits of a table of beginnings.
 WORDS_KEPT, NODES_KEPT, SLOT_BITS = 1 << 17, 1 << 21, 20
 #: The mark of a space; the noncharacter that stands for such a mark in a text itself.
 SPACE, STANDS_FOR_MARK = "▁", "\uffff"
@@ -116,13 +119,14 @@ class Lattices:
         self.v = vocabulary
         self.clear()
 
-    def clear(self) -> None:
-        self.root: dict[str, int] = {}
-        self.n_nodes, self.n_edges = 1, 0
         self.nodes = np.zeros((2, 1 << 12), dtype=np.int32)
         self.edges = np.zeros((2, 1 << 12), dtype=np.int32)
         self.weights = np.zeros((2, 1 << 12), dtype=np.float32)
 
+    def clear(self) -> None:
+        self.root: dict[str, int] = {}
+        self.n_nodes, self.n_edges = 1, 0
+
     @staticmethod
     def _room(x: np.ndarray, n: int) -> np.ndarray:
         while x.shape[1] < n:
@@ -193,14 +197,22 @@ class Lattices:
         return nodes[0], nodes[1], edges[0], edges[1], weights[0], weights[1]
 
 
-def uniform(key: np.ndarray, *place: np.ndarray | int) -> np.ndarray:
-    """Numbers between 0 and 1, fixed by a row's key and the place of the draw."""
-    h = np.atleast_1d(key).astype(np.uint64)
+def _drawn(h: np.ndarray, *place: np.ndarray | int) -> np.ndarray:
+    """A hash that goes on from ``h`` by the place of the draw."""
     for p in place:
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.asarray(p).astype(np.uint64) + np.uint64(1))
+        h = _longer(h, np.asarray(p).astype(np.uint64))
+    return h
+
+
+def _unit(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def uniform(key: np.ndarray, *place: np.ndarray | int) -> np.ndarray:
+    """Numbers between 0 and 1, fixed by a row's key and the place of the draw."""
+    return _unit(_drawn(np.atleast_1d(key).astype(np.uint64), *place))
+
+
 def gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
@@ -239,10 +251,11 @@ class Sampler:
         first, count, _, to, _, above = self.lattices.arrays()
         who, step = np.flatnonzero(node > 0), 0
         node = node[who]
+        h = _drawn(key[who].astype(np.uint64), draw[who], place[who])
         starts, edges = [who], []
         out_who, out_edge, out_step = [], [], []
         while len(who):
-            u = uniform(key[who], draw[who], place[who], step)
+            u = _unit(_drawn(h, step))
             edge, last = first[node].astype(np.int64), first[node] + count[node] - 1
             low = np.flatnonzero((above[edge] < u) & (edge < last))
             while len(low):
@@ -253,7 +266,7 @@ class Sampler:
             out_step.append(np.full(len(who), step))
             node = to[edge]
             live = node > 0
-            who, node, step = who[live], node[live], step + 1
+            who, node, h, step = who[live], node[live], h[live], step + 1
         if not out_who:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         w, e, s = np.concatenate(out_who), np.concatenate(out_edge), np.concatenate(out_step)
@@ -325,7 +338,7 @@ class Sampler:
         heads, nodes, owner, places = [], [], [], []
         for n, (i, path, t) in enumerate(jobs):
             at = int(path.edge[t])
-            start = int(np.searchsorted(first, at, "right")) - 1
+            start = int(np.searchsorted(first, first.dtype.type(at), "right")) - 1
             own = np.arange(first[start], first[start] + count[start])
             gone = path.regions.get(t, []) + [at]
             rest = own[~np.isin(own, gone)]
@@ -374,6 +387,12 @@ class Sampler:
         return b"".join(map(self.v.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
+@functools.lru_cache(maxsize=1)
+def _sampler(model_file: str, k: int, sharpness: float) -> Sampler:
+    """The sampler of a worker process: the lattices that a task learned serve the worker's next tasks."""
+    return Sampler(model_file, k, sharpness)
+
+
 def row_key(doc_id: str = "doc_id") -> F.Column:
     return F.xxhash64(F.col(doc_id).cast("long"))
 
@@ -387,10 +406,10 @@ def segmentations(docs: DataFrame, model_file: str, k: int = K, sharpness: float
     * An empty table gives an empty result; other columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(model_file, k, sharpness)
+        sampler = _sampler(model_file, k, sharpness)
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
                 samples = sampler.sample(batch.column("key").to_numpy(), batch.column("body").to_pylist())
                 doc = [d for d, s in zip(batch.column("doc_id").to_pylist(), samples) for _ in s]
                 flat = [x for s in samples for x in s]
