@@ -14,6 +14,7 @@ little-endian.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import uuid
@@ -31,7 +32,7 @@ from .common import forget, new_path, written
 MAGIC = b"TOKV1\n"
 #: Documents in a file, and numbers in a block. A file holds whole documents.
 DOCS_A_FILE, BLOCK = 4096, 1 << 20
-#: Distinct words whose ids a task remembers.
+#: Distinct words whose ids a worker process remembers.
 WORDS_KEPT = 1 << 19
 #: Between words that are encoded together; texts that hold it are encoded whole.
 MARK = b"\x01"
@@ -39,15 +40,28 @@ STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], dtype=np.uint8)
 
 
+def _packed(code: np.ndarray) -> bytes:
+    """Control bytes of codes of two bits, four a byte; the last byte is filled up with zeros."""
+    padded = np.zeros(-(-len(code) // 4) * 4, dtype=np.uint8)
+    padded[: len(code)] = code
+    a, b, c, d = (padded[k::4] for k in range(4))
+    return (a | b << np.uint8(2) | c << np.uint8(4) | d << np.uint8(6)).tobytes()
+
+
 def encode_numbers(numbers: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of uint32 numbers."""
     numbers = np.ascontiguousarray(numbers, dtype="<u4")
     code = (numbers > 0xFF).astype(np.uint8) + (numbers > 0xFFFF) + (numbers > 0xFFFFFF)
-    padded = np.zeros(-(-len(numbers) // 4) * 4, dtype=np.uint8)
-    padded[: len(numbers)] = code
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
     keep = np.arange(4, dtype=np.uint8)[None, :] <= code[:, None]
-    return control.tobytes(), numbers.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    return _packed(code), numbers.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+
+
+def joined(coded: list[tuple[bytes, bytes]], counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of runs of numbers put in a row, from those of each run. Data bytes stay as they are."""
+    padded = -(-counts // 4) * 4
+    shift = np.cumsum(padded - counts) - (padded - counts)
+    code = LENGTHS[np.frombuffer(b"".join(c for c, _ in coded), np.uint8)].reshape(-1)
+    return _packed(code[np.arange(int(counts.sum())) + np.repeat(shift, counts)] - np.uint8(1)), b"".join(d for _, d in coded)
 
 
 def decode_numbers(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
@@ -62,17 +76,16 @@ def decode_numbers(control: np.ndarray, data: np.ndarray, count: int) -> np.ndar
     return out.astype(np.uint32)
 
 
-def write_blocks(ids: np.ndarray, counts: np.ndarray, numbers: Iterator[np.ndarray]) -> Iterator[bytes]:
-    """A file's parts, from the numbers of one document after another."""
+def write_blocks(ids: np.ndarray, counts: np.ndarray, coded: list[tuple[bytes, bytes]]) -> Iterator[bytes]:
+    """A file's parts, from the coded numbers of one document after another."""
     yield MAGIC
     ends = np.cumsum(counts, dtype=np.int64)
     first = 0
     while first < len(ids):
         base = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
-        part = np.concatenate([next(numbers) for _ in range(first, last)])
-        control, data = encode_numbers(part)
-        yield np.array([last - first, len(part), len(data)], dtype="<u4").tobytes()
+        control, data = joined(coded[first:last], counts[first:last])
+        yield np.array([last - first, counts[first:last].sum(), len(data)], dtype="<u4").tobytes()
         yield ids[first:last].astype("<i8").tobytes()
         yield counts[first:last].astype("<u4").tobytes()
         yield control
@@ -101,7 +114,7 @@ def read_blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 class WordEncoder:
     """Ids of whole texts from a tokenizer that lower-cases, drops white space and never joins words across it.
 
-    Each distinct word goes through the tokenizer once a task; texts are then put
+    Each distinct word goes through the tokenizer once a worker; texts are then put
     together from the remembered ids. Texts that hold the opening of a special
     token are encoded whole. ``tests/llm`` compares with whole-text encoding.
     """
@@ -176,11 +189,17 @@ class WordEncoder:
         return ids, np.diff(tokens_end, prepend=0)
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(tokenizer_file: str) -> WordEncoder:
+    """The encoder of a worker process: the words that a task learned serve the worker's next tasks, ``WORDS_KEPT`` at most."""
+    return WordEncoder(tokenizer_file)
+
+
 def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int, bounds: list[int]) -> DataFrame:
     cuts = np.array(bounds, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_file)
+        encoder = _encoder(tokenizer_file)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -261,9 +280,8 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 2, docs_a_f
     def put(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "n", "control", "data"], kind="stable")
         counts = rows["n"].to_numpy()
-        numbers = (decode_numbers(np.frombuffer(c, np.uint8), np.frombuffer(d, np.uint8), n) for c, d, n in zip(rows["control"], rows["data"], counts))
         name = f"{int(key[0]):012d}.tok"
-        _put(folder, name, write_blocks(rows["doc_id"].to_numpy(), counts, numbers))
+        _put(folder, name, write_blocks(rows["doc_id"].to_numpy(), counts, list(zip(rows["control"], rows["data"]))))
         return pd.DataFrame({"file_no": [int(key[0])], "name": [name], "n_docs": [len(rows)], "n_tokens": [int(counts.sum())]})
 
     # Ids are coded before the shuffle: about a third of the bytes move.
