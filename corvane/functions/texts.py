@@ -66,6 +66,6 @@ def conflicting(include: Column, exclude: Column) -> Column:
     return F.array_sort(F.array_intersect(low(include), low(exclude)))
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The nearest-rank percentile of an array."""
-    return F.element_at(F.array_sort(values), F.greatest(F.ceil(F.size(values) * F.lit(share)), F.lit(1)).cast("int"))
+def nearest_rank(value: str, share: float) -> Column:
+    """The nearest-rank percentile of a column's values, as an aggregate; nulls don't count."""
+    return F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY `{value}`)")

@@ -75,8 +75,9 @@ def owners(properties: DataFrame, objects: DataFrame, by: str, position: str) ->
     both = properties.select(by, position, F.lit(1).alias("_p"), F.lit(None).cast("string").alias("object")).unionByName(objects.select(by, position, F.lit(0).alias("_p"), F.col("object")))
     w = Window.partitionBy(by).orderBy(position, "_p")
     before = F.last("object", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("object", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumn("owner", F.coalesce(before, after)).filter("_p = 1").select(by, position, "owner")
+    # Where nothing is before, the first after it is the material's first: one value a material.
+    first = F.first("object", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return both.withColumn("owner", F.coalesce(before, first)).filter("_p = 1").select(by, position, "owner")
 
 
 def packed(df: DataFrame, by: str, order: str, size: str, most: int) -> DataFrame:

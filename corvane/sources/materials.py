@@ -14,6 +14,7 @@ import re
 import tomllib
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import batched
 from typing import Any
 from xml.etree import ElementTree
 
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FACT = "path string, kind string, name string, line int, data string, quality string"
-MOST_FACTS = 20_000
+#: Facts that leave a task together; there is no cap on the facts of a file.
+FACTS_AT_ONCE = 10_000
 Fact = tuple[str, str, int, Any, str]
 
 
@@ -139,7 +141,7 @@ def ddl_facts(text: str) -> Iterator[Fact]:
 def text_facts(text: str) -> Iterator[Fact]:
     for n, line in enumerate(text.splitlines(), 1):
         if line.strip():
-            yield "line", "", n, line.strip()[:400], "low"
+            yield "line", "", n, line.strip(), "low"
 
 
 def docx_facts(content: bytes) -> Iterator[Fact]:
@@ -152,7 +154,7 @@ def docx_facts(content: bytes) -> Iterator[Fact]:
         style = p.find(f"{w}pPr/{w}pStyle")
         if text.strip():
             heading = style is not None and style.get(f"{w}val", "").lower().startswith("heading")
-            yield ("heading" if heading else "paragraph"), text[:200] if heading else "", n, "" if heading else text[:400], "high"
+            yield ("heading" if heading else "paragraph"), text if heading else "", n, "" if heading else text, "high"
 
 
 def xlsx_facts(content: bytes) -> Iterator[Fact]:
@@ -182,23 +184,22 @@ PARSERS: dict[str, Callable[[str], Iterator[Fact]]] = {
 }
 
 
-def parse(path: str, content: bytes) -> list[tuple]:
-    """Facts of one file by its suffix; unknown suffixes are read as lines, and a file that fails says so in one fact."""
+def parsed(path: str, content: bytes) -> Iterator[tuple]:
+    """Facts of one file by its suffix, one after another; unknown suffixes are read as lines, and a file that fails says so in a last fact."""
     suffix = path.rpartition(".")[2].lower()
     try:
         text = content.decode("utf-8-sig")
     except UnicodeDecodeError:
         text = content.decode("latin-1")
-    out = []
     try:
-        found = BINARY[suffix](content) if suffix in BINARY else PARSERS.get(suffix, text_facts)(text)
-        for kind, name, line, data, quality in found:
-            out.append((path, kind, name, line, json.dumps(data, ensure_ascii=False, sort_keys=True), quality))
-            if len(out) > MOST_FACTS:
-                return [(path, "failure", "facts", 0, json.dumps(f"more than {MOST_FACTS} facts"), "low")]
+        for kind, name, line, data, quality in BINARY[suffix](content) if suffix in BINARY else PARSERS.get(suffix, text_facts)(text):
+            yield path, kind, name, line, json.dumps(data, ensure_ascii=False, sort_keys=True), quality
     except Exception as e:  # noqa: BLE001  one bad file is one failure fact, not the end of the scan
-        out = [(path, "failure", type(e).__name__, 0, json.dumps(str(e)[:200]), "low")]
-    return out
+        yield path, "failure", type(e).__name__, 0, json.dumps(str(e)[:200]), "low"
+
+
+def parse(path: str, content: bytes) -> list[tuple]:
+    return list(parsed(path, content))
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -206,8 +207,9 @@ def facts(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for path, content in zip(batch["path"], batch["content"]) for r in parse(path, bytes(content))]
-            yield pd.DataFrame(rows, columns=["path", "kind", "name", "line", "data", "quality"])
+            rows = (r for path, content in zip(batch["path"], batch["content"]) for r in parsed(path, bytes(content)))
+            for some in batched(rows, FACTS_AT_ONCE):
+                yield pd.DataFrame(some, columns=["path", "kind", "name", "line", "data", "quality"])
 
     return files.select("path", "content").mapInPandas(run, FACT)
 

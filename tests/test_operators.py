@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from corvane.functions import calc, formats, sqltemplate, valuetypes
+from corvane.functions import calc, formats, sqltemplate, texts, valuetypes
 from corvane.functions.predicates import Condition, conjunction
 from corvane.operators import aggregate, facts, metadata, objects
 from corvane.plans import flow, rules
@@ -303,3 +303,25 @@ def test_office_files():
     book = archive(xl__workbook=f'<workbook {s}><sheets><sheet name="S"/></sheets></workbook>', xl__sharedStrings=f"<sst {s}><si><t>hi</t></si></sst>", xl__worksheets__sheet1=sheet)
     assert [(f[1], f[2], f[4]) for f in materials.parse("b.xlsx", book)] == [("cell", "S!A1", '"hi"'), ("cell", "S!B1", '"2"'), ("error_cell", "S!C1", '"#REF!"')]
     assert materials.parse("c.xlsx", b"no zip")[0][1] == "failure"
+
+
+def test_facts_of_a_large_file_all_stay_and_long_lines_are_whole(spark):
+    lines = "\n".join(f"line {i}" for i in range(25_000)) + "\n" + "x" * 5_000
+    files = spark.createDataFrame([("big.txt", lines.encode()), ("bad.xlsx", b"no zip")], "path string, content binary")
+    found = materials.facts(files)
+    assert found.filter("path = 'big.txt'").count() == 25_001
+    assert found.filter("kind = 'line' AND length(data) = 5002").count() == 1
+    assert [r.kind for r in found.filter("path = 'bad.xlsx'").collect()] == ["failure"]
+
+
+def test_nearest_rank_leaves_out_nulls(spark):
+    df = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", None), ("a", 2.0), ("b", None)], "k string, v double")
+    got = {r.k: r.p for r in df.groupBy("k").agg(texts.nearest_rank("v", 0.5).alias("p")).collect()}
+    assert got == {"a": 2.0, "b": None}
+
+
+def test_owner_before_the_first_object_is_the_first_after(spark):
+    properties = spark.createDataFrame([("m", 1), ("m", 5), ("m", 9), ("n", 1)], "m string, at int")
+    objects_ = spark.createDataFrame([("m", 3, "a"), ("m", 7, "b")], "m string, at int, object string")
+    got = sorted((r.m, r["at"], r.owner) for r in facts.owners(properties, objects_, "m", "at").collect())
+    assert got == [("m", 1, "a"), ("m", 5, "a"), ("m", 9, "b"), ("n", 1, None)]
