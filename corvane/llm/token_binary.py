@@ -34,6 +34,8 @@ MAGIC = b"TOKV1\n"
 DOCS_A_FILE, BLOCK = 4096, 1 << 20
 #: Distinct words whose ids a worker process remembers.
 WORDS_KEPT = 1 << 19
+#: Ids of such words, and of texts that were encoded whole, until all are forgotten.
+IDS_KEPT = 1 << 23
 #: Between words that are encoded together; texts that hold it are encoded whole.
 MARK = b"\x01"
 STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
@@ -163,7 +165,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has, its end id included."""
-        if len(self.index) > WORDS_KEPT:
+        if len(self.index) > WORDS_KEPT or self.used > IDS_KEPT:
             self.clear()
         flat: list[bytes] = []
         ends = []
