@@ -29,6 +29,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +135,7 @@ class Lattices:
         return x
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.root]
+        new = list(words.difference(self.root))
         for at in range(0, len(new), 8192):
             self._learn(new[at : at + 8192])
 
@@ -278,11 +279,10 @@ class Sampler:
         if len(self.lattices.root) > WORDS_KEPT or self.lattices.n_nodes > NODES_KEPT:
             self.lattices.clear()
         split = [split_words(t) for t in texts]
-        self.lattices.learn({w for ws in split for w in ws})
-        words = [list(map(self.lattices.root.__getitem__, ws)) for ws in split]
+        self.lattices.learn(set().union(*split))
         tables = self.lattices.arrays()
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        node = np.array([x for w in words for x in w], dtype=np.int64)
+        sizes = np.array([len(w) for w in split], dtype=np.int64)
+        node = np.fromiter(map(self.lattices.root.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
         row = np.repeat(np.arange(len(texts)), sizes)
         begin = np.cumsum(sizes) - sizes
         place = np.arange(len(node)) - begin[row]
@@ -299,7 +299,7 @@ class Sampler:
         for draw in range(1, self.k):
             jobs = [(i, *self._next(states[i])) for i in range(len(texts))]
             jobs = [j for j in jobs if j[1] is not None]
-            self._deviate(jobs, words, keys, draw, tables, states, found)
+            self._deviate(jobs, np.split(node, np.cumsum(sizes)[:-1]), keys, draw, tables, states, found)
         out = []
         for i in range(len(texts)):
             kappa = max((float(p.values.max()) for p in states[i] if len(p.values)), default=-np.inf)
@@ -333,7 +333,7 @@ class Sampler:
                 best, where, top = p, int(p.values.argmax()), v
         return best, where
 
-    def _deviate(self, jobs: list, words: list[list[int]], keys: np.ndarray, draw: int, tables: tuple, states: list, found: list) -> None:
+    def _deviate(self, jobs: list, words: list[np.ndarray], keys: np.ndarray, draw: int, tables: tuple, states: list, found: list) -> None:
         first, count, _, to, log_p, _ = tables
         heads, nodes, owner, places = [], [], [], []
         for n, (i, path, t) in enumerate(jobs):
@@ -349,7 +349,7 @@ class Sampler:
             left = float(np.log(np.exp(log_p[remaining].astype(np.float64)).sum())) if len(remaining) else -np.inf
             heads.append((chosen, gone, left))
             word = int(path.word[t])
-            tail = np.array([to[chosen], *words[i][word + 1 :]], dtype=np.int64)
+            tail = np.concatenate([to[chosen : chosen + 1], words[i][word + 1 :]]).astype(np.int64)
             nodes.append(tail)
             owner.append(np.full(len(tail), n))
             places.append(np.arange(word, word + len(tail)))
