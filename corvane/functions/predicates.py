@@ -70,3 +70,30 @@ def conjunction(df: DataFrame, conditions: Iterable[Condition], scope: str = "fi
     if not parts:
         raise ValueError("a filtered scope needs a condition")
     return reduce(lambda a, b: a & b, parts)
+
+
+def explored(df: DataFrame, text: str = "", field: str | None = None, op: str = "present", value: str = "") -> Column:
+    """The filter of an object list: ``text`` anywhere in the row, whatever its case, and one test of a property.
+
+    Tests: missing, present, contains, eq (as text), gte, lte (numbers only). A null or empty property only meets ``missing``.
+    """
+    row = F.lower(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    found = row.contains(text.strip().lower()) if text.strip() else F.lit(True)
+    if field is None:
+        return found
+    shown = column(df, field).cast("string")
+    missing = shown.isNull() | (shown == "")
+    if op in ("missing", "present"):
+        return found & (missing if op == "missing" else ~missing)
+    if op in ("contains", "eq"):
+        return found & ~missing & (F.lower(shown).contains(value.lower()) if op == "contains" else shown == value)
+    if op not in ("gte", "lte"):
+        raise ValueError(f"unknown operator {op!r}")
+    try:
+        limit = float(value)
+    except ValueError:
+        return F.lit(False)
+    number = column(df, field)
+    if not isinstance(df.schema[field].dataType, T.NumericType):
+        return F.lit(False)
+    return found & ~missing & (number >= limit if op == "gte" else number <= limit)

@@ -69,3 +69,20 @@ def conflicting(include: Column, exclude: Column) -> Column:
 def nearest_rank(value: str, share: float) -> Column:
     """The nearest-rank percentile of a column's values, as an aggregate; nulls don't count."""
     return F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY `{value}`)")
+
+
+def object_path(path: Column) -> Column:
+    """The nearest object of a key path: the path without its last key, or as it is if that is an array's element; '' for the root."""
+    bare = F.btrim(F.regexp_replace(F.coalesce(path, F.lit("")), r"^\$", ""), F.lit("."))
+    parts = F.filter(F.split(bare, r"\."), lambda x: x != "")
+    last = F.try_element_at(parts, F.lit(-1))
+    return F.when(F.size(parts) == 0, "").when(last.contains("["), bare).when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".")).otherwise("")
+
+
+def array_summary(c: Column, most: int = 5000) -> Column:
+    """length, types (how many of the first ``most`` elements are of each JSON type) and keys of the first object, of a JSON array in a string."""
+    items = F.try_parse_json(c).cast("array<variant>")
+    types = F.transform(F.slice(items, 1, most), lambda x: F.lower(F.regexp_extract(F.coalesce(F.schema_of_variant(x), F.lit("VOID")), "^[A-Z]+", 0)))
+    named = F.transform(F.array_sort(F.array_distinct(types)), lambda k: F.concat(k, F.lit("="), F.size(F.filter(types, lambda x: x == k)).cast("string")))
+    first = F.try_element_at(F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT")), F.lit(1))
+    return F.struct(F.size(items).alias("length"), F.array_join(named, ",").alias("types"), F.array_join(F.json_object_keys(F.to_json(first)), ",").alias("keys"))

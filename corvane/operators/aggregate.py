@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.predicates import Condition, conjunction
@@ -91,3 +91,30 @@ def calibrated(df: DataFrame, by: list[str], value: str, least: int = 20, factor
 def union_members(parts: Iterable[DataFrame], key: str) -> DataFrame:
     """Members of several rules, once per key."""
     return reduce(DataFrame.unionByName, parts).dropDuplicates([key])
+
+
+def calibrated_last(df: DataFrame, by: list[str], value: str, order: list[Column], keep: int = 20, factor: float = 1.25) -> DataFrame:
+    """``calibrated`` over the last ``keep`` samples of each group: n of all samples, n_kept, budget. ``order`` puts the newest first."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    known = df.filter(F.col(value).isNotNull())
+    last = known.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= keep)
+    rate = last.groupBy(*by).agg(F.count(F.lit(1)).alias("n_kept"), F.max(value).alias("_max"), F.percentile(value, F.lit(0.9)).alias("_p90"))
+    n = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(rate, by).select(*by, "n", "n_kept", (F.when(F.col("n") < keep, F.col("_max")).otherwise(F.col("_p90")) * factor).alias("budget"))
+
+
+def counters(df: DataFrame, by: list[str], seq: str, value: str) -> DataFrame:
+    """n rows, the next number of a sequence (1 where none is known), and a sum that is 0 where nothing is known."""
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), (F.coalesce(F.max(seq), F.lit(0)) + 1).alias("next_seq"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total")
+    )
+
+
+def json_sum(df: DataFrame, by: list[str], column: str, paths: Mapping[str, str]) -> DataFrame:
+    """Sums of numbers within a JSON column, per name and path; what is absent or no number counts as 0."""
+    return df.groupBy(*by).agg(*[F.coalesce(F.sum(F.get_json_object(column, path).try_cast("double")), F.lit(0.0)).alias(name) for name, path in paths.items()])
+
+
+def median_known(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The median of the known values, with how many are known of how many."""
+    return df.groupBy(*by).agg(F.median(value).alias("median"), F.count(value).alias("n_known"), F.count(F.lit(1)).alias("n"))

@@ -104,3 +104,39 @@ def inherited(properties: DataFrame, shared: DataFrame, fields: list[str]) -> Da
     side = shared.select(F.col("id").alias("shared_id"), F.struct(*fields).alias("_shared"))
     joined = properties.join(side, "shared_id", "left")
     return joined.select(*[F.when(F.col("_shared").isNotNull(), F.col("_shared")[f]).otherwise(F.col(f)).alias(f) if f in fields else F.col(f) for f in properties.columns])
+
+
+def suffixed(df: DataFrame, name: str, order: Column, most: int = 80) -> DataFrame:
+    """``df`` with ``final``: the name for its first row, then the name with (2), (3) and so on; stems are cut so that ``most`` characters hold.
+
+    A numbered name that another row has by itself is passed over: such rows keep their own name and the next number is taken.
+    Case doesn't tell names apart.
+    """
+    clean = F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("unnamed"))
+    key = F.lower("_clean")
+    numbered_ = df.withColumn("_clean", clean).withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    taken = numbered_.filter("_k = 1").withColumn("_base", F.regexp_replace(key, r" \(\d+\)$", "")).withColumn("_own", F.regexp_extract(key, r" \((\d+)\)$", 1).try_cast("int"))
+    taken = taken.filter("_own > 1").groupBy("_base").agg(F.array_sort(F.collect_set("_own")).alias("_taken"))
+    joined = numbered_.withColumn("_base", key).join(taken, "_base", "left")
+    # The k-th free number: each taken one that isn't above pushes it on by one.
+    number = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_k"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
+    suffix = F.concat(F.lit(" ("), number.cast("string"), F.lit(")"))
+    final = F.when(F.col("_k") == 1, F.left("_clean", F.lit(most))).otherwise(F.concat(F.left("_clean", F.lit(most) - F.length(suffix)), suffix))
+    return joined.withColumn("final", final).select(*df.columns, "final")
+
+
+def preview(df: DataFrame, order: list[Column], most: int = 20) -> DataFrame:
+    """The first rows with ``truncated``: whether there are more. One row beyond the limit tells, so nothing is counted."""
+    some = df.orderBy(*order).limit(most + 1)
+    w = Window.orderBy(*order)
+    placed = some.withColumn("_place", F.row_number().over(w)).withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > most)
+    return placed.filter(F.col("_place") <= most).drop("_place")
+
+
+def moved(objects_: DataFrame, key: str, parent: str, moves: DataFrame, known: DataFrame, target: str) -> DataFrame:
+    """What moves (key, ``target``) would do, without a write: before, after and status (ok, unknown object, unknown target, unchanged)."""
+    now = objects_.select(F.col(key), F.col(parent).alias("before"), F.lit(True).alias("_object"))
+    there = known.select(F.col(target), F.lit(True).alias("_target"))
+    joined = moves.join(now, key, "left").join(there, target, "left")
+    status = F.when(F.col("_object").isNull(), "unknown object").when(F.col("_target").isNull(), "unknown target").when(F.col("before") == F.col(target), "unchanged").otherwise("ok")
+    return joined.select(key, "before", F.col(target).alias("after"), status.alias("status"))

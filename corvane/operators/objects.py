@@ -98,3 +98,28 @@ def weighted_mean(df: DataFrame, by: list[str], value: str, weight: str, low: fl
     good = F.coalesce(F.col(value).between(low, high) & (F.col(weight) > 0) & (F.col(weight) < float("inf")), F.lit(False))
     out = df.groupBy(*by).agg(F.sum(F.col(value) * F.col(weight)).alias("_vw"), F.sum(weight).alias("_w"), F.count_if(~good).alias("n_bad"), F.count(F.lit(1)).alias("n"))
     return out.select(*by, "n", "n_bad", F.when(F.col("n_bad") == 0, F.col("_vw") / F.col("_w")).alias("mean"))
+
+
+def observed(observations: DataFrame, key: str, ts: Column, value: str, known: DataFrame, known_key: str) -> DataFrame:
+    """``observations`` with ``problem``: null, or why one can't be used (unknown object, bad time, bad value); none is dropped here."""
+    side = known.select(F.col(known_key).alias(key), F.lit(True).alias("_known")).distinct()
+    finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    problem = F.when(F.col("_known").isNull(), "unknown object").when(ts.isNull(), "bad time").when(~finite, "bad value")
+    return observations.join(side, key, "left").withColumn("problem", problem).drop("_known")
+
+
+def connected(links_: DataFrame, a: str, b: str, most: int = 64) -> DataFrame:
+    """node and component (its smallest node) over undirected links; rounds of smallest neighbours and pointer jumping."""
+    ends = links_.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    both = cut_lineage(ends.unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    now = both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("component"))
+    for _ in range(most):
+        of = now.select(F.col("node").alias("y"), F.col("component").alias("low"))
+        near = both.join(of, "y").groupBy("x").agg(F.min("low").alias("low"))
+        step = now.join(near, F.col("node") == F.col("x"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("low", "component")).alias("mid"))
+        jump = now.select(F.col("node").alias("mid"), F.col("component").alias("far"))
+        after = cut_lineage(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")))
+        now = after.select("node", "component")
+        if after.filter("old <> component").isEmpty():
+            return now
+    raise ValueError(f"not settled after {most} rounds")

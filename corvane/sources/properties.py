@@ -77,6 +77,14 @@ def key_value(objects: DataFrame, key: Column, store: DataFrame, conversion: str
     return objects.withColumn("_key", key).join(side, "_key", "left").drop("_key")
 
 
+def present(df: DataFrame, value: str, missing: str = "null") -> DataFrame:
+    """``df`` under the policy for absent values: ``null`` leaves them, ``error`` raises when one is computed."""
+    if missing not in ("null", "error"):
+        raise ValueError(f"unknown policy {missing!r}")
+    raised = F.raise_error(F.lit(f"no value for {value}")).cast(df.schema[value].dataType)
+    return df if missing == "null" else df.withColumn(value, F.when(F.col(value).isNull(), raised).otherwise(F.col(value)))
+
+
 #: Read commands over a store of one kind per key, as expressions of its column.
 READS = {
     "EXISTS": lambda v: v.isNotNull(), "STRLEN": F.length, "HGETALL": lambda m: m, "HKEYS": lambda m: F.array_sort(F.map_keys(m)),
