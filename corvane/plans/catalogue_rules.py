@@ -61,7 +61,7 @@ def computed_property_sql(spark, sf):
 
 
 @query("""
-SELECT o_orderkey, o_totalprice, o_totalprice / 4 AS quarter, round(((o_totalprice / 4 * 1.5)::VARCHAR)::DECIMAL(20, 8), 3)::DOUBLE AS padded, greatest(o_totalprice / 4, 20000) AS floor_ FROM orders
+SELECT o_orderkey, o_totalprice, o_totalprice / 4 AS quarter, round(((o_totalprice / 4 * 1.5)::VARCHAR)::DECIMAL(38, 18), 3)::DOUBLE AS padded, greatest(o_totalprice / 4, 20000) AS floor_ FROM orders
 """)
 def computed_property_chain(spark, sf):
     formulas = {"padded": "ROUND({quarter} * 1.5, 3)", "floor_": "MAX({quarter}, 20000)", "quarter": "{o_totalprice} / 4"}
