@@ -242,20 +242,25 @@ def _met(key: np.ndarray, row_id: np.ndarray, n: np.ndarray, place: np.ndarray,
     last = largest[np.r_[key[by][run][largest][1:] != key[by][run][largest][:-1], True]]
     minor = np.ones(len(key), dtype=bool)
     minor[by[np.isin(np.cumsum(fresh) - 1, last)]] = False
-    found, i, d = [np.zeros((0, 3), dtype=np.int64)], np.arange(len(key)), 0
-    while len(i):
-        d += 1
-        i = i[i + d < len(key)]
-        i = i[(key[i] == key[i + d]) & (UNDER * n[i] >= OVER * n[i + d])]
-        j = i + d
-        overlap = -(-OVER * (n[i] + n[j]) // (OVER + UNDER))
-        good = (comp[i] != comp[j]) & ~(cross[i] & (salt[i] == salt[j])) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= overlap)
-        x, y = i[good], j[good]
-        swap = np.where(minor[x] & minor[y], row_id[x] > row_id[y], minor[x])
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        found.append(np.stack([row_id[x], row_id[y], comp[x]], axis=1))
-        if len(found) > 64:
-            found = [np.unique(np.concatenate(found), axis=0)]
+    # Two rows of the largest component are never apart, so only the others look for partners: ahead, and back for rows of the largest.
+    found = [np.zeros((0, 3), dtype=np.int64)]
+    for step in (1, -1):
+        i, d = np.flatnonzero(minor), 0
+        while len(i):
+            d += step
+            i = i[(i + d >= 0) & (i + d < len(key))]
+            i = i[(key[i] == key[i + d]) & (UNDER * np.minimum(n[i], n[i + d]) >= OVER * np.maximum(n[i], n[i + d]))]
+            j = i + d
+            overlap = -(-OVER * (n[i] + n[j]) // (OVER + UNDER))
+            good = (comp[i] != comp[j]) & ~(cross[i] & (salt[i] == salt[j])) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= overlap)
+            if step < 0:
+                good &= ~minor[j]
+            x, y = j[good], i[good]
+            swap = minor[x] & (row_id[x] > row_id[y])
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            found.append(np.stack([row_id[x], row_id[y], comp[x]], axis=1))
+            if len(found) > 64:
+                found = [np.unique(np.concatenate(found), axis=0)]
     return np.unique(np.concatenate(found), axis=0)
 
 
@@ -366,7 +371,9 @@ def _left(posted: DataFrame, placed: DataFrame) -> DataFrame:
     # A group whose members lie in several components is apart from all others, and its members may be linked with each other.
     of_group = written(groups.select(F.col("grp").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("grp")).alias("comp")), "group-comps")
     labelled = written(posted.join(of_group, "id"), "labelled")
-    across = _expanded(_apart(labelled).select("a", "b").distinct(), placed)
+    # A shingle of one component has no pair that is apart.
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    across = _expanded(_apart(salted_join(labelled, mixed, "key")).select("a", "b").distinct(), placed)
     split = placed.join(groups.filter("lo <> hi").select("grp", (1 + F.floor(F.col("m") / BLOCK)).alias("salts")), "grp")
     block = F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt")
     inside = _apart(split.select(F.col("grp").alias("key"), "salts", block, F.col("node").alias("id"), "n", F.lit(0).cast("long").alias("place"), "comp"))
