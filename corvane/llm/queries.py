@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, exact_dedup, line_dedup, ngram_join, pii, sp_sample, substring_dedup, token_binary, toxicity
+from . import chat_format, decontam, exact_dedup, line_dedup, merkle, ngram_join, pii, sp_sample, spelling, substring_dedup, token_binary, toxicity, warc
 from .common import table
 
 
@@ -111,6 +111,109 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_tokens(spark, folder, manifest, by_rank)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII or UTF-8 text: each byte, then eight shifts (-1) by the polynomial 0xEDB88320."""
+    hexed = f"hex(encode({text}))"
+    steps = f"flatten([[('0x' || substr({hexed}, 2 * i - 1, 2))::INTEGER::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for i in range(1, length({hexed}) // 2 + 1)])"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: {step}), 4294967295::BIGINT)"
+
+
+OP11_SQL = (
+    r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+  ) GROUP BY ALL
+), summed AS (SELECT run, k, """
+    + _crc32("doc_id || ':' || run")
+    + r""" AS h FROM runs WHERE length(run) >= 7),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS best, max(other_n) AS best_n FROM pairs GROUP BY word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), way AS (
+  SELECT word, word AS root, form AS following FROM formed
+  UNION ALL SELECT way.word, formed.word, formed.form FROM way JOIN formed ON way.following = formed.word
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM way WHERE following IS NULL) USING (word)
+"""
+)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS src, sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("text")}) AS leaf,
+         sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("replace(text, chr(10), '')")}) AS other,
+         {_crc32("doc_id::VARCHAR")} % 2 = 0 AS tampered
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id, leaf) - 1 AS at FROM leaves
+), nodes AS (
+  SELECT src, 0 AS lvl, at AS pos, leaf AS h, count(*) OVER (PARTITION BY src) AS total FROM placed
+  UNION ALL
+  SELECT src, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (total + 2) // 3 FROM nodes WHERE total > 1 GROUP BY src, lvl, pos // 3, total
+), subroots AS (SELECT src, h AS subroot, row_number() OVER (ORDER BY src) - 1 AS at, count(*) OVER () AS total FROM nodes WHERE total = 1),
+tops AS (
+  SELECT 0 AS lvl, at AS pos, subroot AS h, total FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (total + 2) // 3 FROM tops WHERE total > 1 GROUP BY lvl, pos // 3, total
+), beside AS (
+  SELECT src, lvl, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM (SELECT * FROM nodes UNION ALL SELECT NULL, lvl, pos, h, total FROM tops) WHERE total > 1 WINDOW w AS (PARTITION BY src, lvl, pos // 3 ORDER BY pos)
+), inner_way AS (
+  SELECT src, at, 0 AS lvl, at AS pos, '' AS path, CASE WHEN tampered AND text_changes THEN other ELSE leaf END AS folded FROM (SELECT *, other <> leaf AS text_changes FROM placed)
+  UNION ALL
+  SELECT w.src, at, w.lvl + 1, w.pos // 3, path || l || r, sha256(l || folded || r) FROM inner_way w JOIN beside b ON b.src = w.src AND b.lvl = w.lvl AND b.pos = w.pos
+), inner_end AS (SELECT src, at, max_by(path, lvl) AS path, max_by(folded, lvl) AS folded FROM inner_way GROUP BY src, at),
+outer_way AS (
+  SELECT e.src, e.at, 0 AS lvl, s.at AS pos, path, folded FROM inner_end e JOIN subroots s USING (src)
+  UNION ALL
+  SELECT w.src, w.at, w.lvl + 1, w.pos // 3, path || l || r, sha256(l || folded || r) FROM outer_way w JOIN beside b ON b.src IS NULL AND b.lvl = w.lvl AND b.pos = w.pos
+), outer_end AS (SELECT src, at, max_by(path, lvl) AS path, max_by(folded, lvl) AS folded FROM outer_way GROUP BY src, at)
+SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM placed JOIN outer_end e USING (src, at) JOIN subroots s USING (src), (SELECT h AS root FROM tops WHERE total = 1)
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages")).drop("intact")
+
+
+OP13_SQL = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS d FROM pages),
+kept AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS keep FROM sized)
+SELECT page_id, strlen(body) AS payload_bytes,
+       translate(array_to_string([to_base(('0x' || substr(d, 5 * i + 1, 5))::BIGINT, 32, 4) for i in range(0, 8)], ''),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM kept
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -122,6 +225,9 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_binary": op10_token_binary,
+    "op11_spelling": op11_spelling,
+    "op12_merkle": op12_merkle,
+    "op13_warc": op13_warc,
 }
 
 ORACLES = {
@@ -129,4 +235,7 @@ ORACLES = {
     "op3_decontam": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op11_spelling": OP11_SQL,
+    "op12_merkle": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }
