@@ -170,14 +170,14 @@ WITH RECURSIVE leaves AS (
          {_crc32("doc_id::VARCHAR")} % 2 = 0 AS tampered
   FROM documents
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id, leaf) - 1 AS at FROM leaves
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id, leaf) - 1 AS seat FROM leaves
 ), nodes AS (
-  SELECT src, 0 AS lvl, at AS pos, leaf AS h, count(*) OVER (PARTITION BY src) AS total FROM placed
+  SELECT src, 0 AS lvl, seat AS pos, leaf AS h, count(*) OVER (PARTITION BY src) AS total FROM placed
   UNION ALL
   SELECT src, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (total + 2) // 3 FROM nodes WHERE total > 1 GROUP BY src, lvl, pos // 3, total
-), subroots AS (SELECT src, h AS subroot, row_number() OVER (ORDER BY src) - 1 AS at, count(*) OVER () AS total FROM nodes WHERE total = 1),
+), subroots AS (SELECT src, h AS subroot, row_number() OVER (ORDER BY src) - 1 AS seat, count(*) OVER () AS total FROM nodes WHERE total = 1),
 tops AS (
-  SELECT 0 AS lvl, at AS pos, subroot AS h, total FROM subroots
+  SELECT 0 AS lvl, seat AS pos, subroot AS h, total FROM subroots
   UNION ALL
   SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (total + 2) // 3 FROM tops WHERE total > 1 GROUP BY lvl, pos // 3, total
 ), beside AS (
@@ -185,17 +185,17 @@ tops AS (
          coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
   FROM (SELECT * FROM nodes UNION ALL SELECT NULL, lvl, pos, h, total FROM tops) WHERE total > 1 WINDOW w AS (PARTITION BY src, lvl, pos // 3 ORDER BY pos)
 ), inner_way AS (
-  SELECT src, at, 0 AS lvl, at AS pos, '' AS path, CASE WHEN tampered AND text_changes THEN other ELSE leaf END AS folded FROM (SELECT *, other <> leaf AS text_changes FROM placed)
+  SELECT src, seat, 0 AS lvl, seat AS pos, '' AS path, CASE WHEN tampered AND text_changes THEN other ELSE leaf END AS folded FROM (SELECT *, other <> leaf AS text_changes FROM placed)
   UNION ALL
-  SELECT w.src, at, w.lvl + 1, w.pos // 3, path || l || r, sha256(l || folded || r) FROM inner_way w JOIN beside b ON b.src = w.src AND b.lvl = w.lvl AND b.pos = w.pos
-), inner_end AS (SELECT src, at, max_by(path, lvl) AS path, max_by(folded, lvl) AS folded FROM inner_way GROUP BY src, at),
+  SELECT w.src, seat, w.lvl + 1, w.pos // 3, path || l || r, sha256(l || folded || r) FROM inner_way w JOIN beside b ON b.src = w.src AND b.lvl = w.lvl AND b.pos = w.pos
+), inner_end AS (SELECT src, seat, max_by(path, lvl) AS path, max_by(folded, lvl) AS folded FROM inner_way GROUP BY src, seat),
 outer_way AS (
-  SELECT e.src, e.at, 0 AS lvl, s.at AS pos, path, folded FROM inner_end e JOIN subroots s USING (src)
+  SELECT e.src, e.seat, 0 AS lvl, s.seat AS pos, path, folded FROM inner_end e JOIN subroots s USING (src)
   UNION ALL
-  SELECT w.src, w.at, w.lvl + 1, w.pos // 3, path || l || r, sha256(l || folded || r) FROM outer_way w JOIN beside b ON b.src IS NULL AND b.lvl = w.lvl AND b.pos = w.pos
-), outer_end AS (SELECT src, at, max_by(path, lvl) AS path, max_by(folded, lvl) AS folded FROM outer_way GROUP BY src, at)
+  SELECT w.src, w.seat, w.lvl + 1, w.pos // 3, path || l || r, sha256(l || folded || r) FROM outer_way w JOIN beside b ON b.src IS NULL AND b.lvl = w.lvl AND b.pos = w.pos
+), outer_end AS (SELECT src, seat, max_by(path, lvl) AS path, max_by(folded, lvl) AS folded FROM outer_way GROUP BY src, seat)
 SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, folded AS folded_root, folded = root AS verified
-FROM placed JOIN outer_end e USING (src, at) JOIN subroots s USING (src), (SELECT h AS root FROM tops WHERE total = 1)
+FROM placed JOIN outer_end e USING (src, seat) JOIN subroots s USING (src), (SELECT h AS root FROM tops WHERE total = 1)
 """
 
 

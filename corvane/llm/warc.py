@@ -186,7 +186,8 @@ def records(spark: SparkSession, folder: str, payloads: bool = False) -> DataFra
                     buffer = b"".join(pieces)
                     if fields is None:
                         head, found, rest = buffer.partition(end)
-                        if not found:
+                        # A last payload that ends in a line end leaves half a blank line, so one too many was put back.
+                        if not found or buffer == end:
                             break
                         fields = _fields(head)
                         need = int(fields["content-length"]) + len(end)
