@@ -29,11 +29,13 @@ def number(c: Column, style: str = "standard", decimals: int = 2, grouping: bool
     elif style == "currency":
         text = F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), F.lit(CURRENCIES.get(currency, currency + " ")), _fixed(F.abs(v), decimals, grouping))
     elif style == "scientific":
-        power = F.when(v == 0, 0).otherwise(F.floor(F.log10(F.abs(v)))).cast("int")
+        below = F.when(v == 0, 0).otherwise(F.floor(F.log10(F.abs(v)))).cast("int")
+        # Rounding may give a tenth digit before the point: the next power has it as 1.
+        power = below + F.when(F.round(F.abs(v) / F.pow(F.lit(10.0), below), decimals) >= 10, 1).otherwise(0)
         text = F.concat(_fixed(v / F.pow(F.lit(10.0), power), decimals, False), F.lit("E"), power.cast("string"))
     elif style == "compact":
         size = F.abs(v)
-        text = F.coalesce(*[F.when(size >= s, F.concat(_fixed(v / s, decimals, False), F.lit(u))) for s, u in ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K"))], _fixed(v, decimals, False))
+        text = F.coalesce(*[F.when(F.round(size / (s / 1000), decimals) >= 1000, F.concat(_fixed(v / s, decimals, False), F.lit(u))) for s, u in ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K"))], _fixed(v, decimals, False))
     else:
         text = _fixed(v, decimals, grouping)
     return _shown(c, F.concat(F.lit(prefix), text, F.lit(suffix)), empty)

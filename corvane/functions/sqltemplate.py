@@ -167,14 +167,20 @@ def render(template: str, params: dict[str, Any]) -> tuple[str, dict[str, Any]]:
     return inside(parsed(template), params).strip(), args
 
 
-def read_only(sql: str) -> str:
-    """The text, if it is one query; anything else is refused."""
-    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";")
-    if ";" in bare or not re.match(r"(?i)(select|with|from|values)\b", bare):
+def one_query(sql: str) -> str:
+    """The text, if it begins as a query, is one statement and runs no script (USING and a text). To be put in parentheses: see ``read_only``."""
+    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"", "''", sql, flags=re.S)
+    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", bare, flags=re.S).strip().rstrip(";")
+    if ";" in bare or not re.match(r"(?i)(select|with|from|values)\b", bare) or re.search(r"(?i)\busing\s+''", bare):
         raise TemplateError("one SELECT is asked for")
     return sql.strip().rstrip(";")
 
 
+def read_only(sql: str) -> str:
+    """``one_query`` as a subquery. Spark's grammar takes nothing but a query in parentheses, so its parser refuses a write wherever it stands, after WITH or FROM as well."""
+    return f"SELECT * FROM (\n{one_query(sql)}\n)"
+
+
 def run(spark: SparkSession, template: str, params: dict[str, Any]) -> DataFrame:
     sql, args = render(template, params)
     return spark.sql(read_only(sql), args=args)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,6 +51,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that all executors share; a local session without one gets a folder that goes when Python ends."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = tempfile.TemporaryDirectory(prefix="corvane-")
+        atexit.register(own.cleanup)
+        known = f"file://{own.name}"
+        spark.conf.set("spark.checkpoint.dir", known)
+    return f"{known.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def closure(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
     """node and depth of all that ``roots`` (node) reach over ``edges`` (parent, child). Cycles end, since a node is taken once."""
     seen = roots.select("node").distinct().withColumn("depth", F.lit(0))

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Groups of the JSON form and the node types of the JSON-LD form.
-GROUPS = {"objectTypes": "owl:Class", "linkTypes": "owl:ObjectProperty", "properties": "owl:DatatypeProperty", "sharedProperties": "mg:SharedProperty", "valueTypes": "mg:ValueType"}
+#: Node types of the JSON-LD form by group; a vocabulary of one's own is a parameter of ``decoded`` and ``encoded``.
+STANDARD = {"objectTypes": "owl:Class", "linkTypes": "owl:ObjectProperty", "properties": "owl:DatatypeProperty"}
 NODE = "struct<`@id`:string,`@type`:string,name:string,domain:string,range:string>"
 
 
-def decoded(documents: DataFrame, column: str = "value") -> DataFrame:
+def decoded(documents: DataFrame, column: str = "value", vocabulary: dict[str, str] = STANDARD) -> DataFrame:
     """group, id, name, domain, range of the nodes of JSON-LD documents. Unknown node types are kept with a null group."""
-    names = F.create_map(*[F.lit(x) for g, t in GROUPS.items() for x in (t, g)])
+    names = F.create_map(*[F.lit(x) for g, t in vocabulary.items() for x in (t, g)])
     nodes = documents.select(F.explode(F.from_json(F.get_json_object(column, "$.@graph"), f"array<{NODE}>")).alias("n"))
     return nodes.select(names[F.col("n.@type")].alias("group"), F.col("n.@id").alias("id"), F.col("n.name").alias("name"), F.col("n.domain").alias("domain"), F.col("n.range").alias("range"))
 
 
-def encoded(nodes: DataFrame, by: str) -> DataFrame:
+def encoded(nodes: DataFrame, by: str, vocabulary: dict[str, str] = STANDARD) -> DataFrame:
     """by and value: one JSON-LD document per ``by``, nodes in order of their ids."""
-    types = F.create_map(*[F.lit(x) for kv in GROUPS.items() for x in kv])
+    types = F.create_map(*[F.lit(x) for kv in vocabulary.items() for x in kv])
     node = F.struct(F.col("id").alias("@id"), types[F.col("group")].alias("@type"), "name", "domain", "range")
     return nodes.groupBy(by).agg(F.to_json(F.struct(F.array_sort(F.collect_list(node)).alias("@graph"))).alias("value"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import predicates, texts
-from corvane.operators import aggregate, metadata, objects
+from corvane.operators import aggregate, metadata, objects, search
 from corvane.plans import catalogue, computed, structured
 from corvane.plans.catalogue import query
 from corvane.sources import properties
@@ -213,3 +213,19 @@ def object_paths(spark, sf):
 def array_summary(spark, sf):
     c = F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(',"'), F.col("event_type"), F.lit('",true,'), F.col("props"), F.lit(",null]"))
     return t(spark, sf, "events").select("event_id", texts.array_summary(c).alias("s")).select("event_id", "s.*")
+
+
+# Search
+
+
+@query("""
+WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{3,}'))) AS term FROM documents),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{3,}'))) AS term FROM benchmark),
+hits AS (SELECT item_id AS query, doc_id AS key, count(*) AS strong_hits FROM q JOIN d USING (term) GROUP BY ALL)
+SELECT query, key, strong_hits, 0 AS weak_hits, row_number() OVER (PARTITION BY query ORDER BY strong_hits DESC, key) AS rank FROM hits
+QUALIFY rank <= 10
+""")
+def search_index(spark, sf):
+    path = objects.shared_path(spark, "search")
+    search.build_index(t(spark, sf, "documents"), "doc_id", "text", path)
+    return search.search(spark, path, t(spark, sf, "benchmark"), "item_id", "text")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import calc
-from corvane.functions.sqltemplate import read_only
+from corvane.functions.sqltemplate import one_query
 
 INSTANCE = re.compile(r"'(?:[^'\\]|''|\\.)*'|(?<![:\w]):instanceId\b")
 
@@ -25,9 +25,9 @@ def sql_property(instances: DataFrame, key: str, name: str, sql: str, tables: Ma
     """
     if not re.match(r"\s*select\b", sql, re.I):
         raise ValueError("inline SQL is one SELECT")
-    asked = INSTANCE.sub(lambda m: m[0] if m[0].startswith("'") else f"_o.`{key}`", read_only(sql))
+    asked = INSTANCE.sub(lambda m: m[0] if m[0].startswith("'") else f"_o.`{key}`", one_query(sql))
     used = {k: v for k, v in params.items() if re.search(rf"(?<![:\w]):{k}\b", asked)}
-    return instances.sparkSession.sql(f"SELECT _o.*, ({asked}) AS `{name}` FROM {{_instances}} _o", args=used, _instances=instances, **tables)
+    return instances.sparkSession.sql(f"SELECT _o.*, (\n{asked}\n) AS `{name}` FROM {{_instances}} _o", args=used, _instances=instances, **tables)
 
 
 def order_of(needs: Mapping[str, list[str]]) -> list[str]:
