@@ -386,8 +386,8 @@ def _nearest(pairs: DataFrame, *by: str) -> DataFrame:
     return best.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T, width: int = WIDTH) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
+def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T, width: int = WIDTH, keyed: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach), and row_key, a hash of the text, if ``keyed``.
 
     * Lower-case is ASCII only; words are runs of anything but ASCII white space. A text of fewer than ``k``
       words is one shingle; null and empty texts have none and link with nothing.
@@ -398,7 +398,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T, width: in
     all_nodes = written(nodes(docs, frequencies(docs, k, least_t), k), "nodes", compression="zstd")
     members = written(_members(all_nodes), "members")
     posted = written(_postings(all_nodes), "postings")
-    of_doc = written(all_nodes.select("doc_id", F.col("n").alias("n_shingles"), "node"), "node-of-doc")
+    of_doc = written(all_nodes.select("doc_id", *(["row_key"] if keyed else []), F.col("n").alias("n_shingles"), "node"), "node-of-doc")
     forget(all_nodes)
     # Each node tries the most similar of its neighbours; members of a group try its first member.
     first = members.groupBy("grp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("grp", "first")
@@ -423,7 +423,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T, width: in
     least = final.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_node = salted_join(final.select("node", "comp"), least, "comp").select("node", "component_id")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    result = written(of_doc.join(by_node, "node", "left").select("doc_id", "n_shingles", component), "classes")
+    result = written(of_doc.join(by_node, "node", "left").select("doc_id", *(["row_key"] if keyed else []), "n_shingles", component), "classes")
     for done in (of_doc, members, posted, left, comps, final, *tried, *links):
         forget(done)
     return result
@@ -432,9 +432,12 @@ def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T, width: in
 def first_of_class(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their class's smallest, with their own columns; rows that repeat an id and a text all stay or go.
 
+    A row is known by its id and its text, so of one id with two texts the one may stay and the other go.
     Rows without shingles and rows with a null doc_id stay: they are nobody's copy by name.
     """
-    found = classes(docs, k)
-    stay = found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    found = classes(docs, k, keyed=True)
+    stay = found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id")))
+    stay = stay.select(F.col("doc_id").alias("_kept_id"), F.col("row_key").alias("_kept_key")).distinct()
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    kept = docs.join(stay, (docs["doc_id"].cast("long") == F.col("_kept_id")) & (key == F.col("_kept_key")), "left_semi")
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -273,5 +273,9 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` under the threshold, with their own columns."""
-    return scored(docs, fit(docs, labels), keep=docs.columns).filter(F.col("_score") < threshold).drop("_score")
+    """The rows of ``docs`` under the threshold, with their own columns, whatever their names."""
+    own = docs.columns
+    # The score's own column must not meet one of the table's.
+    plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(own)])
+    kept = scored(plain, fit(docs, labels), keep=plain.columns).filter(F.col("_score") < threshold).drop("_score")
+    return kept.toDF(*own)

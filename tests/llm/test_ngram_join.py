@@ -91,3 +91,12 @@ def test_components_that_many_tasks_share(spark):
     want = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()}
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7), links=9).collect()}
     assert got == want and want[1080] == 1000 and want[89] == 0
+
+
+def test_one_id_with_two_texts(spark):
+    """Text V is led by document 2, and W by document 5: the V of document 5 goes, its W stays."""
+    from corvane.llm.ngram_join import first_of_class
+
+    v, w = "v1 v2 v3 v4 v5 v6 v7 v8", "w1 w2 w3 w4 w5 w6 w7 w8"
+    df = spark.createDataFrame([(2, v), (5, w), (5, v)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in first_of_class(df).collect()) == [(2, v), (5, w)]

@@ -111,3 +111,11 @@ def test_labels_that_nothing_tells_apart(spark):
 def test_table(spark, sf):
     out = queries.op2_toxicity(spark, sf)
     assert out.count() == table(spark, sf, "documents").count() and out.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
+
+
+def test_columns_with_names_of_the_scores_stay(spark, sf):
+    from corvane.llm.common import table
+
+    docs = table(spark, sf, "documents").selectExpr("*", "1 AS _score", "'x' AS c0", "2 AS score", "3 AS passages")
+    out = toxicity.without_toxic(docs, table(spark, sf, "labels"))
+    assert out.columns == docs.columns and out.filter("_score = 1 AND c0 = 'x'").count() == out.count() > 0
