@@ -7,6 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.batches import packed  # noqa: F401  packing is one of the steps on facts
+from corvane.operators.running import placed
+
+#: Free facts of a group are looked at in chunks of so many.
+CHUNK = 4096
+
 
 def fact_id(*parts: str) -> Column:
     """``bf-`` and 24 hex digits of a digest over the parts."""
@@ -40,11 +46,33 @@ def select_scope(df: DataFrame, key: str, text: str, group: str, include: list[s
     flagged = df.select(F.col(key), F.col(group), any_of(F.col(text), include).alias("_in"), any_of(F.col(text), exclude).alias("_out"))
     flagged = flagged.join(seen.select(key, "is_duplicate"), key)
     own = flagged.withColumn("scope", F.when(F.col("_in"), F.when(F.col("is_duplicate"), "related").otherwise("relevant")).when(F.col("_out"), "excluded"))
-    n_relevant = own.filter("scope = 'relevant'").groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(group).orderBy(key)
-    free = own.filter("scope IS NULL").join(n_relevant, group, "left")
-    free = free.withColumn("_place", F.row_number().over(w)).withColumn("scope", F.when(F.col("_place") <= F.coalesce("_n", F.lit(0)) * neighbours, "related").otherwise("other"))
-    return own.filter("scope IS NOT NULL").select(key, "scope").unionByName(free.select(key, "scope"))
+    free = F.col("scope").isNull()
+    both = placed(own, [group], [key], {"_place": free.cast("int")}, {"_n": (~free & (F.col("scope") == "relevant")).cast("int")})
+    shared = F.when(F.col(group).isNotNull() & (F.col("_place") < F.col("_n") * neighbours), "related").otherwise("other")
+    return both.select(key, F.coalesce("scope", shared).alias("scope"))
+
+
+def neighbours(df: DataFrame, key: str, links: list[str], hit: Column, free: Column, nearest: int = 5) -> DataFrame:
+    """Keys of the free rows that are among the ``nearest`` free ones before or after some hit, by key, in a group of one of ``links``.
+
+    ``links`` are alternatives, such as module or file; a null one links with nothing. Keys are distinct. Of a group's free rows the
+    one at place f is near a hit that has p free ones before it if f - nearest < p <= f + nearest. Hits before the free row at f + nearest,
+    less those before the one at f - nearest, are these: two places to look at, so neither pairs nor a sorted group are made.
+    """
+    found = None
+    for link in links:
+        marked = df.filter(F.col(link).isNotNull() & (hit | free)).select(F.col(key), F.col(link), hit.cast("int").alias("_hit"), (free & ~hit).cast("int").alias("_free"))
+        at = placed(marked, [link], [key], {"_f": F.col("_free"), "_h": F.col("_hit")}, {"_hits": F.col("_hit")}).filter("_free = 1")
+        # Each chunk also sees as many rows of the chunks beside it as a look reaches.
+        inside = F.col("_f") % CHUNK
+        chunk = F.expr(f"_f div {CHUNK}")
+        beside = F.array(chunk, F.when(inside < nearest, chunk - 1), F.when(inside >= CHUNK - nearest, chunk + 1))
+        seen = at.select("*", F.explode(beside).alias("_chunk")).filter("_chunk IS NOT NULL")
+        w = Window.partitionBy("_group", "_chunk").orderBy("_f")
+        near = F.coalesce(F.lead("_h", nearest).over(w), F.col("_hits")) - F.coalesce(F.lag("_h", nearest).over(w), F.lit(0))
+        own = seen.withColumn("_near", near).filter((F.col("_chunk") == chunk) & (F.col("_near") > 0)).select(key)
+        found = own if found is None else found.unionByName(own)
+    return found.distinct()
 
 
 def normal_name(c: Column) -> Column:
@@ -80,23 +108,6 @@ def owners(properties: DataFrame, objects: DataFrame, by: str, position: str) ->
     return both.withColumn("owner", F.coalesce(before, first)).filter("_p = 1").select(by, position, "owner")
 
 
-def packed(df: DataFrame, by: str, order: str, size: str, most: int) -> DataFrame:
-    """Greedy packing in order: ``batch`` starts anew where the next row would not fit. Runs per plan, since each batch depends on the one before."""
-    import pandas as pd
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        batch, used, out = 0, 0, []
-        for n in rows[size]:
-            if used and used + n > most:
-                batch, used = batch + 1, 0
-            used += n
-            out.append(batch)
-        return rows.assign(batch=out)
-
-    return df.select(by, order, size).groupBy(by).applyInPandas(pack, df.select(by, order, size).schema.add("batch", "long"))
-
-
 def matched_golden(golden: DataFrame, found: DataFrame, identity: list[str]) -> DataFrame:
     """The k-th golden record of an identity meets the k-th found one: identity, k, outcome (hit, missed, extra)."""
     def numbered(df: DataFrame, mark: str) -> DataFrame:

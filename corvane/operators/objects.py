@@ -40,19 +40,8 @@ def dangling(child: DataFrame, column: str, parent: DataFrame, key: str) -> Data
     return child.filter(F.col(column).isNotNull()).join(known, column, "left_anti")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` from reliable storage: the shared checkpoint folder of the session, or a local one where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not known and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(known or tempfile.mkdtemp(prefix="corvane-"))
-    return df.checkpoint()
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share; a local session without one gets a folder that goes when Python ends."""
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; a local session without one gets a folder that goes when Python ends."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
         if not spark.sparkContext.master.startswith("local"):
@@ -61,7 +50,20 @@ def shared_path(spark: SparkSession, what: str) -> str:
         atexit.register(own.cleanup)
         known = f"file://{own.name}"
         spark.conf.set("spark.checkpoint.dir", known)
-    return f"{known.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return known.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` from reliable storage in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def closure(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:

@@ -694,7 +694,12 @@ def batch_diff(spark, sf):
     return facts.batch_diff(old, new, "p_partkey", "s")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT source, doc_id, n_chars AS size, greatest(coalesce(n_chars, 0), 1) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id, n_chars) AS i FROM documents),
+w AS (SELECT source, i, 0 AS batch, n AS used FROM d WHERE i = 1 UNION ALL
+  SELECT d.source, d.i, CASE WHEN used + n > 20000 THEN batch + 1 ELSE batch END, CASE WHEN used + n > 20000 THEN n ELSE used + n END FROM w JOIN d ON d.source IS NOT DISTINCT FROM w.source AND d.i = w.i + 1)
+SELECT d.source, doc_id, size, batch FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source AND d.i = w.i
+""")
 def greedy_packing(spark, sf):
     docs = t(spark, sf, "documents").select("source", "doc_id", F.col("n_chars").alias("size"))
     return facts.packed(docs, "source", "doc_id", "size", 20_000)

@@ -3,7 +3,7 @@
 import pytest
 
 import verify
-from corvane.plans import catalogue, catalogue_rules  # noqa: F401  the second registers more queries
+from corvane.plans import catalogue, catalogue_batches, catalogue_rules  # noqa: F401  the others register more queries
 from tests_support import shuffled
 
 
