@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.operators import batches, facts
-from corvane.plans import catalogue
+from corvane.plans import catalogue, flow, flow_property
 from corvane.plans.catalogue import query
 
 
@@ -48,3 +48,31 @@ def scope_neighbours(spark, sf):
     docs = t(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     hit, out = facts.any_of(F.col("text"), catalogue.INCLUDE), facts.any_of(F.col("text"), catalogue.EXCLUDE)
     return facts.neighbours(docs, "doc_id", ["source", "lang"], hit, ~hit & ~out)
+
+
+# Properties from flows
+
+SPENDING = flow_property.Flow(
+    [
+        flow.Node("mine", "sql", ["instance", "orders"], {"template": "SELECT i.instance, o.o_orderdate AS at, o.o_totalprice AS price, i.share FROM {instance} i JOIN {orders} o ON o.o_custkey = i.instance AND o.o_totalprice >= i.least"}),
+        flow.Node("sums", "sql", ["mine"], {"template": "SELECT instance, sum(price) AS total, cast(count(*) AS DOUBLE) AS n, max(share) AS share FROM {mine} GROUP BY instance"}),
+        flow.Node("rated", "calc", ["sums"], {"outputs": {"mean": "{total} / {n} * {share}"}}),
+    ],
+    {"least": "number", "share": "number"},
+    {"mean": flow_property.Output("rated", "number", "mean"), "each": flow_property.Output("mine", {"price": "number", "at": "datetime"})},
+)
+BOUND = {"least": ("property", "c_acctbal"), "share": ("constant", 0.5)}
+
+
+@query("""
+WITH s AS (SELECT c_custkey, sum(o_totalprice) / count(*) * 0.5 AS mean FROM customer JOIN orders ON o_custkey = c_custkey AND o_totalprice >= c_acctbal GROUP BY 1)
+SELECT c_custkey AS instance, CASE WHEN mean IS NULL THEN 'missing' ELSE 'ok' END AS status, mean AS value FROM customer LEFT JOIN s USING (c_custkey)
+""")
+def flow_property_scalar(spark, sf):
+    return flow_property.scalar(spark, SPENDING, flow_property.Binding("mean", BOUND), t(spark, sf, "customer"), "c_custkey", {"orders": t(spark, sf, "orders")})
+
+
+@query("SELECT c_custkey AS instance, o_orderdate::TIMESTAMP AS time, o_totalprice AS value FROM customer JOIN orders ON o_custkey = c_custkey AND o_totalprice >= c_acctbal")
+def flow_property_series(spark, sf):
+    bound = flow_property.Binding("each", BOUND, "price", "at")
+    return flow_property.series(spark, SPENDING, bound, t(spark, sf, "customer"), "c_custkey", {"orders": t(spark, sf, "orders")})
