@@ -28,6 +28,8 @@ from .common import forget, written
 from .hashing import Rolling, bitmap, has_bit, maybe, maybe_among, sliding_min, word_hashes
 
 WINDOW, SEED = 50, 12
+#: A key with one in so many of all rows is frequent.
+HEAVY = 1000
 PATH = "row_key long, doc_id long, start int, windows int, anchor long, content long"
 EDGE = "row_key long, doc_id long, start int, edge long"
 
@@ -92,7 +94,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
 
     seen = _by_paths(docs, anchors, "anchor long, doc_id long", window, seed)
     shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    shared = written(shared.select("anchor"), "shared")
     shared_bits = spark.sparkContext.broadcast(bitmap(shared, F.col("anchor")))
+    forget(shared)
 
     def paths(p: Paths) -> dict:
         p.only(has_bit(shared_bits.value, p.anchor))
@@ -101,12 +105,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
 
     all_paths = written(_by_paths(docs, paths, PATH, window, seed), "paths")
     by_anchor = all_paths.groupBy("anchor").agg(
-        F.min(F.struct("doc_id", "start", "row_key")).alias("source"), F.max("doc_id").alias("hi"), F.min("content").alias("a"), F.max("content").alias("b")
+        F.min(F.struct("doc_id", "start", "row_key")).alias("source"), F.max("doc_id").alias("hi"), F.min("content").alias("a"), F.max("content").alias("b"), F.count(F.lit(1)).alias("n")
     )
     by_anchor = written(by_anchor.filter("source.doc_id < hi"), "anchors")
-    one = by_anchor.filter("a = b").select("anchor", "source")
     whole = (
-        all_paths.join(one, "anchor")
+        _with_source(all_paths, by_anchor.filter("a = b"), "anchor")
         .filter("doc_id > source.doc_id")
         .select("row_key", "doc_id", "start", "windows", F.col("source.row_key").alias("source_key"), F.col("source.doc_id").alias("source_id"), F.col("source.start").alias("source_start"))
     )
@@ -118,20 +121,33 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         edge = Rolling(p.words, twist=2)(np.repeat(p.begin, p.count) + within, window)
         return {"row_key": np.repeat(p.row_key, p.count), "doc_id": np.repeat(p.doc_id, p.count), "start": (np.repeat(p.start, p.count) + within).astype(np.int32), "edge": edge}
 
-    branching = all_paths.join(by_anchor.filter("a <> b").select("anchor"), "anchor", "left_semi")
+    branching = written(_with_source(all_paths, by_anchor.filter("a <> b"), "anchor").select("row_key").distinct(), "branching")
     opened = written(_by_paths(maybe_among(docs, branching), edges, EDGE, window, seed), "edges")
-    first = opened.groupBy("edge").agg(F.min(F.struct("doc_id", "start", "row_key")).alias("source"), F.max("doc_id").alias("hi")).filter("source.doc_id < hi")
+    forget(branching)
+    first = opened.groupBy("edge").agg(F.min(F.struct("doc_id", "start", "row_key")).alias("source"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    first = written(first.filter("source.doc_id < hi"), "firsts")
     single = (
-        opened.join(first.select("edge", "source"), "edge")
+        _with_source(opened, first, "edge")
         .filter("doc_id > source.doc_id")
         .select("row_key", "doc_id", "start", F.lit(1).alias("windows"), F.col("source.row_key").alias("source_key"), F.col("source.doc_id").alias("source_id"), F.col("source.start").alias("source_start"))
     )
     found = written(_compacted(whole.unionByName(single), window), "spans")
-    for done in (all_paths, by_anchor, opened):
+    for done in (all_paths, by_anchor, opened, first):
         forget(done)
     return _verified(docs, found)
 
 
+def _with_source(rows: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the source of their key, of which ``sources`` (key, source, n) has one row each.
+
+    A key with one in HEAVY of all rows or more is joined by a broadcast of at most HEAVY sources, so no task gets all its rows.
+    """
+    total = sources.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(sources.filter(F.col("n") * HEAVY >= total).select(key, "source"))
+    light = sources.filter(F.col("n") * HEAVY < total).select(key, "source")
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
 def _compacted(runs: DataFrame, window: int) -> DataFrame:
     """Runs that go on both in the document and in its source become one span."""
     line = ["row_key", "doc_id", "source_key", "source_id", F.col("start") - F.col("source_start")]

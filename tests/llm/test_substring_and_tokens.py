@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import queries, substring_dedup, token_binary
 from corvane.llm.common import table
@@ -99,3 +100,13 @@ def test_tokens_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     out = token_binary.read_tokens(spark, *token_binary.write_tokens(df, public_tokenizers.path("word_bpe_49k.json")))
     assert out.count() == 0
+
+
+@pytest.mark.parametrize("heavy", [1, 4, 1000])
+def test_frequent_and_other_keys_meet_their_source_once(spark, monkeypatch, heavy):
+    monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 40), (2, 10), (3, 2), (4, 1)) for i in range(n)], "k long, i int")
+    sources = rows.groupBy("k").agg(F.min("i").alias("source"), F.count("i").alias("n")).filter("k < 4")
+    got = substring_dedup._with_source(rows, sources, "k")
+    assert sorted((r.k, r.i, r.source) for r in got.collect()) == sorted((r.k, r.i, 0) for r in rows.filter("k < 4").collect())
+    assert substring_dedup._with_source(rows, sources.limit(0), "k").count() == 0
