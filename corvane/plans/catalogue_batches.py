@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.operators import batches, facts
+from corvane.operators import batches, facts, graphs
 from corvane.plans import catalogue, flow, flow_property
 from corvane.plans.catalogue import query
 
@@ -76,3 +76,42 @@ def flow_property_scalar(spark, sf):
 def flow_property_series(spark, sf):
     bound = flow_property.Binding("each", BOUND, "price", "at")
     return flow_property.series(spark, SPENDING, bound, t(spark, sf, "customer"), "c_custkey", {"orders": t(spark, sf, "orders")})
+
+
+# Versions of graphs
+
+
+def _graph(spark, sf, balance, kept):
+    c = t(spark, sf, "customer").filter(kept)
+    n = t(spark, sf, "nation")
+    body = F.concat_ws("|", "c_name", F.expr(balance).cast("string"))
+    nodes = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), body.alias("body")).unionByName(n.select(F.concat(F.lit("n"), "n_nationkey"), "n_name").toDF("id", "body"))
+    edges = c.filter("c_nationkey <> 3").select(F.concat(F.lit("c"), "c_custkey").alias("source"), F.lit("livesIn").alias("relation"), F.concat(F.lit("n"), "c_nationkey").alias("target"))
+    return nodes, edges
+
+
+def _half(at):
+    return f"sum(('0x' || substr(md5(x), {at}, 15))::BIGINT)"
+
+
+@query(f"""
+WITH c AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS n, c_nationkey, c_name || '|' || (c_custkey % 100)::VARCHAR AS body FROM customer),
+e AS (SELECT CASE WHEN c_nationkey = 3 THEN id ELSE (SELECT min(i) FROM (SELECT id AS i, n FROM c UNION ALL SELECT n, n FROM c) z WHERE z.n = c.n) END AS component, 'node ' || length(id) || ':' || id || length(body) || ':' || body AS x, 1 AS node FROM c
+  UNION ALL SELECT (SELECT min(i) FROM (SELECT id AS i, n FROM c UNION ALL SELECT n, n FROM c) z WHERE z.n = c.n), 'edge ' || length(id) || ':' || id || '7:livesIn' || length(n) || ':' || n, 0 FROM c WHERE c_nationkey <> 3
+  UNION ALL SELECT CASE WHEN n_nationkey = 3 THEN 'n3' ELSE coalesce((SELECT min(id) FROM c WHERE c_nationkey = n_nationkey), 'n' || n_nationkey) END,
+    'node ' || length('n' || n_nationkey) || ':n' || n_nationkey || length(n_name) || ':' || n_name, 1 FROM nation)
+SELECT component, sum(node)::BIGINT AS n_nodes, sum(1 - node)::BIGINT AS n_edges, {_half(1)}::VARCHAR || '-' || {_half(16)}::VARCHAR AS signature FROM e GROUP BY 1
+""")
+def graph_signatures(spark, sf):
+    return graphs.signatures(*_graph(spark, sf, "c_custkey % 100", "true"))
+
+
+@query("""
+WITH c AS (SELECT *, length('c' || c_custkey) || ':c' || c_custkey AS k, length('n' || c_nationkey) || ':n' || c_nationkey AS n FROM customer)
+SELECT 'node' AS kind, k AS key, CASE WHEN c_custkey % 70 = 0 THEN 'removed' WHEN c_custkey % 90 = 1 THEN 'added' ELSE 'changed' END AS change FROM c
+WHERE (c_custkey % 70 = 0) <> (c_custkey % 90 = 1) OR c_custkey % 70 <> 0 AND c_custkey % 50 = 0
+UNION ALL SELECT 'edge', k || '7:livesIn' || n, CASE WHEN c_custkey % 70 = 0 THEN 'removed' ELSE 'added' END FROM c WHERE (c_custkey % 70 = 0) <> (c_custkey % 90 = 1) AND c_nationkey <> 3
+""")
+def graph_diff(spark, sf):
+    old = _graph(spark, sf, "c_custkey % 100", "c_custkey % 90 <> 1")
+    return graphs.diff(old, _graph(spark, sf, "c_custkey % 100 + IF(c_custkey % 50 = 0, 1, 0)", "c_custkey % 70 <> 0"))
