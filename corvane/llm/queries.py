@@ -99,10 +99,33 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: md5(array_to_string(w[k:k + 4], ' '))) WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END) AS h FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  WHERE 100 * c >= 75 * (p.n + q.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+walk AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT node, b FROM walk JOIN e ON a = reach)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(reach) AS component_id FROM walk JOIN documents ON doc_id = node LEFT JOIN n USING (doc_id) GROUP BY ALL
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM (SELECT doc_id, list_transform(range(1, len(w) - 48), lambda k: md5(array_to_string(w[k:k + 49], ' '))) AS hs FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS lo FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM h JOIN f USING (h), range(50) AS r(k) WHERE lo < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -235,6 +258,8 @@ ORACLES = {
     "op3_decontam": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op8_ngram_join": OP8_SQL,
+    "op9_substring_dedup": OP9_SQL,
     "op11_spelling": OP11_SQL,
     "op12_merkle": OP12_SQL,
     "op13_warc": OP13_SQL,
