@@ -12,8 +12,13 @@ LONGEST_RUN = 12
 WEAK = (2, 3)
 
 BUCKETS = 64
-#: A term's postings are dealt to so many tasks by their keys, so a common term is no hot key.
+#: A term's postings are dealt to so many tasks by their keys, so a common term is no hot key; large inputs take more.
 SALTS = 16
+#: Bytes of text whose postings a task of the index takes, and pairs of query and fact that a task of a search counts at most, about:
+#: the number of tasks follows the input, and a task's memory doesn't.
+TEXT_A_TASK, PAIRS_A_TASK = 1 << 23, 1 << 20
+#: Terms of queries that are broadcast.
+TERMS_SENT = 1 << 18
 
 
 def strong(text: Column) -> Column:
@@ -52,20 +57,32 @@ def build_index(df: DataFrame, key: str, text: str, path: str) -> None:
 
     A null text has no terms; rows that repeat a key are one fact with the terms of all. The pieces of all CJK runs are posted, since a search may ask for any.
     """
-    rows = _terms(df, key, text, 0).withColumn("bucket", _bucket(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    rows.repartition("bucket", "salt").dropDuplicates(["bucket", "salt", "term", "weak", "key"]).drop("salt").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    tasks = max(1, -(-size // TEXT_A_TASK))
+    salts = max(SALTS, -(-4 * tasks // BUCKETS))
+    rows = _terms(df, key, text, 0).withColumn("bucket", _bucket(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
+    dealt = rows.repartition(tasks, "bucket", "salt").dropDuplicates(["bucket", "salt", "term", "weak", "key"])
+    dealt.drop("salt").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
 
 
 def search(spark: SparkSession, path: str, asked: DataFrame, key: str, text: str, top: int = 10) -> DataFrame:
     """query, key, strong_hits, weak_hits, rank of the ``top`` facts of each query: most strong terms, then most weak ones, then the smallest key.
 
-    ``asked`` holds the queries; only CJK runs of more than twelve characters are asked for in pieces as well. Postings meet queries
-    by (term, salt), are counted inside tasks first, and each task keeps the best of a query before ranks are given.
+    ``asked`` holds the queries; only CJK runs of more than twelve characters are asked for in pieces as well. The postings of
+    asked terms are dealt to tasks by their key, so each task counts the whole hits of its facts and keeps the best of a query before
+    ranks are given.
     """
     postings = spark.read.schema("term string, weak boolean, key long, bucket int").parquet(path)
     terms = _terms(asked, key, text, LONGEST_RUN).withColumnRenamed("key", "query").withColumn("bucket", _bucket(F.col("term")))
-    dealt = postings.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    copied = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = dealt.join(copied, ["bucket", "term", "weak", "salt"]).groupBy("query", "key").agg(F.count_if(~F.col("weak")).alias("strong_hits"), F.count_if(F.col("weak")).alias("weak_hits"))
+    by = ["bucket", "term", "weak"]
+    n_terms, n_queries = terms.agg(F.count(F.lit(1)), F.approx_count_distinct("query")).first()
+    tasks = max(1, -(-n_queries * postings.agg(F.approx_count_distinct("key")).first()[0] // PAIRS_A_TASK))
+    if n_terms <= TERMS_SENT:
+        met = postings.join(F.broadcast(terms.select(*by).distinct()), by, "left_semi").repartition(tasks, "key").join(F.broadcast(terms), by)
+    else:
+        dealt = postings.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        copied = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = dealt.join(copied, [*by, "salt"])
+    hits = met.groupBy("query", "key").agg(F.count_if(~F.col("weak")).alias("strong_hits"), F.count_if(F.col("weak")).alias("weak_hits"))
     ranked = "SELECT *, row_number() OVER (PARTITION BY query ORDER BY strong_hits DESC, weak_hits DESC, key) AS rank FROM {hits}"
     return spark.sql(f"SELECT query, key, strong_hits, weak_hits, rank FROM ({ranked}) WHERE rank <= {int(top)}", hits=hits)

@@ -56,3 +56,22 @@ def test_search_ranks_strong_terms_before_weak_ones(spark, tmp_path):
     assert found["d"] == [(2, 1, 0)] and "c" not in found
     search.build_index(facts.limit(0), "id", "text", f"{tmp_path}/empty")
     assert search.search(spark, f"{tmp_path}/empty", asked, "q", "ask").count() == 0
+
+
+def test_tasks_of_an_index_follow_its_input(spark, tmp_path, monkeypatch):
+    """Postings of one bucket and hits of one query go to many tasks when there is much of them; the ranks stay, by either join."""
+    from pyspark.sql import functions as F
+
+    facts = spark.range(400).selectExpr("id", "concat('common word', id % 7) AS text")
+    asked = spark.createDataFrame([("a", "common word3"), ("b", "word5")], "q string, ask string")
+    monkeypatch.setattr(search, "TEXT_A_TASK", 64, raising=False)
+    monkeypatch.setattr(search, "PAIRS_A_TASK", 50, raising=False)
+    search.build_index(facts, "id", "text", f"{tmp_path}/index")
+    postings = spark.read.parquet(f"{tmp_path}/index")
+    assert postings.count() == 800
+    assert postings.filter("term = 'common'").select(F.input_file_name().alias("f")).distinct().count() > 8
+    want = [("a", 3 + 7 * i, 2, i + 1) for i in range(10)] + [("b", 5 + 7 * i, 1, i + 1) for i in range(10)]
+    for sent in (1 << 18, 0):
+        monkeypatch.setattr(search, "TERMS_SENT", sent, raising=False)
+        found = search.search(spark, f"{tmp_path}/index", asked, "q", "ask")
+        assert sorted((r["query"], r["key"], r["strong_hits"], r["rank"]) for r in found.collect()) == sorted(want)
