@@ -7,15 +7,17 @@ documents of similarity 0.75 share a prefix shingle.
 * Documents with the same set are one node; nodes with the same prefix and size
   are one group. Groups are posted once under each shingle of their prefix, and
   shingles that one group alone posts are dropped.
-* Group pairs under a shingle must pass the size and position filters. They
-  expand to pairs of members, which must pass a filter on sketches: the number
-  of bits in which two parity sketches differ is a lower bound of the symmetric
-  difference. Only then are whole sets compared.
+* Pairs under a shingle must pass the size and position filters, and then a
+  filter on sketches: the number of bits in which two parity sketches differ is
+  a lower bound of the symmetric difference. Only then are whole sets compared.
 * First each node is compared with the most similar of its neighbours under each
   shingle, which links most of a family of near copies. Then only shingles whose
-  groups are still in different components are looked at: there every group
+  groups are still in different components are looked at: there every node
   outside the largest component meets all others, in blocks that are dealt out
-  by (shingle, block), so that a hot shingle is many small tasks. Of these pairs
+  by (shingle, block), so that a hot shingle is many small tasks. Nodes bring
+  their sketches along, so a task gives only pairs that pass all filters. At first
+  it gives a forest of its most similar pairs, one less than it has components at
+  most. Then all that are still apart are given, and of these
   the most similar for each node and other component are compared first, and
   what is then still apart after that.
 
@@ -25,7 +27,7 @@ so components are exact, and copies are never paired with each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, salted_join, written
-from .components import components
+from .components import components, contracted
 from .hashing import mix, ngrams_of, word_hashes
 
 SHINGLE = 5
@@ -47,6 +49,10 @@ LEAST_T = 64
 WIDTH, BLOCK = 3, 2048
 #: Bits of a node's parity sketch for each shingle of its set; the next power of two is taken.
 SKETCH_BITS = 2
+#: Bits of a sketch at most; those of larger sets filter less.
+MOST_SKETCH = 1 << 13
+#: Rows, and bytes of them, that a task pairs at a time, whole keys aside; words of sketches that are compared at a time.
+ROWS_HELD, BYTES_HELD, WORDS_AT_ONCE = 1 << 18, 1 << 25, 1 << 21
 
 
 def _need(n: np.ndarray | int) -> np.ndarray | int:
@@ -123,7 +129,7 @@ def frequencies(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> Fr
 def _sketches(sets: list[np.ndarray]) -> list[bytes]:
     """A sketch per set, of a size that follows the set's: bit b is the parity of the shingles that fall on b."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    bits = 1 << np.ceil(np.log2(np.maximum(64, SKETCH_BITS * sizes))).astype(np.int64)
+    bits = np.minimum(MOST_SKETCH, 1 << np.ceil(np.log2(np.maximum(64, SKETCH_BITS * sizes))).astype(np.int64))
     base = np.cumsum(bits) - bits
     row = np.repeat(np.arange(len(sets)), sizes)
     at = (mix(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]) + np.uint64(7)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
@@ -142,6 +148,37 @@ def _difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+class Sketches:
+    """The sketches of a table's rows, compared many pairs at a time."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        held = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        _, ends, data = held.buffers()
+        ends = np.frombuffer(ends, dtype=np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64) >> 3
+        self.words = np.frombuffer(data, dtype=np.uint8)[: int(ends[-1]) << 3].view(np.uint64)
+        self.begin, self.size = ends[:-1], np.diff(ends)
+
+    def _of(self, rows: np.ndarray, size: int, to: int) -> np.ndarray:
+        words = self.words[self.begin[rows][:, None] + np.arange(size)]
+        while size > to:
+            size //= 2
+            words = words[:, :size] ^ words[:, size:]
+        return words
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``_difference`` of the rows ``x`` and ``y``."""
+        out = np.zeros(len(x), dtype=np.int64)
+        kind = self.size[x] << 32 | self.size[y]
+        for k in np.unique(kind).tolist():
+            n_x, n_y = k >> 32, k & 0xFFFFFFFF
+            to, some = min(n_x, n_y), np.flatnonzero(kind == k)
+            step = max(1, WORDS_AT_ONCE // max(n_x, n_y))
+            for at in range(0, len(some), step):
+                part = some[at : at + step]
+                out[part] = np.bitwise_count(self._of(x[part], n_x, to) ^ self._of(y[part], n_y, to)).sum(axis=1)
+        return out
+
+
 def nodes(docs: DataFrame, freq: Frequent, k: int = SHINGLE) -> DataFrame:
     """doc_id, row_key, n, node, grp, prefix, salts, sketch: node to salts are null for a document without shingles.
 
@@ -232,8 +269,29 @@ def _neighbours(posted: DataFrame, width: int) -> DataFrame:
     return met.groupBy("b").agg(F.max(F.struct("m", "a")).alias("most")).select("most.a", "b")
 
 
-def _met(key: np.ndarray, row_id: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray, salt: np.ndarray, cross: np.ndarray) -> np.ndarray:
-    """Pairs (a, b, comp_a) of rows of equal ``key``, by size, that pass the filters and lie in different components; b is outside the key's largest component."""
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """Of the pairs (a, b, comp_a, comp_b, differ) a spanning forest over their components, the most similar pairs first."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], pairs[:, 4]))]
+    comp, at = np.unique(pairs[:, 2:4], return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    rank, taken = np.arange(len(pairs)), [np.zeros(0, dtype=np.int64)]
+    while len(rank):
+        best = np.full(len(comp), len(pairs))
+        for x in (u, v):
+            np.minimum.at(best, x, rank)
+        taken.append(np.unique(best[best < len(pairs)]))
+        chosen = np.isin(rank, taken[-1])
+        node, root = contracted(u[chosen], v[chosen])
+        label = np.arange(len(comp))
+        label[node] = root
+        u, v = label[u], label[v]
+        u, v, rank = u[u != v], v[u != v], rank[u != v]
+    return pairs[np.concatenate(taken)]
+
+
+def _candidates(key: np.ndarray, of: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of equal ``key``, by size, that pass the size and position filters and lie in different components; the second is outside the key's largest component."""
+    row_id, n, place, comp, salt, cross = (*(of[c] for c in ("id", "n", "place", "comp", "salt")), of["lo"] != of["hi"])
     by = np.lexsort((comp, key))
     fresh = np.r_[True, (key[by][1:] != key[by][:-1]) | (comp[by][1:] != comp[by][:-1])]
     run = np.flatnonzero(fresh)
@@ -243,7 +301,6 @@ def _met(key: np.ndarray, row_id: np.ndarray, n: np.ndarray, place: np.ndarray,
     minor = np.ones(len(key), dtype=bool)
     minor[by[np.isin(np.cumsum(fresh) - 1, last)]] = False
     # Two rows of the largest component are never apart, so only the others look for partners: ahead, and back for rows of the largest.
-    found = [np.zeros((0, 3), dtype=np.int64)]
     for step in (1, -1):
         i, d = np.flatnonzero(minor), 0
         while len(i):
@@ -257,15 +314,35 @@ def _met(key: np.ndarray, row_id: np.ndarray, n: np.ndarray, place: np.ndarray,
                 good &= ~minor[j]
             x, y = j[good], i[good]
             swap = minor[x] & (row_id[x] > row_id[y])
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            found.append(np.stack([row_id[x], row_id[y], comp[x]], axis=1))
-            if len(found) > 64:
-                found = [np.unique(np.concatenate(found), axis=0)]
+            yield np.where(swap, y, x), np.where(swap, x, y)
+
+
+def _met(key: np.ndarray, of: dict[str, np.ndarray], sketches: Sketches, forest: bool) -> np.ndarray:
+    """The ``_candidates`` whose sketches allow the similarity, or a forest of them, as (a, b, comp_a, comp_b, differ)."""
+    row_id, n, comp = of["id"], of["n"], of["comp"]
+    found, held, total = [np.zeros((0, 5), dtype=np.int64)], [], 0
+
+    def sift() -> None:
+        x, y = (np.concatenate(c) for c in zip(*held))
+        differ = sketches.differ(x, y)
+        keep = differ <= n[x] + n[y] - 2 * (-(-OVER * (n[x] + n[y]) // (OVER + UNDER)))
+        found.append(np.stack([row_id[x], row_id[y], comp[x], comp[y], differ], axis=1)[keep])
+        if forest:
+            found[:] = [_forest(np.concatenate(found))]
+
+    for pair in _candidates(key, of):
+        held.append(pair)
+        total += len(pair[0])
+        if total > ROWS_HELD or len(held) > 4096:
+            sift()
+            held, total = [], 0
+    if held:
+        sift()
     return np.unique(np.concatenate(found), axis=0)
 
 
-def _apart(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, comp_a) that pass the filters and lie in different components, of rows (key, salts, salt, id, n, place, comp); b is outside the largest component.
+def _by_key(rows: DataFrame, make: Callable[[np.ndarray, dict[str, np.ndarray], pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``make`` gives for whole keys of rows (key, salts, id, n, place, comp, ...), by size; it gets numbers of keys, and the columns by name.
 
     A key that is cut into ``salts`` blocks is a key of its own for each pair of blocks, so a task
     holds two blocks at a time.
@@ -273,36 +350,59 @@ def _apart(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        total = 0
+        total = size = 0
 
-        def pairs(table: pa.Table) -> pa.RecordBatch:
-            of = {c: table.column(c).to_numpy() for c in table.column_names}
-            key = np.cumsum(np.r_[0, np.any([of[c][1:] != of[c][:-1] for c in ("key", "lo", "hi")], axis=0)])
-            met = _met(key, of["id"], of["n"], of["place"], of["comp"], of["salt"], of["lo"] != of["hi"])
-            return pa.RecordBatch.from_arrays([pa.array(met[:, c]) for c in range(3)], names=["a", "b", "comp_a"])
+        def made(table: pa.Table) -> pa.RecordBatch:
+            of = {c: table.column(c).to_numpy() for c in table.column_names if c != "sketch"}
+            return make(np.cumsum(np.r_[0, np.any([of[c][1:] != of[c][:-1] for c in ("key", "lo", "hi")], axis=0)]), of, table)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            total += batch.num_rows
-            if total < 1 << 18:
+            total, size = total + batch.num_rows, size + batch.nbytes
+            if total < ROWS_HELD and size < BYTES_HELD:
                 continue
             # All but the last key, which may go on.
             table = pa.Table.from_batches(held)
             last = [table.column(c).to_numpy() == table.column(c)[-1].as_py() for c in ("key", "lo", "hi")]
             cut = int(np.flatnonzero(~np.all(last, axis=0)).max(initial=-1)) + 1
             if cut:
-                yield pairs(table.slice(0, cut))
-            held, total = table.slice(cut).to_batches(), table.num_rows - cut
+                yield made(table.slice(0, cut))
+            table = table.slice(cut)
+            held, total, size = table.to_batches(), table.num_rows, table.nbytes
         if total:
-            yield pairs(pa.Table.from_batches(held))
+            yield made(pa.Table.from_batches(held))
 
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("other")
-    spread = rows.select("key", "salt", "id", "n", "place", "comp", other)
-    spread = spread.select("key", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "id", "n", "place", "comp")
-    dealt = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "id")
-    return dealt.mapInArrow(run, "a long, b long, comp_a long").distinct()
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).select("*", other)
+    spread = spread.withColumns({"lo": F.least("salt", "other"), "hi": F.greatest("salt", "other")}).drop("other")
+    return spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "id").mapInArrow(run, schema)
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """The rows (key, salts, place, id) of ``rows`` that have any candidate, so that no others fetch their sketches."""
+
+    def make(key: np.ndarray, of: dict[str, np.ndarray], table: pa.Table) -> pa.RecordBatch:
+        hit = np.zeros(len(key), dtype=bool)
+        for x, y in _candidates(key, of):
+            hit[x] = hit[y] = True
+        return pa.RecordBatch.from_arrays([pa.array(of[c][hit], pa.int64()) for c in ("key", "salts", "place", "id")], names=["key", "salts", "place", "id"])
+
+    return _by_key(rows, make, "key long, salts long, place long, id long").distinct()
+
+
+def _apart(rows: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b, comp_a, differ) that pass all filters and lie in different components, of rows (key, salts, id, n, place, comp, sketch); b is outside the largest component.
+
+    With ``forest``, a task gives a forest of the pairs that it has at a time, so no more rows than it reads.
+    """
+
+    def make(key: np.ndarray, of: dict[str, np.ndarray], table: pa.Table) -> pa.RecordBatch:
+        met = _met(key, of, Sketches(table.column("sketch")), forest)
+        return pa.RecordBatch.from_arrays([pa.array(met[:, c]) for c in (0, 1, 2, 4)], names=["a", "b", "comp_a", "differ"])
+
+    return _by_key(rows, make, "a long, b long, comp_a long, differ long").distinct()
 
 
 def _expanded(groups: DataFrame, members: DataFrame) -> DataFrame:
@@ -365,19 +465,21 @@ def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     return placed
 
 
-def _left(posted: DataFrame, placed: DataFrame) -> DataFrame:
-    """Pairs (a, b, comp_a, differ) of nodes in different components that the filters leave possible."""
+def _left(posted: DataFrame, placed: DataFrame, forest: bool = False) -> DataFrame:
+    """Pairs (a, b, comp_a, differ) of nodes in different components that the filters leave possible, or with ``forest`` some of them that connect the rest."""
     groups = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
     # A group whose members lie in several components is apart from all others, and its members may be linked with each other.
-    of_group = written(groups.select(F.col("grp").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("grp")).alias("comp")), "group-comps")
-    labelled = written(posted.join(of_group, "id"), "labelled")
+    of_group = groups.select(F.col("grp").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("grp")).alias("comp"))
+    labelled = written(posted.drop("salt").join(of_group, "id"), "labelled")
     # A shingle of one component has no pair that is apart.
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    across = _expanded(_apart(salted_join(labelled, mixed, "key")).select("a", "b").distinct(), placed)
+    paired = written(_paired(salted_join(labelled, mixed, "key")), "paired")
+    forget(labelled)
+    rows = paired.withColumnRenamed("id", "grp").join(placed, "grp")
+    across = _apart(rows.select("key", "salts", F.col("node").alias("id"), "n", "place", "comp", "sketch"), forest)
     split = placed.join(groups.filter("lo <> hi").select("grp", (1 + F.floor(F.col("m") / BLOCK)).alias("salts")), "grp")
-    block = F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt")
-    inside = _apart(split.select(F.col("grp").alias("key"), "salts", block, F.col("node").alias("id"), "n", F.lit(0).cast("long").alias("place"), "comp"))
-    return across.unionByName(inside.withColumn("differ", F.lit(0).cast("long")))
+    inside = _apart(split.select(F.col("grp").alias("key"), "salts", F.col("node").alias("id"), "n", F.lit(0).cast("long").alias("place"), "comp", "sketch"), forest)
+    return across.unionByName(inside).distinct()
 
 
 def _nearest(pairs: DataFrame, *by: str) -> DataFrame:
@@ -406,20 +508,26 @@ def classes(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T, width: in
     near = _expanded(_neighbours(posted, width), members.withColumn("comp", F.col("node"))).select("a", "b", "differ")
     tried = [written(_nearest(near.unionByName(within), "b"), "pairs")]
     links = [_linked(docs, tried[0], members, k)]
+    sketched = members.drop("least_id", "rep_id", "rep_key")
+    # Then the most similar pairs that would connect what is apart.
+    placed = _placed(sketched, links[0])
+    tried.append(written(_left(posted, placed, forest=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
+    forget(placed)
+    links.append(_linked(docs, tried[1], members, k))
     # Then the most similar node of each other component that it may be linked with.
-    placed = _placed(members.drop("least_id", "rep_id", "rep_key"), links[0])
+    placed = _placed(sketched, links[0].unionByName(links[1]))
     left = written(_left(posted, placed), "left")
     forget(placed)
     tried.append(written(_nearest(left, "b", "comp_a"), "pairs"))
-    links.append(_linked(docs, tried[1], members, k))
+    links.append(_linked(docs, tried[2], members, k))
     # Then all of these pairs that are still apart.
-    comps = components(links[0].unionByName(links[1]))
+    comps = components(links[0].unionByName(links[1]).unionByName(links[2]))
     comp = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
-    rest = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried[0].unionByName(tried[1]), ["a", "b"], "left_anti")
+    rest = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried[0].unionByName(tried[1]).unionByName(tried[2]), ["a", "b"], "left_anti")
     rest = rest.join(comp("a"), "a", "left").join(comp("b"), "b", "left").filter("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
     tried.append(written(rest, "pairs"))
-    links.append(_linked(docs, tried[2], members, k))
-    final = _placed(members.select("node", "least_id"), links[0].unionByName(links[1]).unionByName(links[2]))
+    links.append(_linked(docs, tried[3], members, k))
+    final = _placed(members.select("node", "least_id"), links[0].unionByName(links[1]).unionByName(links[2]).unionByName(links[3]))
     least = final.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_node = salted_join(final.select("node", "comp"), least, "comp").select("node", "component_id")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import ngram_join, queries
@@ -100,3 +101,27 @@ def test_one_id_with_two_texts(spark):
     v, w = "v1 v2 v3 v4 v5 v6 v7 v8", "w1 w2 w3 w4 w5 w6 w7 w8"
     df = spark.createDataFrame([(2, v), (5, w), (5, v)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in first_of_class(df).collect()) == [(2, v), (5, w)]
+
+
+def test_sketches_of_many_pairs_differ_as_those_of_one():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in (1, 30, 40, 40, 70, 9000)]
+    sketches = ngram_join._sketches(sets)
+    assert max(map(len, sketches)) == ngram_join.MOST_SKETCH // 8
+    x, y = (c.ravel() for c in np.meshgrid(np.arange(1, 6), np.arange(1, 6)))
+    many = ngram_join.Sketches(pa.array(sketches, pa.binary()).slice(1)).differ(x - 1, y - 1)
+    assert many.tolist() == [ngram_join._difference(sketches[i], sketches[j]) for i, j in zip(x, y)]
+
+
+def test_a_task_gives_a_forest_of_a_large_group(spark):
+    """300 near copies that nothing has linked yet: 44,850 pairs pass, 299 connect them; of unlike sets that share a shingle none is given."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 100).astype(np.uint64)
+    near = [np.unique(np.r_[base[1:], np.uint64(i)]) for i in range(300)]
+    unlike = [np.unique(rng.integers(0, 1 << 60, 100).astype(np.uint64)) for _ in range(300)]
+    for sets, pairs, least in ((near, 44850, 299), (unlike, 0, 0)):
+        rows = [(7, 1, i, 100, 0, i, s) for i, s in enumerate(ngram_join._sketches(sets))]
+        df = spark.createDataFrame(rows, "key long, salts long, id long, n long, place long, comp long, sketch binary")
+        assert ngram_join._apart(df, forest=False).count() == pairs
+        forest = ngram_join._apart(df, forest=True).collect()
+        assert len(forest) == least and len(ngram_join.contracted(*np.array([(r.a, r.b) for r in forest] or [(0, 0)]).T)[0]) == max(1, least + bool(least))
