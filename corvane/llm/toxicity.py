@@ -163,15 +163,21 @@ def _lambda(scores: dict[float, float], penalty: float) -> float:
 
 
 def _curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Logistic regression on (value, clean, toxic) counts by Newton's method with a small ridge."""
+    """Logistic regression on (value, clean, toxic) counts by Newton's method with a small ridge on the slope.
+
+    A step is halved until the loss falls: it is convex, so this ends at its least value, where full steps may swing for ever.
+    """
     x = np.array([[1.0, b[0]] for b in bins])
     clean, toxic = (np.array([b[k] for b in bins], dtype=float) for k in (1, 2))
-    w, ridge = np.array([math.log((toxic.sum() + 1) / (clean.sum() + 1)), 1.0]), np.diag([1e-3, 1e-1])
+    n, ridge = clean + toxic, np.diag([0.0, 1e-1])
+    loss = lambda w: float((n * np.logaddexp(0, x @ w) - toxic * (x @ w)).sum() + w @ ridge @ w / 2)
+    w = np.array([math.log((toxic.sum() + 1) / (clean.sum() + 1)), 0.0])
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        n = clean + toxic
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (toxic - n * p) - ridge @ (w - [w[0], 0.0]))
-        w = w + np.clip(step, -2, 2)
+        p = np.exp(-np.logaddexp(0, -(x @ w)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(2), x.T @ (toxic - n * p) - ridge @ w)
+        while np.abs(step).max() >= 1e-8 and loss(w + step) > loss(w):
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return float(w[0]), float(w[1])

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -101,6 +102,18 @@ def test_many_toxic_labels(spark, toxic_of_ten):
     assert len(got) > 80 and all(r.predicted == labels[r.doc_id][1] for r in got)
 
 
+@pytest.mark.parametrize("clean, toxic", [(31500, 3500), (17500, 17500), (140000, 20000)])
+@pytest.mark.parametrize("from_", [2.5, 4.0, 6.0])
+def test_the_curve_is_where_its_gradient_is_nought(clean, toxic, from_):
+    """Evidence of toxic texts in a narrow range, and of a twentieth of the clean ones below it."""
+    bins = [(0.0, clean, 0)] + [(i / 20, clean // 800, 0) for i in range(1, 40)] + [(from_ + i / 20, 0, toxic // 20) for i in range(20)]
+    a, b = toxicity._curve(bins)
+    p = [1 / (1 + math.exp(-a - b * x)) for x, _, _ in bins]
+    off = [t - (c + t) * q for (_, c, t), q in zip(bins, p)]
+    assert abs(sum(off)) < 1e-3 and abs(sum(o * x for o, (x, _, _) in zip(off, bins)) - 0.1 * b) < 1e-3
+    assert all((q >= 0.3) == (x >= from_) for q, (x, _, _) in zip(p, bins))
+
+
 def test_labels_that_nothing_tells_apart(spark):
     docs = spark.createDataFrame([(i, f"same words in row {i}") for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
