@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, salted_join, written
 from .components import components, contracted
-from .hashing import mix, ngrams_of, word_hashes
+from .hashing import maybe_among, mix, ngrams_of, word_hashes
 
 SHINGLE = 5
 #: Similarity, as a fraction.
@@ -423,6 +423,16 @@ def _expanded(groups: DataFrame, members: DataFrame) -> DataFrame:
     return met.drop("a", "b").mapInArrow(run, "a long, b long, comp_a long, differ long")
 
 
+def _texts(docs: DataFrame, where: DataFrame) -> DataFrame:
+    """node, body: the texts of the nodes of ``where`` (node, rep_id, rep_key).
+
+    A bitmap keeps the other texts out of the shuffle.
+    """
+    asked = maybe_among(docs, where.select(F.col("rep_key").alias("row_key")))
+    texts = asked.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(_body()).alias("own_key"), _body().alias("body"))
+    return texts.join(where, F.col("own_id").eqNullSafe(F.col("rep_id")) & (F.col("own_key") == F.col("rep_key"))).select("node", "body")
+
+
 def _linked(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """The pairs whose sets reach the similarity; sets are made again from the texts of the nodes in question."""
 
@@ -447,9 +457,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int) -> Da
 
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     where = written(members.join(asked, "node").select("node", "rep_id", "rep_key"), "asked")
-    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(_body()).alias("own_key"), _body().alias("body"))
-    found = texts.join(where, F.col("own_id").eqNullSafe(F.col("rep_id")) & (F.col("own_key") == F.col("rep_key"))).select("node", "body")
-    sets = found.mapInArrow(whole, "node long, shingles binary").dropDuplicates(["node"])
+    sets = _texts(docs, where).mapInArrow(whole, "node long, shingles binary").dropDuplicates(["node"])
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long"), "links")
@@ -465,15 +473,25 @@ def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     return placed
 
 
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """The rows whose key has several components; one of one component has no pair that is apart.
+
+    Rows of a key that isn't cut into blocks are shuffled once; only the keys of several blocks are joined by salts.
+    """
+    of_key = Window.partitionBy("key")
+    whole = labelled.filter("salts = 1").withColumns({"lo": F.min("comp").over(of_key), "hi": F.max("comp").over(of_key)}).filter("lo <> hi").drop("lo", "hi")
+    hot = labelled.filter("salts > 1")
+    keys = hot.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    return whole.unionByName(salted_join(hot, keys, "key"))
+
+
 def _left(posted: DataFrame, placed: DataFrame, forest: bool = False) -> DataFrame:
     """Pairs (a, b, comp_a, differ) of nodes in different components that the filters leave possible, or with ``forest`` some of them that connect the rest."""
     groups = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
     # A group whose members lie in several components is apart from all others, and its members may be linked with each other.
     of_group = groups.select(F.col("grp").alias("id"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("grp")).alias("comp"))
     labelled = written(posted.drop("salt").join(of_group, "id"), "labelled")
-    # A shingle of one component has no pair that is apart.
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    paired = written(_paired(salted_join(labelled, mixed, "key")), "paired")
+    paired = written(_paired(_mixed(labelled)), "paired")
     forget(labelled)
     rows = paired.withColumnRenamed("id", "grp").join(placed, "grp")
     across = _apart(rows.select("key", "salts", F.col("node").alias("id"), "n", "place", "comp", "sketch"), forest)

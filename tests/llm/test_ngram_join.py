@@ -125,3 +125,38 @@ def test_a_task_gives_a_forest_of_a_large_group(spark):
         assert ngram_join._apart(df, forest=False).count() == pairs
         forest = ngram_join._apart(df, forest=True).collect()
         assert len(forest) == least and len(ngram_join.contracted(*np.array([(r.a, r.b) for r in forest] or [(0, 0)]).T)[0]) == max(1, least + bool(least))
+
+
+def shuffled(spark, df):
+    """Rows that the shuffles of ``df`` write, by Spark's own metrics."""
+    df.write.format("noop").mode("overwrite").save()
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().apply(store.executionsList().size() - 1).executionId()
+    names = store.execution(last).get().metrics()
+    ids = [names.apply(i).accumulatorId() for i in range(names.size()) if names.apply(i).name() == "shuffle records written"]
+    values = store.executionMetrics(last)
+    return sum(int(values.apply(i).replace(",", "")) for i in set(ids) if values.contains(i))
+
+
+def test_rows_of_keys_with_several_components(spark):
+    rng = random.Random(6)
+    rows = [(key, 1 + 2 * (key % 50 == 0), i, 9, 0, key * 100 + (i % 2 if key % 3 else 0)) for key in range(400) for i in rng.sample(range(60), 3)]
+    comps = {}
+    for key, _, _, _, _, comp in rows:
+        comps.setdefault(key, set()).add(comp)
+    df = spark.createDataFrame(rows, "key long, salts long, id long, n long, place long, comp long")
+    mixed = ngram_join._mixed(df)
+    assert sorted((r.key, r.id) for r in mixed.collect()) == sorted((r[0], r[2]) for r in rows if len(comps[r[0]]) > 1)
+    assert len(rows) <= shuffled(spark, mixed) < 2 * len(rows)
+
+
+def test_only_texts_in_question_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    where = docs.filter("doc_id % 100 = 7").selectExpr("doc_id + 5 AS node", "doc_id AS rep_id", "xxhash64(text) AS rep_key")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = ngram_join._texts(docs, where)
+        assert sorted((r.node, r.body) for r in texts.collect()) == [(i + 5, f"text {i}") for i in range(7, 3000, 100)]
+        assert 60 <= shuffled(spark, texts) < 300
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
