@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import forget, written
+from .hashing import maybe
+
 SALTS = 16
 
 
@@ -63,8 +66,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns; rows repeating id and text leave one.
 
-    The join deals rows by (digest, id), so copies of one text go to many tasks.
+    A text whose 64-bit hash no other row has stays without a shuffle: hashes are counted first, and those that repeat
+    set a bitmap. The other rows are combined by whole texts; the join deals them by (digest, id), so copies of one
+    text go to many tasks.
     """
+    own_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    repeated = written(docs.groupBy(own_hash.alias("row_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row_key"), "repeated")
+    may_repeat = maybe(repeated)(own_hash)
+    forget(repeated)
+    return docs.filter(~may_repeat).union(_one_of_each(docs.filter(may_repeat), id_col, text_col, salts))
+
+
+def _one_of_each(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
     digest, key, place = "_digest_of_text", "_id_of_text", "_place_of_row"
     null_id = F.lit(-(2**63))
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

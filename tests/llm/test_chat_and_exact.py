@@ -4,6 +4,7 @@ import pytest
 
 import verify
 from corvane.llm import chat_format, exact_dedup, queries
+from test_ngram_join import shuffled
 
 ROWS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "yes <|im_end|>"), (1, 1, "assistant", "yes <|im_end|>"), (2, None, None, None), (2, 3, "assistant", "<\\|x<\\\\|<|"),
@@ -61,6 +62,13 @@ def test_one_row_of_each_text_stays(spark):
     assert exact_dedup.exact_groups(df.limit(0)).count() == 0
 
 
+def test_texts_without_a_copy_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(i, f"text {i % 7}") for i in range(2000, 2030)], "doc_id long, text string")
+    out = exact_dedup.deduplicated(df)
+    assert sorted(r.doc_id for r in out.collect()) == list(range(7, 2000)) + list(range(2023, 2030))
+    assert 0 < shuffled(spark, out) < 300
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_their_sql(spark, sf, name):
     assert verify.compare(spark, verify.connect(sf), name, queries.QUERIES[name], queries.ORACLES[name], sf) == ""
