@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 WINDOW, SLOP = 10, 5
-#: Terms, and anchors of the benchmark, up to which their table is broadcast; beyond it Spark shuffles.
+#: Terms, and anchors of the benchmark, and documents with hits, up to which their table is broadcast; beyond it Spark shuffles.
 MOST_BROADCAST = 500_000
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -163,7 +163,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: in
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that hold no window of an item, with their own columns."""
-    hit = matches(docs, benchmark, window, hits_only=True).select(F.col("found_id").alias("_hit_id"), F.col("found_key").alias("_hit_key"))
+    """The rows of ``docs`` that hold no window of an item, with their own columns; texts are shuffled only if more than MOST_BROADCAST of them do."""
+    hit = written(matches(docs, benchmark, window, hits_only=True).select(F.col("found_id").alias("_hit_id"), F.col("found_key").alias("_hit_key")), "hits")
+    hit = _small(hit, hit.count())
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (key == F.col("_hit_key")), "left_anti")

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from corvane.llm import decontam, line_dedup
+from test_ngram_join import shuffled
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -62,6 +63,17 @@ def test_near_matches_are_told_apart(spark):
     assert got == {1: (1, 0), 2: (0, 1), 3: (0, 0)}
 
 
+def test_texts_are_not_shuffled_to_drop_the_hit_ones(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "so alpha beta gamma too" if i % 100 == 5 else f"text {i}") for i in range(2000)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = decontam.clean(docs, bench)
+        assert out.count() == 1980 and shuffled(spark, out) < 300
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_empty_tables(spark):
     none, some = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [r.contaminated for r in decontam.report(some, none).collect()] == [False]
