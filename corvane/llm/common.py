@@ -5,11 +5,24 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that a task turns into Python objects at a time.
+ROWS_AT_ONCE = 512
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of at most ``rows`` rows, so that a task holds the objects of one part and not of ten thousand texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, salted_join, written
+from .common import forget, salted_join, sliced, written
 from .components import components, contracted
 from .hashing import maybe_among, mix, ngrams_of, word_hashes
 
@@ -441,8 +441,9 @@ def _linked(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int) -> Da
             known = set()
             keep = [not (x in known or known.add(x)) for x in batch.column("node").to_pylist()]
             batch = batch.filter(pa.array(keep, pa.bool_()))
-            bodies = [s.tobytes() for s in _shingle_sets(batch.column("body").to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bodies, pa.binary())], names=["node", "shingles"])
+            for part in sliced([batch]):
+                bodies = [s.tobytes() for s in _shingle_sets(part.column("body").to_pylist(), k)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(bodies, pa.binary())], names=["node", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

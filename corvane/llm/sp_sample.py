@@ -42,7 +42,7 @@ from .hashing import mix
 K, SHARPNESS = 2, 1.0
 #: Texts that are sampled together.
 ROWS_AT_ONCE = 128
-#: Distinct words and nodes of lattices that a worker process remembers, and bits of a table of beginnings.
+#: Distinct words and nodes of lattices that a task remembers, and bits of a table of beginnings.
 WORDS_KEPT, NODES_KEPT, SLOT_BITS = 1 << 17, 1 << 21, 20
 #: The mark of a space; the noncharacter that stands for such a mark in a text itself.
 SPACE, STANDS_FOR_MARK = "▁", "\uffff"
@@ -118,8 +118,11 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.clear()
+        self.release()
 
+    def release(self) -> None:
+        """Forget all words and give back the arrays, which else keep their size."""
+        self.clear()
         self.nodes = np.zeros((2, 1 << 12), dtype=np.int32)
         self.edges = np.zeros((2, 1 << 12), dtype=np.int32)
         self.weights = np.zeros((2, 1 << 12), dtype=np.float32)
@@ -389,7 +392,7 @@ class Sampler:
 
 @functools.lru_cache(maxsize=1)
 def _sampler(model_file: str, k: int, sharpness: float) -> Sampler:
-    """The sampler of a worker process: the lattices that a task learned serve the worker's next tasks."""
+    """The sampler of a worker process: its vocabulary serves the worker's next tasks; the lattices go with each task."""
     return Sampler(model_file, k, sharpness)
 
 
@@ -407,25 +410,29 @@ def segmentations(docs: DataFrame, model_file: str, k: int = K, sharpness: float
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(model_file, k, sharpness)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                samples = sampler.sample(batch.column("key").to_numpy(), batch.column("body").to_pylist())
-                doc = [d for d, s in zip(batch.column("doc_id").to_pylist(), samples) for _ in s]
-                flat = [x for s in samples for x in s]
-                ids = [x["ids"] for x in flat]
-                sizes = np.array([len(x) for x in ids], dtype=np.int32)
-                columns = {
-                    "doc_id": pa.array(doc, pa.int64()),
-                    "sample": pa.array([j for s in samples for j in range(len(s))], pa.int32()),
-                    "n_pieces": pa.array(sizes, pa.int32()),
-                    "ids_crc32": pa.array([zlib.crc32(x.astype("<i4")) for x in ids], pa.int64()),
-                    **{c: pa.array([x[c] for x in flat], pa.float64()) for c in ("log_p", "value", "inclusion")},
-                    "decoded_sha256": pa.array([hashlib.sha256(sampler.decode(x).encode("utf-8", "replace")).hexdigest() for x in ids], pa.string()),
-                }
-                if with_ids:
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                    batch = whole.slice(at, ROWS_AT_ONCE)
+                    samples = sampler.sample(batch.column("key").to_numpy(), batch.column("body").to_pylist())
+                    doc = [d for d, s in zip(batch.column("doc_id").to_pylist(), samples) for _ in s]
+                    flat = [x for s in samples for x in s]
+                    ids = [x["ids"] for x in flat]
+                    sizes = np.array([len(x) for x in ids], dtype=np.int32)
+                    columns = {
+                        "doc_id": pa.array(doc, pa.int64()),
+                        "sample": pa.array([j for s in samples for j in range(len(s))], pa.int32()),
+                        "n_pieces": pa.array(sizes, pa.int32()),
+                        "ids_crc32": pa.array([zlib.crc32(x.astype("<i4")) for x in ids], pa.int64()),
+                        **{c: pa.array([x[c] for x in flat], pa.float64()) for c in ("log_p", "value", "inclusion")},
+                        "decoded_sha256": pa.array([hashlib.sha256(sampler.decode(x).encode("utf-8", "replace")).hexdigest() for x in ids], pa.string()),
+                    }
+                    if with_ids:
+                        columns["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        finally:
+            # Idle workers stay, also while other stages run, and what they hold counts against the executor's memory.
+            sampler.lattices.release()
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.coalesce("text", F.lit("")).alias("body"))
     return rows.mapInArrow(run, "doc_id long, sample int, n_pieces int, ids_crc32 long, log_p double, value double, inclusion double, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import sliced
+
 #: Labelled rows that a fit uses at most, taken by the hash of doc_id; scoring covers all rows.
 FIT_ROWS = 40_000
 #: Share of the counts that the Dirichlet prior adds, and the least z-value of a feature.
@@ -32,6 +34,8 @@ PRIOR, LEAST_Z = 0.05, 3.0
 PENALTY = 1.0
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„‘’…–—¿¡"
 RAW_KEPT = 1 << 17
+#: Features that a task counts before it sends them.
+FEATURES_HELD = 1 << 17
 
 
 def features(token: str) -> list[str]:
@@ -119,23 +123,26 @@ def _training(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     return texts.groupBy("body").agg(F.max("toxic").alias("toxic"))
 
 
-def _gains(training: DataFrame, penalty: float) -> dict[str, float]:
-    """Log-odds with a Dirichlet prior over the documents that have a feature, of features that are surely toxic."""
+def counted(batches: Iterator[pa.RecordBatch], held: int = FEATURES_HELD) -> Iterator[pa.RecordBatch]:
+    """feature, toxic, n (documents that have the feature) of rows (body, toxic): in parts, once more than ``held`` features are counted."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in c], pa.string()), pa.array([t for _, t in c], pa.int32()), pa.array(c.values(), pa.int64())], names=["feature", "toxic", "n"])
+    def out(seen: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
+        for toxic, c in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["feature", "toxic", "n"])
 
-        seen: Counter = Counter()
-        for batch in batches:
-            for body, toxic in zip(batch.column("body").to_pylist(), batch.column("toxic").to_pylist()):
-                seen.update({(f, toxic) for t in set(tokens(body)) for f in features(t)})
-            if len(seen) > 400_000:
-                yield out(seen)
-                seen = Counter()
-        yield out(seen)
+    seen: dict[int, Counter] = defaultdict(Counter)
+    for batch in sliced(batches):
+        for body, toxic in zip(batch.column("body").to_pylist(), batch.column("toxic").to_pylist()):
+            seen[toxic].update({f for t in set(tokens(body)) for f in features(t)})
+            if sum(map(len, seen.values())) > held:
+                yield from out(seen)
+                seen.clear()
+    yield from out(seen)
 
-    counts = training.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(
+
+def _gains(training: DataFrame, penalty: float) -> dict[str, float]:
+    """Log-odds with a Dirichlet prior over the documents that have a feature, of features that are surely toxic."""
+    counts = training.mapInArrow(counted, "feature string, toxic int, n long").groupBy("feature").agg(
         F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c")
     )
     all_t, all_c = (x or 0 for x in counts.agg(F.sum("t"), F.sum("c")).first())
@@ -199,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, penalty: f
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, seen = Model(held.value), Counter()
-            for batch in batches:
+            for batch in sliced(batches):
                 for body in batch.column("body").to_pylist():
                     seen.update(round(own.gain(w), 1) for w in body.lower().split())
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.float64()), pa.array(list(seen.values()), pa.int64())], names=["gain", "n"])
@@ -212,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, penalty: f
 
         def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, n_docs, total = Model(held.value), 0, 0.0
-            for batch in batches:
+            for batch in sliced(batches):
                 for body in batch.column("body").to_pylist():
                     n, found = own.scan(body)
                     n_docs += 1
@@ -225,9 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, penalty: f
 
         def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, seen = own.value, Counter()
-            for batch in batches:
+            for batch in sliced(batches):
                 for body, toxic in zip(batch.column("body").to_pylist(), batch.column("toxic").to_pylist()):
                     seen[round(math.log1p(m.evidence(*m.scan(body))[0]) * 20), toxic] += 1
+            m.known.clear()
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in seen], pa.int64()), pa.array([t for _, t in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["bin", "toxic", "n"])
 
         rows = training.mapInArrow(binned, "bin long, toxic int, n long").groupBy("bin").agg(F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c"), F.sum(F.col("n") * F.col("toxic")).alias("t")).collect()
@@ -248,7 +256,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in batches:
+        for batch in sliced(batches):
             score, passages = [], []
             for text in batch.column(text_at).to_pylist():
                 evidence, rated = m.evidence(*m.scan(text or ""))
@@ -259,6 +267,8 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
             else:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expectation", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(passages, kind)], names=["doc_id", "score", "passages"])
+        # The worker keeps the model until its next task, and idle workers stay.
+        m.known.clear()
 
     if keep is not None:
         text_at = "text"

@@ -135,3 +135,19 @@ def test_the_query_returns_the_ids(spark, sf, vocabulary):
     assert out
     for r in out:
         assert len(r.ids) == r.n_pieces and hashlib.sha256(s.decode(np.array(r.ids)).encode()).hexdigest() == r.decoded_sha256
+
+
+def test_workers_hold_no_lattices_after_their_tasks(spark):
+    """Python workers stay for the next stages, and their memory with them."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('word', id, ' other', id * 7) AS text").repartition(4)
+    assert sp_sample.segmentations(docs, MODEL, k=2).count() == 800
+
+    def held(batches):
+        import pyarrow as pa
+
+        lattices = sp_sample._sampler(MODEL, 2, sp_sample.SHARPNESS).lattices
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(lattices.root)]), pa.array([lattices.edges.nbytes])], names=["words", "bytes"])
+
+    got = spark.range(0, 16, 1, 16).mapInArrow(held, "words long, bytes long").collect()
+    assert len(got) == 16 and all(r.words == 0 and r.bytes <= 1 << 16 for r in got)

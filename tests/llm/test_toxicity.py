@@ -1,6 +1,8 @@
 import math
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from corvane.llm import queries, toxicity
@@ -66,6 +68,23 @@ def made(rng, n):
     return rows, labels
 
 
+def test_counts_leave_in_parts_within_a_batch():
+    """One batch of many words: a task holds a bounded number of features, and the parts sum up to the whole."""
+    rng = random.Random(3)
+    body = [" ".join(f"w{rng.randrange(5000)}" for _ in range(20)) for _ in range(1000)] + [""]
+    toxic = [i % 3 == 0 for i in range(1001)]
+    batch = pa.RecordBatch.from_arrays([pa.array(body), pa.array(toxic).cast(pa.int32())], names=["body", "toxic"])
+    parts = list(toxicity.counted(iter([batch]), held=500))
+    assert len(parts) > 2 and max(p.num_rows for p in parts) <= 500 + 4 * 20
+    got, want = Counter(), Counter()
+    for p in parts:
+        for x in p.to_pylist():
+            got[x["feature"], x["toxic"]] += x["n"]
+    for b, t in zip(body, toxic):
+        want.update({(f, int(t)) for w in set(toxicity.tokens(b)) for f in toxicity.features(w)})
+    assert got == want
+
+
 def test_held_out_accuracy(spark):
     rows, labels = made(random.Random(1), 600)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
