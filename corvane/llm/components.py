@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, tidied, written
 
 #: Links that a task takes at a time.
 LINKS = 1 << 17
@@ -42,6 +42,7 @@ def components(edges: DataFrame, links: int = LINKS) -> DataFrame:
     nodes = written(edges.filter("a <> b").select("a", "b"), "edges")
     shares = max(1, -(-nodes.count() // links))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, salted_join, sliced, written
+from .common import forget, salted_join, sliced, tidied, written
 from .components import components, contracted
 from .hashing import maybe_among, mix, ngrams_of, word_hashes
 
@@ -89,6 +89,14 @@ class Frequent:
         return np.where(self.keys[at] == shingles, self.counts[at], 0)
 
 
+def repeated(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those that come more than once, and how often. The array is sorted in place, so that besides it there is a byte or two for each shingle."""
+    shingles.sort()
+    edge = np.diff((shingles[1:] == shingles[:-1]).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    first = np.flatnonzero(edge == 1)
+    return shingles[first], np.flatnonzero(edge == -1) - first + 1
+
+
 def frequencies(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> Frequent:
     """The shingles of more than T distinct sets, T being one for each 8 MB of text and ``least_t`` at least.
 
@@ -100,15 +108,17 @@ def frequencies(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> Fr
     size = _rows(docs).agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     t = max(least_t, -(-size // (1 << 23)))
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, known = [], 0, set()
 
         def flush() -> pa.RecordBatch:
-            shingles, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(shingles[often].view(np.int64)), pa.array(counts[often], pa.int64())], names=["key", "n"])
+            shingles = np.concatenate(held)
+            held.clear()
+            shingles, counts = repeated(shingles)
+            return pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(counts, pa.int64())], names=["key", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for s in _shingle_sets(batch.column("body").to_pylist(), k):
                 own = xxhash.xxh3_64_intdigest(s.tobytes())
                 if own in known:
@@ -118,7 +128,7 @@ def frequencies(docs: DataFrame, k: int = SHINGLE, least_t: int = LEAST_T) -> Fr
                 n += len(s)
                 if n >= FLUSH:
                     yield flush()
-                    held, n, known = [], 0, set()
+                    n, known = 0, set()
         if n:
             yield flush()
 
@@ -188,6 +198,7 @@ def nodes(docs: DataFrame, freq: Frequent, k: int = SHINGLE) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(freq)
     schema = "doc_id long, row_key long, n long, node long, grp long, prefix array<long>, salts array<int>, sketch binary"
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posted = set()
         for whole in batches:
@@ -348,6 +359,7 @@ def _by_key(rows: DataFrame, make: Callable[[np.ndarray, dict[str, np.ndarray],
     holds two blocks at a time.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         total = size = 0
@@ -408,6 +420,7 @@ def _apart(rows: DataFrame, forest: bool) -> DataFrame:
 def _expanded(groups: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a, b, differ, comp_a) of members of the group pairs (a, b), in different components, whose sketches allow the similarity."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
@@ -436,6 +449,7 @@ def _texts(docs: DataFrame, where: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """The pairs whose sets reach the similarity; sets are made again from the texts of the nodes in question."""
 
+    @tidied
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = set()
@@ -445,6 +459,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int) -> Da
                 bodies = [s.tobytes() for s in _shingle_sets(part.column("body").to_pylist(), k)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(bodies, pa.binary())], names=["node", "shingles"])
 
+    @tidied
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []

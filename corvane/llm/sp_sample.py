@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
 from .hashing import mix
 
 #: Segmentations of each text, and the power of piece weights: 1 samples by Zipf weight, more favours common pieces.
@@ -408,6 +409,7 @@ def segmentations(docs: DataFrame, model_file: str, k: int = K, sharpness: float
     * Repeated rows have equal keys and texts and give equal samples; a null doc_id is a key like another.
     * An empty table gives an empty result; other columns are ignored.
     """
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(model_file, k, sharpness)
         try:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced
+from .common import sliced, tidied
 
 #: Labelled rows that a fit uses at most, taken by the hash of doc_id; scoring covers all rows.
 FIT_ROWS = 40_000
@@ -123,6 +123,7 @@ def _training(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     return texts.groupBy("body").agg(F.max("toxic").alias("toxic"))
 
 
+@tidied
 def counted(batches: Iterator[pa.RecordBatch], held: int = FEATURES_HELD) -> Iterator[pa.RecordBatch]:
     """feature, toxic, n (documents that have the feature) of rows (body, toxic): in parts, once more than ``held`` features are counted."""
 
@@ -204,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, penalty: f
             return model
         held = docs.sparkSession.sparkContext.broadcast(model.gains)
 
+        @tidied
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, seen = Model(held.value), Counter()
             for batch in sliced(batches):
@@ -217,6 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, penalty: f
         model.lam = _lambda(scores, penalty)
         lam = model.lam
 
+        @tidied
         def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, n_docs, total = Model(held.value), 0, 0.0
             for batch in sliced(batches):
@@ -230,6 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, penalty: f
         model.k = (n or 1) / (total or 1.0)
         own = docs.sparkSession.sparkContext.broadcast(model)
 
+        @tidied
         def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, seen = own.value, Counter()
             for batch in sliced(batches):
@@ -254,6 +258,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in sliced(batches):
