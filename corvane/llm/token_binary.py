@@ -23,11 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, new_path, written
+from .common import forget, new_path, sliced, written
 
 MAGIC = b"TOKV1\n"
 #: Documents in a file, and numbers in a block. A file holds whole documents.
@@ -36,9 +37,17 @@ DOCS_A_FILE, BLOCK = 4096, 1 << 20
 WORDS_KEPT = 1 << 19
 #: Ids of such words, and of texts that were encoded whole, until all are forgotten.
 IDS_KEPT = 1 << 23
+#: Texts whose words are looked up together: the more, the fewer look-ups of the same word.
+TEXTS_AT_ONCE = 2048
 #: Between words that are encoded together; texts that hold it are encoded whole.
-MARK = b"\x01"
-STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+MARK = "\x01"
+#: Of words that end in such after a letter, the letters are learnt alone.
+STOPS = (".", ",")
+#: White space that is taken for a space; a word between two spaces may be empty.
+BLANKS = "\t\n\x0b\x0c\r"
+#: Letters of words that need no normalising once ASCII is lower-cased, but for lower-casing.
+SMALL = {c for c in map(chr, range(0x100)) if c.isalpha() and (c >= "\u00C0" or "a" <= c <= "z")}
+LETTERS = re.compile(f"[{''.join(sorted(SMALL))}]+")
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], dtype=np.uint8)
 
 
@@ -58,6 +67,34 @@ def encode_numbers(numbers: np.ndarray) -> tuple[bytes, bytes]:
     return _packed(code), numbers.view(np.uint8).reshape(-1, 4)[keep].tobytes()
 
 
+def runs(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A column of the bytes of ``values``, cut into runs of so many bytes."""
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def from_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The uint32 numbers of a column of their bytes, and how many each row has."""
+    held = column.cast(pa.binary())
+    _, ends, data = held.buffers()
+    if not len(held) or data is None:
+        return np.zeros(0, dtype="<u4"), np.zeros(len(held), dtype=np.int64)
+    ends = np.frombuffer(ends, dtype=np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view("<u4"), np.diff(ends) // 4
+
+
+def encode_runs(numbers: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Columns of control and data bytes, as ``encode_numbers`` gives them for each run of numbers."""
+    numbers = np.ascontiguousarray(numbers, dtype="<u4")
+    code = (numbers > 0xFF).astype(np.uint8) + (numbers > 0xFFFF) + (numbers > 0xFFFFFF)
+    keep = np.arange(4, dtype=np.uint8)[None, :] <= code[:, None]
+    size = np.r_[0, np.cumsum(code + 1, dtype=np.int64)][np.r_[0, np.cumsum(counts)]]
+    room = -(-counts // 4) * 4
+    spaced = np.zeros(int(room.sum()), dtype=np.uint8)
+    spaced[np.arange(len(code)) + np.repeat(np.cumsum(room - counts) - (room - counts), counts)] = code
+    return runs(np.frombuffer(_packed(spaced), dtype=np.uint8), room // 4), runs(numbers.view(np.uint8).reshape(-1, 4)[keep], np.diff(size))
+
+
 def joined(coded: list[tuple[bytes, bytes]], counts: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of runs of numbers put in a row, from those of each run. Data bytes stay as they are."""
     padded = -(-counts // 4) * 4
@@ -122,23 +159,32 @@ class WordEncoder:
     """
 
     def __init__(self, tokenizer_file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
-        self.openings = tuple({t[:2].encode() for t in special} | {MARK})
-        self.mark_id, *more = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.openings = tuple({t[:2] for t in special} | {MARK})
+        self.mark_id, *more = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         if more:
             raise ValueError("the tokenizer has no single id for the mark between words")
+        # Words of Latin letters in lower case need no normalising and are one piece each, whose last id says that it is the last.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(names.values()) + 1, dtype=bool)
+        if suffix:
+            self.last[[i for name, i in names.items() if name.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.begin = np.zeros(1 << 12, dtype=np.int64)
         self.size = np.zeros(1 << 12, dtype=np.int64)
         self.used = self.known = 0
+        self.index[""] = self._keep(np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64))
 
     def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> int:
         """Remember runs of ids; the number of the first."""
@@ -154,41 +200,64 @@ class WordEncoder:
         self.known += len(sizes)
         return first
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([(b" " + MARK + b" ").join(some).decode("utf-8")], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            cut = np.flatnonzero(ids == self.mark_id)
-            sizes = np.diff(np.r_[-1, cut, len(ids)]) - 1
-            first = self._keep(ids[ids != self.mark_id], sizes)
-            self.index.update(zip(some, range(first, first + len(some))))
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+            letters = [w for w in some if LETTERS.fullmatch(w)]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(letters).lower()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(letters):
+                self._index(letters, ids, np.diff(ends, prepend=-1))
+                some = [w for w in some if w not in self.index]
+            if some:
+                ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                cut = np.flatnonzero(ids == self.mark_id)
+                self._index(some, ids[ids != self.mark_id], np.diff(np.r_[-1, cut, len(ids)]) - 1)
+
+    def _index(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = self._keep(ids, sizes)
+        self.index.update(zip(words, range(first, first + len(words))))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has, its end id included."""
         if len(self.index) > WORDS_KEPT or self.used > IDS_KEPT:
             self.clear()
-        flat: list[bytes] = []
-        ends = []
-        for n, text in enumerate(texts):
-            raw = text.encode("utf-8", "replace")
-            if any(o in raw for o in self.openings):
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-                key = MARK + str(n).encode()
-                self.index[key] = self._keep(ids, np.array([len(ids)]))
-                flat.append(key)
-            else:
-                # A stop or comma between a letter and white space is a piece of its own already.
-                flat += STOP.sub(rb" \1", raw.lower()).split()
-            flat.append(b"")
-            ends.append(len(flat))
-        self.index[b""] = self._keep(np.array([end_id], dtype=np.uint32), np.array([1]))
-        self._learn(list(set(flat).difference(self.index)))
-        at = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
-        per_word = self.size[at]
-        total = np.cumsum(per_word)
-        ids = self.flat[np.repeat(self.begin[at] - (total - per_word), per_word) + np.arange(total[-1] if len(total) else 0)]
-        tokens_end = total[np.array(ends, dtype=np.int64) - 1] if ends else np.zeros(0, dtype=np.int64)
-        return ids, np.diff(tokens_end, prepend=0)
+        texts = texts.cast(pa.string())
+        whole = functools.reduce(pc.or_, [pc.match_substring(texts, o) for o in self.openings])
+        if pc.any(whole).as_py():
+            names = [None] * len(texts)
+            for n in pc.indices_nonzero(whole).to_pylist():
+                ids = np.array(self.tokenizer.encode(texts[n].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+                names[n] = MARK + str(n)
+                self.index[names[n]] = self._keep(ids, np.array([len(ids)]))
+            texts = pc.coalesce(pa.array(names, pa.string()), texts)
+        words = pc.split_pattern(functools.reduce(lambda x, blank: pc.replace_substring(x, blank, " "), BLANKS, pc.ascii_lower(texts)), " ")
+        ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        stems = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # A stop or comma between a letter and white space is a piece of its own already.
+        stopped = [n for n, w in enumerate(stems) if w[-1:] in STOPS and w[-2:-1] in SMALL]
+        stops = [stems[n][-1] for n in stopped]
+        for n in stopped:
+            stems[n] = stems[n][:-1]
+        found = list(map(self.index.get, stems))
+        new = [n for n, k in enumerate(found) if k is None]
+        self._learn(list(dict.fromkeys([stems[n] for n in new] + [w for w in STOPS if w not in self.index])))
+        for n in new:
+            found[n] = self.index[stems[n]]
+        parts = np.full((len(stems), 2), self.index[""], dtype=np.int64)
+        parts[:, 0] = found
+        parts[stopped, 1] = [self.index[w] for w in stops]
+        at = parts[coded.indices.to_numpy()].reshape(-1)
+        per_part = self.size[at]
+        total = np.cumsum(per_part)
+        ids = self.flat[np.repeat(self.begin[at] - (total - per_part), per_part) + np.arange(total[-1] if len(total) else 0)]
+        ends = np.r_[0, total][2 * ends]
+        out = np.full(len(ids) + len(ends), end_id, dtype=np.uint32)
+        own = np.ones(len(out), dtype=bool)
+        own[ends + np.arange(len(ends))] = False
+        out[own] = ids
+        return out, np.diff(ends, prepend=0) + 1
 
 
 @functools.lru_cache(maxsize=1)
@@ -203,16 +272,12 @@ def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int, bounds: list[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_file)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids, counts = encoder.encode(batch.column("body").to_pylist(), end_id)
-                ends = np.cumsum(counts)
-                small = ids.astype("<u4")
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(at, TEXTS_AT_ONCE)
+                ids, counts = encoder.encode(batch.column("body"), end_id)
                 doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                blobs = [small[e - c : e].tobytes() for c, e in zip(counts, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.searchsorted(cuts, doc_ids, "right"), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(blobs, pa.binary())], names=["file_no", "doc_id", "ids"]
-                )
+                columns = [pa.array(np.searchsorted(cuts, doc_ids, "right"), pa.int64()), pa.array(doc_ids, pa.int64()), runs(ids.astype("<u4"), 4 * counts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["file_no", "doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("body")).filter("doc_id IS NOT NULL")
     return rows.mapInArrow(run, "file_no long, doc_id long, ids binary")
@@ -224,7 +289,7 @@ def _counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u4")
+            ids, _ = from_runs(batch.column("ids"))
             if len(ids):
                 if (most := int(ids.max())) >= len(total):
                     total = np.concatenate([total, np.zeros(most + 1 - len(total), dtype=np.int64)])
@@ -270,13 +335,9 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 2, docs_a_f
     ranks = spark.sparkContext.broadcast(rank_of)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, control, data = [], [], []
-            for ids in batch.column("ids").to_pylist():
-                numbers = ranks.value[np.frombuffer(ids, dtype="<u4")]
-                c, d = encode_numbers(numbers)
-                counts.append(len(numbers)), control.append(c), data.append(d)
-            columns = [batch.column("file_no"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())]
+        for batch in sliced(batches):
+            ids, counts = from_runs(batch.column("ids"))
+            columns = [batch.column("file_no"), batch.column("doc_id"), pa.array(counts, pa.int64()), *encode_runs(ranks.value[ids], counts)]
             yield pa.RecordBatch.from_arrays(columns, names=["file_no", "doc_id", "n", "control", "data"])
 
     def put(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

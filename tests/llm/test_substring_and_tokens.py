@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,34 @@ def test_tokens_match_whole_text_encoding(spark):
         at += n
 
 
+def test_words_are_learnt_without_their_stops_and_give_whole_texts_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    whole, encoder, rng = Tokenizer.from_file(file), token_binary.WordEncoder(file), random.Random(5)
+    alphabet = "aAbeEñÑüßÿéÀ×÷ªµ" * 3 + "x.,;'-&$1٣日ﬁİſ\u0301\u00a0\x1c\x0b\x0c\r\t\n      "
+    texts = ["", " ", "Señó. señó, SEÑÓ señÓ\n", "<|endoftext|> b.", "\x01 a", "a\x010 <|", *("".join(rng.choices(alphabet, k=rng.randrange(200))) for _ in range(300))]
+    for part in (pa.array(texts), pa.array(["ab", *texts]).slice(1), pa.array(texts[:3]), pa.array(texts[:0], pa.string())):
+        ids, counts = encoder.encode(part, 2)
+        want = [[*whole.encode(x, add_special_tokens=False).ids, 2] for x in part.to_pylist()]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    few = token_binary.WordEncoder(file)
+    few.encode(pa.array(["año. año, año azul. azul, azul"]), 2)
+    assert {w for w in few.index if w} == {"año", "azul", ".", ","}
+
+
+def test_runs_of_numbers_are_coded_alike_one_by_one_and_together():
+    rng = np.random.default_rng(1)
+    counts = np.array([0, 1, 4, 7, 0, 300, 2])
+    x = (rng.integers(0, 1 << 32, counts.sum()) >> rng.integers(0, 32, counts.sum())).astype("<u4")
+    ids, again = token_binary.from_runs(token_binary.runs(x, 4 * counts).slice(1, 5))
+    assert again.tolist() == counts[1:6].tolist() and (ids == x[:312]).all()
+    control, data = token_binary.encode_runs(x, counts)
+    ends = np.cumsum(counts)
+    assert list(zip(control.to_pylist(), data.to_pylist())) == [token_binary.encode_numbers(x[e - c : e]) for c, e in zip(counts, ends)]
+
+
 def test_tokens_of_an_empty_table(spark):
     import public_tokenizers
 
